@@ -473,21 +473,17 @@ def link_retenders(records: DataFrame, eligible: Column) -> DataFrame:
     )
     ended = work.filter(_flag(_col(records, "cancelled", "boolean")) | _flag(_col(records, "withdrawn", "boolean")))
     label = first_present(_col(records, "tender_id"), _col(records, "reference_number"), F.col("title"))
-    first = ended.groupBy("__scope", "__sig").agg(
-        # Two candidates suffice: a row never replaces itself.
-        F.min(F.struct("ordinal", "notice_key", label.alias("label"))).alias("__a")
-    )
+    entry = F.struct("ordinal", "notice_key", label.alias("label"))
+    # Two candidates suffice: a row never replaces itself.
+    first = ended.groupBy(F.col("__scope").alias("__s"), F.col("__sig").alias("__g")).agg(F.min(entry).alias("__a"))
+    same = F.col("__scope").eqNullSafe(F.col("__s")) & (F.col("__sig") == F.col("__g"))
     second = (
-        ended.join(first, ended["__scope"].eqNullSafe(first["__scope"]) & (ended["__sig"] == first["__sig"]))
-        .filter(F.col("ordinal") > F.col("__a.ordinal"))
-        .groupBy(ended["__scope"], ended["__sig"])
-        .agg(F.min(F.struct("ordinal", "notice_key", label.alias("label"))).alias("__b"))
+        ended.join(first, same)
+        .groupBy("__s", "__g")
+        .agg(F.first("__a").alias("__a"), F.min(F.when(F.col("ordinal") > F.col("__a.ordinal"), entry)).alias("__b"))
     )
-    both = first.join(
-        second, first["__scope"].eqNullSafe(second["__scope"]) & (first["__sig"] == second["__sig"]), "left"
-    ).select(first["__scope"].alias("__s"), first["__sig"].alias("__g"), "__a", "__b")
     wording = F.concat_ws(" ", F.col("title"), F.coalesce(_col(records, "reference_number"), F.lit("undefined")))
     retender = eligible & matches(wording, RETENDER_WORDS)
-    joined = work.join(both, work["__scope"].eqNullSafe(F.col("__s")) & (work["__sig"] == F.col("__g")), "left")
+    joined = work.join(second, same, "left")
     pick = F.when(F.col("__a.notice_key") != F.col("notice_key"), F.col("__a.label")).otherwise(F.col("__b.label"))
     return joined.withColumn("replaces", F.when(retender, pick)).drop("__scope", "__sig", "__s", "__g", "__a", "__b")

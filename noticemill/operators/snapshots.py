@@ -27,7 +27,7 @@ def notice_identity(tender_id: Column, record_id: Column, url: Column) -> Column
 
 
 def _seconds(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1_000_000
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1_000_000
 
 
 def source_control(snapshots: DataFrame, is_index: Column) -> DataFrame:
