@@ -134,3 +134,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     if _NAME.match(str(value)):
         return body(value)
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """Keep an expensive text column in a projection of its own.
+
+    Spark copies a deterministic expression into every pushed-down filter and every
+    nested-field reference, which would scan the text several times.  The always-true
+    random guard stops that; the value itself does not depend on it.
+    """
+    return F.when(F.rand(0) >= 0, value)

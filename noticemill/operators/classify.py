@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import first_present, present
-from ..functions.patterns import any_of, java, let, matches, occurrences, position, without_lookaheads
+from ..functions.patterns import any_of, java, let, matches, occurrences, once, position, without_lookaheads
 from ..functions.text import product_evidence, without_clinical_context
 from ..sources import medical_rules as rules
 
@@ -117,6 +117,91 @@ def non_product_scope(text: Column, scope: Column, official: Column, book: RuleB
     )
 
 
+def official_text(df: DataFrame) -> Column:
+    return F.concat_ws(" ", *[present(_column(df, c)) for c in OFFICIAL])
+
+
+def classification(
+    text: Column, scope: Column | None, official: Column, product_category: Column, book: RuleBook, brands: bool = False
+) -> Column:
+    """One struct column per row: categories, matched_keywords, confidence, is_relevant[, brand_matches].
+
+    Every shared step is bound once with ``let``: a filter on the result that Spark
+    pushes below the projection repeats the scan once, not once per rule.
+    """
+    clean = evidence_text if book.clean_text else (lambda c: c)
+    empty = F.lit("")
+
+    def prepare(t: Column, s: Column) -> Column:
+        if scope is None:
+            return let(clean(t), lambda e: F.struct(e.alias("t"), e.alias("s"), official.alias("o")))
+
+        def combine(both: Column) -> Column:
+            whole = F.when(t != s, F.concat_ws("\n", present(both["s"]), present(both["t"]))).otherwise(both["t"])
+            return F.struct(whole.alias("t"), both["s"].alias("s"), official.alias("o"))
+
+        return let(F.struct(clean(t).alias("t"), clean(s).alias("s")), combine)
+
+    def scan(x: Column) -> Column:
+        def rule_text(category: str) -> Column:
+            strip = book.strip_before.get(category)
+            return F.regexp_replace(x["t"], java(strip), "") if strip else x["t"]
+
+        # One cheap alternation first: rows without any hit skip the per-rule scans.
+        per_rule = F.array(*[occurrences(rule_text(c), p) for c, p in book.taxonomy])
+        in_context = _in_context(x["s"], product_category, book.context_rule)
+        wanted = matches(x["t"], book.gate) | in_context
+        found = let(F.when(wanted, per_rule), lambda hits: decide(x, hits, in_context))
+        return found
+
+    def decide(x: Column, hits: Column, in_context: Column) -> Column:
+        listed = F.array_compact(
+            F.array(*[F.when(F.size(F.get(hits, F.lit(i))) > 0, F.lit(c)) for i, (c, _) in enumerate(book.taxonomy)])
+        )
+        words = F.coalesce(F.flatten(hits), _no_strings())
+        if book.context_rule:
+            rule = book.context_rule
+            listed = F.when(in_context, F.array_union(listed, F.array(F.lit(rule["category"])))).otherwise(listed)
+            words = F.when(in_context, F.concat(words, F.array(F.lit(rule["keyword"])))).otherwise(words)
+
+        def judge(cats: Column) -> Column:
+            ok = F.when(F.size(cats) > 0, ~non_product_scope(x["t"], x["s"], x["o"], book)).otherwise(False)
+            return let(ok, lambda good: result(cats, good))
+
+        def result(cats: Column, good: Column) -> Column:
+            score = F.least(F.lit(0.98), F.lit(0.72) + F.size(cats) * F.lit(0.04))
+            fields = [
+                F.when(good, cats).otherwise(_no_strings()).alias("categories"),
+                F.when(good, F.array_distinct(F.transform(words, F.lower))).otherwise(_no_strings()).alias("matched_keywords"),
+                F.when(good, score).otherwise(F.lit(0.0)).alias("confidence"),
+                good.alias("is_relevant"),
+            ]
+            if brands:
+                fields.append(
+                    F.when(good, _brand_matches(x["t"], cats, hits, book))
+                    .otherwise(F.array().cast(BRAND_MATCHES))
+                    .alias("brand_matches")
+                )
+            return F.struct(*fields)
+
+        return let(listed, judge)
+
+    both = F.struct(
+        F.coalesce(text, empty).alias("t"), F.coalesce(text if scope is None else scope, empty).alias("s")
+    )
+    return let(let(both, lambda b: prepare(b["t"], b["s"])), scan)
+
+
+def _in_context(scope: Column, product_category: Column, rule: dict | None) -> Column:
+    if not rule:
+        return F.lit(False)
+    return (
+        matches(scope, rule["pattern"])
+        & (matches(product_category, rule["product_category"]) | matches(scope, rule["context"]))
+        & ~matches(scope, rule["unless"])
+    )
+
+
 def classify(
     df: DataFrame,
     text: Column,
@@ -130,66 +215,8 @@ def classify(
     ``scope`` is the declared purchase (usually the title); official category
     columns are read when present.
     """
-    clean = evidence_text if book.clean_text else (lambda c: c)
-    t, s, o, hits, cats, kws = (f"__{out}_{n}" for n in ("text", "scope", "official", "hits", "cats", "kws"))
-    scope_in = text if scope is None else scope
-    work = df.withColumn(t, F.coalesce(text, F.lit(""))).withColumn(s, F.coalesce(scope_in, F.lit("")))
-    differs = F.col(s) != F.col(t)
-    work = work.withColumn(f"{s}_differs", differs)
-    work = work.withColumns({t: clean(F.col(t)), s: clean(F.col(s))})
-    work = work.withColumn(
-        t,
-        F.when(F.col(f"{s}_differs"), F.concat_ws("\n", present(F.col(s)), present(F.col(t)))).otherwise(
-            F.col(t)
-        ),
-    ).withColumn(o, F.concat_ws(" ", *[present(_column(df, c)) for c in OFFICIAL]))
-
-    def rule_text(category: str) -> Column:
-        strip = book.strip_before.get(category)
-        return F.regexp_replace(F.col(t), java(strip), "") if strip else F.col(t)
-
-    # One cheap alternation first: rows without any hit skip the per-rule scans.
-    per_rule = F.array(*[occurrences(rule_text(c), p) for c, p in book.taxonomy])
-    work = work.withColumn(hits, F.when(matches(F.col(t), book.gate), per_rule))
-    found = [
-        F.when(F.size(F.get(F.col(hits), F.lit(i))) > 0, F.lit(c)) for i, (c, _) in enumerate(book.taxonomy)
-    ]
-    categories = F.array_compact(F.array(*found))
-    keywords = F.coalesce(F.flatten(F.col(hits)), _no_strings())
-    rule = book.context_rule
-    if rule:
-        in_context = (
-            matches(F.col(s), rule["pattern"])
-            & (
-                matches(_column(df, "product_category"), rule["product_category"])
-                | matches(F.col(s), rule["context"])
-            )
-            & ~matches(F.col(s), rule["unless"])
-        )
-        categories = F.when(in_context, F.array_union(categories, F.array(F.lit(rule["category"])))).otherwise(
-            categories
-        )
-        keywords = F.when(in_context, F.concat(keywords, F.array(F.lit(rule["keyword"])))).otherwise(keywords)
-    work = work.withColumns({cats: categories, kws: keywords})
-    excluded = non_product_scope(F.col(t), F.col(s), F.col(o), book)
-    work = work.withColumn(f"{cats}_ok", F.when(F.size(F.col(cats)) > 0, ~excluded).otherwise(False))
-    ok, n = F.col(f"{cats}_ok"), F.size(F.col(cats))
-    fields = [
-        F.when(ok, F.col(cats)).otherwise(_no_strings()).alias("categories"),
-        F.when(ok, F.array_distinct(F.transform(F.col(kws), F.lower))).otherwise(_no_strings()).alias(
-            "matched_keywords"
-        ),
-        F.when(ok, F.least(F.lit(0.98), F.lit(0.72) + n * F.lit(0.04))).otherwise(F.lit(0.0)).alias("confidence"),
-        ok.alias("is_relevant"),
-    ]
-    if brands:
-        fields.append(
-            F.when(ok, _brand_matches(F.col(t), F.col(cats), F.col(hits), book))
-            .otherwise(F.array().cast(BRAND_MATCHES))
-            .alias("brand_matches")
-        )
-    work = work.withColumn(out, F.struct(*fields))
-    return work.drop(t, s, f"{s}_differs", o, hits, cats, f"{cats}_ok", kws)
+    column = classification(text, scope, official_text(df), _column(df, "product_category"), book, brands)
+    return df.withColumn(out, once(column))
 
 
 BRAND_MATCHES = "array<struct<brand:string,match_type:string,terms:array<string>>>"
@@ -288,45 +315,63 @@ def priority_groups(
     """
     title = F.col("title") if title is None else title
     scope_in = title if product_scope is None else first_present(product_scope, title)
-    ti, sc, im, en = (f"__{out}_{n}" for n in ("title", "scope", "imaging", "endoscopy"))
-    work = df.withColumns({ti: F.coalesce(title, F.lit("")), sc: product_evidence(F.coalesce(scope_in, F.lit("")))})
-    imaging = F.col(sc)
-    for phrase in (LASER_DOPPLER, COMPATIBLE_DEVICE, USED_WITH, CASSETTE_HOLDER):
-        imaging = F.regexp_replace(imaging, java(phrase), " ")
+    official, product = official_text(df), _column(df, "product_category")
+
+    def judged(text: Column) -> Column:
+        return classification(text, None, official, product, book)
 
     def no_use_setting(c: Column) -> Column:
         return F.regexp_replace(c, java(LAPAROSCOPIC_USE), " ")
 
-    titled = F.when(matches(F.col(ti), LAPAROSCOPY_TITLE), no_use_setting(F.col(ti)))
-    work = work.withColumns(
-        {im: imaging, en: F.concat_ws("\n", present(no_use_setting(F.col(sc))), present(titled))}
-    )
-    m, mi, me = f"{sc}_c", f"{im}_c", f"{en}_c"
-    work = classify(work, F.col(sc), book=book, out=m)
-    work = classify(work, F.col(im), book=book, out=mi)
-    work = classify(work, F.col(en), book=book, out=me)
-
-    def has(result: str, names: list) -> Column:
-        return F.arrays_overlap(F.col(result)["categories"], F.array(*[F.lit(n) for n in names]))
-
-    chosen = []
-    for group, _label, categories, aliases in groups:
-        source, result = (im, mi) if group in IMAGING_GROUPS else (en, me) if group == "ENDOSCOPY" else (sc, m)
-        ok = has(result, categories)
-        if group in ALIAS_GROUPS:
-            ok = ok & matches(F.col(source), aliases)
-        if group == "VENTILATORS":
-            ok = ok | (has(m, ["RESPIRATORY"]) & matches(F.col(sc), aliases))
-        if group == "ENDOSCOPY":
-            ok = ok | (has(me, ["ENT_AIRWAY"]) & matches(F.col(en), aliases))
-        if group == "OT_LIGHTS":
-            ok = ok & ~matches(F.col(ti), LIGHT_ACCESSORY)
-        if group == "ULTRASOUND":
-            ok = ok & ~matches(F.col(sc), NOT_IMAGING_ULTRASOUND)
-        chosen.append(F.when(ok, F.lit(group)))
-    allowed = F.col(m)["is_relevant"] & ~matches(F.col(sc), SIMULATOR)
-    work = work.withColumn(out, F.when(allowed, F.array_compact(F.array(*chosen))).otherwise(_no_strings()))
-    return work.drop(ti, sc, im, en, m, mi, me)
+    def derive(x: Column) -> Column:
+        imaging = x["s"]
+        for phrase in (LASER_DOPPLER, COMPATIBLE_DEVICE, USED_WITH, CASSETTE_HOLDER):
+            imaging = F.regexp_replace(imaging, java(phrase), " ")
+        titled = F.when(matches(x["t"], LAPAROSCOPY_TITLE), no_use_setting(x["t"]))
+        return F.struct(
+            x["t"].alias("t"),
+            x["s"].alias("s"),
+            imaging.alias("i"),
+            F.concat_ws("\n", present(no_use_setting(x["s"])), present(titled)).alias("e"),
+        )
+
+    def scan(x: Column) -> Column:
+        return let(judged(x["s"]), lambda m: F.when(m["is_relevant"], variants(x, m)).otherwise(_no_strings()))
+
+    def variants(x: Column, m: Column) -> Column:
+        # Most scopes have no phrase to remove; their classification is reused.
+        both = F.struct(
+            F.when(x["i"] == x["s"], m).otherwise(judged(x["i"])).alias("i"),
+            F.when(x["e"] == x["s"], m).otherwise(judged(x["e"])).alias("e"),
+        )
+        return let(both, lambda v: choose(x, m, v["i"], v["e"]))
+
+    def choose(x: Column, m: Column, imaging: Column, endoscopy: Column) -> Column:
+        def has(result: Column, names: list) -> Column:
+            return F.arrays_overlap(result["categories"], F.array(*[F.lit(n) for n in names]))
+
+        chosen = []
+        for group, _label, categories, aliases in groups:
+            source, result = (
+                (x["i"], imaging) if group in IMAGING_GROUPS else (x["e"], endoscopy) if group == "ENDOSCOPY" else (x["s"], m)
+            )
+            ok = has(result, categories)
+            if group in ALIAS_GROUPS:
+                ok = ok & matches(source, aliases)
+            if group == "VENTILATORS":
+                ok = ok | (has(m, ["RESPIRATORY"]) & matches(x["s"], aliases))
+            if group == "ENDOSCOPY":
+                ok = ok | (has(endoscopy, ["ENT_AIRWAY"]) & matches(x["e"], aliases))
+            if group == "OT_LIGHTS":
+                ok = ok & ~matches(x["t"], LIGHT_ACCESSORY)
+            if group == "ULTRASOUND":
+                ok = ok & ~matches(x["s"], NOT_IMAGING_ULTRASOUND)
+            chosen.append(F.when(ok, F.lit(group)))
+        listed = F.array_compact(F.array(*chosen))
+        return F.when(matches(x["s"], SIMULATOR), _no_strings()).otherwise(listed)
+
+    start = F.struct(F.coalesce(title, F.lit("")).alias("t"), product_evidence(F.coalesce(scope_in, F.lit(""))).alias("s"))
+    return df.withColumn(out, once(let(let(start, derive), scan)))
 
 
 # --- candidates for inspection -------------------------------------------------
