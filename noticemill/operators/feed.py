@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import deadline_instant, instant
 from ..functions.identifiers import first_present, present, printed_bid_id
-from ..functions.patterns import matches
+from ..functions.patterns import matches, once
 from ..functions.text import plain_text, whole_quantity
 from ..functions.urls import web_reference
 from .ranking import one_distinct
@@ -35,7 +35,7 @@ def feed_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFr
     """
     base = F.lit(origin)
     url = F.coalesce(web_reference(F.col("tender_url"), base), web_reference(F.col("source_url"), base))
-    own = notices.withColumn("__url", url).filter(F.col("__url").isNotNull())
+    own = notices.withColumn("__url", once(url)).filter(F.col("__url").isNotNull())
     declared = own.select("notice_key", F.posexplode("equipment_items").alias("item_ordinal", "e")).select(
         "notice_key",
         F.lit(1).alias("tier"),
