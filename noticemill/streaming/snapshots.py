@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.snapshots import AHEAD_SECONDS, latest_records
@@ -25,7 +25,8 @@ def bucket_of(source: Column) -> Column:
 
 def _latest(spark: SparkSession, folder: str, schema: StructType, before: int | None = None) -> DataFrame:
     """Newest version of every bucket (older than a batch, when given)."""
-    with_parts = StructType(schema.fields).add("bucket", "int").add("version", "bigint")
+    parts = [StructField("bucket", IntegerType()), StructField("version", LongType())]
+    with_parts = StructType([*schema.fields, *parts])
     try:
         state = spark.read.schema(with_parts).parquet(folder)
     except AnalysisException:
