@@ -23,6 +23,8 @@ OFFICIAL_HOSTS = [
 DOCUMENT_LINK = r"\.(?:pdf|xlsx?)(?:$|\?)"
 SESSION_COMPONENT = r"docDownoad|DirectLink_(?:1|9)$"
 
+_CANONICAL = r"^https?://[a-z0-9.\-]+/(?!.*/\.{1,2}/)[^ ]*$"
+_ABSOLUTE = r"^(?i)[a-z][a-z0-9+.\-]*:"
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -76,7 +78,7 @@ def absolute(href: Column, base: Column) -> Column:
         root = F.concat(scheme(page), F.lit("://"), authority(page))
         folder = F.regexp_replace(path(page), r"[^/]*$", "")
         return (
-            F.when(matches(link, r"^[a-z][a-z0-9+.\-]*:"), link)
+            F.when(link.rlike(_ABSOLUTE), link)
             .when(F.startswith(link, F.lit("//")), F.concat(scheme(page), F.lit(":"), link))
             .when(F.startswith(link, F.lit("/")), F.concat(root, link))
             .when(F.startswith(link, F.lit("?")), F.concat(root, path(page), link))
@@ -100,7 +102,12 @@ def canonical(url: Column) -> Column:
         ).otherwise("")
         user = F.regexp_extract(authority(u), r"^([^@]*@)", 1)
         built = F.concat(scheme(u), F.lit("://"), user, host(u), shown_port, p, _part(u, 4), _part(u, 5))
-        return F.when(host(u).isNotNull(), F.replace(built, F.lit(" "), F.lit("%20"))).otherwise(u)
+        # Most links are canonical already; one pattern settles them.
+        return (
+            F.when(u.rlike(_CANONICAL), u)
+            .when(host(u).isNotNull(), F.replace(built, F.lit(" "), F.lit("%20")))
+            .otherwise(u)
+        )
 
     return let(url, build)
 

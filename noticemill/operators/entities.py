@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import STRICT_BID_ID, alias_key, notice_ids, present
-from ..functions.patterns import java, let, matches
+from ..functions.patterns import java, let, matches, once
 from ..functions.text import field_between, product_evidence
 
 FIRST_WORD_LIMIT = 10_000
+OPENING_WORDS = 3
 
 
 def phrase_table(
@@ -35,42 +36,53 @@ def phrase_table(
 def match_phrases(texts: DataFrame, phrases: DataFrame, key: str = "notice_key", text: str = "text") -> DataFrame:
     """(key, entity_id) for every phrase that occurs on word boundaries in the text.
 
-    The text becomes the word n-grams of the lengths the dictionary has, starting
-    only at words that open some phrase, and meets the dictionary in an equi-join.
-    Phrase lengths and opening words are dimension statistics: at most
-    ``FIRST_WORD_LIMIT`` words are read, beyond that no word filter is applied.
-    The join side is left to Spark: it broadcasts under its size threshold and
-    shuffles with skew handling above it.
+    The text becomes word n-grams of the lengths the dictionary has, but only at
+    positions where some phrase can start: its first word, then its first words up to
+    three, are checked first.  The n-grams meet the dictionary in an equi-join.
+    Lengths and openings are dimension statistics read once; beyond
+    ``FIRST_WORD_LIMIT`` openings no opening filter is applied.  The join side is left
+    to Spark: it broadcasts under its size threshold and shuffles with skew handling
+    above it.
     """
-    lengths = sorted(r[0] for r in phrases.select("words").distinct().collect())
-    openers = [
-        r[0]
-        for r in phrases.select(F.substring_index("phrase", " ", 1).alias("w"))
-        .distinct()
-        .limit(FIRST_WORD_LIMIT + 1)
-        .collect()
-    ]
-    words = F.split(alias_key(F.col(text)), " ")
+    opening = F.substring_index("phrase", " ", OPENING_WORDS)
+    shapes = phrases.select("words", opening.alias("opening")).distinct().limit(FIRST_WORD_LIMIT + 1).collect()
+    if not shapes:
+        return texts.select(key).crossJoin(phrases.select("entity_id").limit(0))
+    filtered = len(shapes) <= FIRST_WORD_LIMIT
+    if filtered:
+        lengths = sorted({r.words for r in shapes})
+    else:
+        lengths = sorted(r[0] for r in phrases.select("words").distinct().collect())
 
-    def starts(w: Column) -> Column:
+    def positions(w: Column, k: int) -> Column:
+        """Starts of phrases whose opening has exactly ``k`` words."""
         every = F.sequence(F.lit(1), F.size(w))
-        if len(openers) > FIRST_WORD_LIMIT:
+        if not filtered:
             return every
-        return F.filter(every, lambda i: F.element_at(w, i).isin(openers))
+        openings = sorted({r.opening for r in shapes if len(r.opening.split(" ")) == k})
+        firsts = sorted({o.split(" ")[0] for o in openings})
+
+        def can_start(i: Column) -> Column:
+            ok = F.element_at(w, i).isin(firsts)
+            return ok if k == 1 else ok & F.array_join(F.slice(w, i, k), " ").isin(openings)
+
+        return F.filter(every, can_start)
 
     def grams(w: Column) -> Column:
         def of_length(n: int, at: Column) -> Column:
             fits = F.filter(at, lambda i: i + (n - 1) <= F.size(w))
             return F.transform(fits, lambda i: F.array_join(F.slice(w, i, n), " "))
 
-        return let(
-            starts(w), lambda at: F.array_distinct(F.concat(*[of_length(n, at) for n in lengths]))
-        )
+        def group(k: int) -> Column:
+            mine = [n for n in lengths if min(n, OPENING_WORDS) == k]
+            return let(positions(w, k), lambda at: F.concat(*[of_length(n, at) for n in mine]))
 
-    if not lengths:
-        return texts.select(key).crossJoin(phrases.select("entity_id").limit(0))
-    exploded = texts.select(F.col(key), words.alias("__w")).select(
-        key, F.explode(grams(F.col("__w"))).alias("phrase")
+        sizes = sorted({min(n, OPENING_WORDS) for n in lengths})
+        return F.array_distinct(F.concat(*[group(k) for k in sizes]))
+
+    words = F.split(alias_key(F.col(text)), " ")
+    exploded = texts.select(F.col(key), once(let(words, grams)).alias("__g")).select(
+        key, F.explode("__g").alias("phrase")
     )
     return exploded.join(phrases.select("phrase", "entity_id"), "phrase").select(key, "entity_id").distinct()
 

@@ -10,6 +10,7 @@ from ..functions.identifiers import first_present, present, printed_bid_id
 from ..functions.patterns import matches, once
 from ..functions.text import plain_text, whole_quantity
 from ..functions.urls import web_reference
+from ..plans.lineage import cut
 from .ranking import one_distinct
 
 # A clause that states one direct quantity, and the list limits.
@@ -96,7 +97,8 @@ def feed_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFr
         F.lit(None).cast("string").alias("source_sheet"),
         F.lit(None).cast("int").alias("source_row"),
     )
-    every = declared.unionByName(schedule).unionByName(title_item)
+    # Read for the tier decision and again for the rows: write it once.
+    every = cut(declared.unionByName(schedule).unionByName(title_item))
     best = every.groupBy("notice_key").agg(F.min("tier").alias("__tier"))
     return every.join(best, "notice_key").filter("tier = __tier").select(*ITEM_COLUMNS)
 
@@ -177,7 +179,7 @@ def feed_notices(notices: DataFrame, items: DataFrame, origin: str) -> DataFrame
     }
     rows = notices.join(listed, "notice_key").select(
         "notice_key",
-        *[c.alias(n) for n, c in content.items()],
+        *[once(c).alias(n) if n in ("revisions", "documents", "references") else c.alias(n) for n, c in content.items()],
         "items",
         iso(instant(F.coalesce(col("fetched_at"), col("checked_at")))).alias("discovered_at"),
     )

@@ -17,6 +17,7 @@ from ..functions.dates import instant
 from ..functions.identifiers import identity_agrees, present
 from ..functions.patterns import any_of, extract, java, let, matches
 from ..functions.text import product_evidence
+from ..plans.lineage import cut
 from ..sources import medical_rules as rules
 from .classify import MEDICAL, classify, priority_groups
 from .ranking import first_rows
@@ -206,6 +207,9 @@ def extract_requirements(
         }
     )
 
+    # Every step below reads the hits; the scan of the text happens once.
+    hits = cut(hits)
+
     # Ambiguity: several texts in one amendment, or several amendments without distinct dates.
     scope = ["notice_key", "section", "lower_field", "subject"]
     per_doc = (

@@ -9,7 +9,7 @@ from ..functions.urls import host, path
 from ..operators import feed, quality, search, selection, snapshots, status
 from ..operators.components import connected_components
 from ..operators.dedupe import deduplicate, link_retenders
-from .tables import clock, iso_day, table
+from .tables import clock, iso_day, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -30,7 +30,7 @@ NOW = "1998-09-15 12:00:00"
 
 def order_notices(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as notices: closing day = order day + 60, priority as verification and precision."""
-    o = table(spark, folder, "orders")
+    o = spread(table(spark, folder, "orders"))
     day = F.col("o_orderdate")
     k = F.col("o_orderkey")
     return o.select(
@@ -53,7 +53,11 @@ def order_notices(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_amendments(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as amendments: returned parts cancel, accepted parts revise the closing day."""
-    li = table(spark, folder, "lineitem")
+    li = spread(
+        table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"
+        )
+    )
     return li.select(
         F.col("l_orderkey").alias("notice_key"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ordinal"),

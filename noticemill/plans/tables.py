@@ -20,7 +20,7 @@ def iso_day(ts: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a text scan whose files give fewer splits than cores.
+    """Use every core for a text-heavy projection whose files give fewer splits than cores.
 
     Inputs that already have enough splits - any large table - are left alone.
     """

@@ -122,7 +122,7 @@ def _rendered(orders: DataFrame):
     """,
 )
 def order_dates_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"))
     return orders.select("o_orderkey", parse_listing_date(_rendered(orders), True).alias("parsed"))
 
 
@@ -146,7 +146,7 @@ def order_dates_parsed(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def order_labelled_deadlines(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"))
     a = F.date_format("o_orderdate", "dd-MM-yyyy")
     b = F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS"), "dd-MM-yyyy")
     k = F.col("o_orderkey") % 4
