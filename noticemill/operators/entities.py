@@ -33,6 +33,30 @@ def phrase_table(
     )
 
 
+# The index source of each region, and the source every entity shares.
+REGION_SOURCES = {
+    "Chandigarh": "gem-direct",
+    "Punjab": "gem-direct-punjab",
+    "Himachal Pradesh": "gem-direct-himachal",
+    "Jammu and Kashmir": "gem-direct-jammu-kashmir",
+    "Uttarakhand": "gem-direct-uttarakhand",
+    "Haryana": "gem-direct-haryana",
+}
+SHARED_SOURCE = "gem-priority-keywords"
+
+
+def with_region_sources(
+    entities: DataFrame, region_sources: dict[str, str] = REGION_SOURCES, shared: str | None = SHARED_SOURCE
+) -> DataFrame:
+    """Directory rows with their region's index source and the shared source appended once."""
+    own = F.lit(None).cast("string")
+    for region, source in region_sources.items():
+        own = F.when(F.col("region") == region, source).otherwise(own)
+    extra = F.array_compact(F.array(own, F.lit(shared).cast("string")))
+    listed = F.coalesce("source_ids", F.array().cast("array<string>"))
+    return entities.withColumn("source_ids", F.array_union(listed, extra))
+
+
 def match_phrases(texts: DataFrame, phrases: DataFrame, key: str = "notice_key", text: str = "text") -> DataFrame:
     """(key, entity_id) for every phrase that occurs on word boundaries in the text.
 

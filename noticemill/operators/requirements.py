@@ -97,13 +97,23 @@ def clause_lines(pages: DataFrame, book: ClauseBook = ClauseBook()) -> DataFrame
         F.filter(F.transform("__lines", mark), lambda m: m["state"].isNotNull()),
     ).otherwise(F.expr("cast(array() as array<struct<i:int,state:int>>)"))
     marked = marked.withColumn("__marks", marks)
-    # One narrow row per page carries the open section into the next page.
-    earlier = Window.partitionBy("notice_key", "doc_ordinal").orderBy("page_ordinal").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    marked = marked.withColumn(
-        "__carry", F.coalesce(F.last(F.try_element_at("__marks", F.lit(-1))["state"], True).over(earlier), F.lit(0))
-    )
+    # Only pages that open or close a section matter for the pages after them: a
+    # narrow table of intervals, instead of sorting page text per document.
+    doc = ["notice_key", "doc_ordinal"]
+    states = marked.filter(F.size("__marks") > 0).select(
+        *[F.col(c).alias(f"__{c}") for c in doc],
+        F.col("page_ordinal").alias("__from"),
+        F.try_element_at("__marks", F.lit(-1))["state"].alias("__open"),
+    )
+    following = Window.partitionBy("__notice_key", "__doc_ordinal").orderBy("__from")
+    states = states.withColumn("__to", F.lead("__from").over(following)).filter("__open = 1")
+    inside = (
+        (F.col("notice_key") == F.col("__notice_key"))
+        & (F.col("doc_ordinal") == F.col("__doc_ordinal"))
+        & (F.col("page_ordinal") > F.col("__from"))
+        & (F.col("__to").isNull() | (F.col("page_ordinal") <= F.col("__to")))
+    )
+    marked = marked.join(states, inside, "left").withColumn("__carry", F.coalesce("__open", F.lit(0)))
     clauses = F.transform(
         "__lines",
         lambda line, i: F.struct(
@@ -393,7 +403,8 @@ def promote_document_scope(
 ) -> DataFrame:
     """Give generic notices the product scope their own parsed documents prove.
 
-    Text per notice is bounded by the scope length before it is kept.
+    Documents per notice are bounded upstream (``document_order``), and what is kept
+    is bounded by the scope length.
     """
     usable = documents.filter((F.col("doc_status") == "parsed") & (F.col("doc_type") != "corrigendum"))
     rows = pages.join(usable.select("notice_key", "doc_ordinal", "doc_type"), ["notice_key", "doc_ordinal"])
@@ -455,6 +466,35 @@ def document_description(text: Column, length: int = 12_000) -> Column:
     )
 
 
+def apply_document_text(notices: DataFrame, documents: DataFrame, length: int = 12_000) -> DataFrame:
+    """Use the text of a notice's own document as its description, with two provenance references.
+
+    ``documents`` has one (notice_key, url, text) per notice; a document naming only
+    other notices is ignored.
+    """
+    docs = documents.select("notice_key", F.col("url").alias("__url"), F.col("text").alias("__text"))
+    work = notices.join(docs, "notice_key", "left")
+    ok = F.col("__text").isNotNull() & identity_agrees(F.col("tender_id"), F.col("__text"))
+    kind = "array<struct<source_id:string,source_name:string,url:string>>"
+    references = F.array(
+        F.struct("source_id", "source_name", F.col("source_url").alias("url")),
+        F.struct("source_id", F.lit("Official procurement document").alias("source_name"), F.col("__url").alias("url")),
+    ).cast(kind)
+    return (
+        work.withColumn("__ok", ok)
+        .withColumns(
+            {
+                "description": F.when(
+                    F.col("__ok"), F.coalesce(document_description(F.col("__text"), length), F.col("description"))
+                ).otherwise(F.col("description")),
+                "source_references": F.when(F.col("__ok"), references).otherwise(F.col("source_references")),
+                "verification": F.when(F.col("__ok"), "listing").otherwise(F.col("verification")),
+            }
+        )
+        .drop("__url", "__text", "__ok")
+    )
+
+
 def spreadsheet_rows(cells: DataFrame) -> DataFrame:
     """Flatten sheet cells to one text per row; values get the last header's column names.
 

@@ -9,6 +9,7 @@ from ..functions.urls import host, path
 from ..operators import feed, quality, search, selection, snapshots, status
 from ..operators.components import connected_components
 from ..operators.dedupe import deduplicate, link_retenders
+from ..operators.ranking import one_distinct
 from .tables import clock, iso_day, spread, table
 
 QUERIES: dict = {}
@@ -695,6 +696,42 @@ def event_latest_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("source_id", "status", "attempted_at", "successful_at", "stale")
 
 
+@query_of(
+    "event_read_state",
+    """
+    WITH c AS (SELECT user_id::VARCHAR AS source_id, max(ts) AS seen, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1),
+    a AS (SELECT *, epoch_us(TIMESTAMP '2024-01-30 20:00:00') - epoch_us(date_trunc('second', seen)) AS age FROM c)
+    SELECT source_id, errors > 15 OR age > 900000000 OR age < -300000000 AS stale,
+      CASE WHEN errors > 15 THEN 'UNAVAILABLE' WHEN age > 900000000 OR age < -300000000 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM a
+    """,
+)
+def event_read_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Users as sources read at a fixed clock: old or future observations are stale."""
+    e = table(spark, folder, "events").groupBy(F.col("user_id").cast("string").alias("source_id")).agg(
+        F.max("ts").alias("seen"), F.count_if(F.col("event_type") == "error").alias("errors")
+    )
+    text = F.concat(F.date_format("seen", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    rows = e.select(
+        "source_id", text.alias("successful_at"), text.alias("attempted_at"), (F.col("errors") > 15).alias("stale"),
+        F.when(F.col("errors") > 15, "UNAVAILABLE").otherwise("SUCCESS").alias("status"),
+    )
+    return snapshots.read_staleness(rows, clock("2024-01-30 20:00:00")).select("source_id", "stale", "status")
+
+
+@query_of(
+    "order_agreed_values",
+    """
+    SELECT l_orderkey AS notice_key, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END AS flag,
+      CASE WHEN min(l_quantity) = max(l_quantity) THEN min(l_quantity)::INT END AS quantity FROM lineitem GROUP BY 1
+    """,
+)
+def order_agreed_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Values all lines of an order agree on, else NULL."""
+    return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("notice_key")).agg(
+        one_distinct(F.col("l_returnflag")).alias("flag"), one_distinct(F.col("l_quantity").cast("int")).alias("quantity")
+    )
+
+
 # --- feed --------------------------------------------------------------------------
 
 ORIGIN = "https://feed.gov.in"

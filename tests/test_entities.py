@@ -121,3 +121,9 @@ def test_phrases_match_brute_force(spark):
     p = en.phrase_table(spark.createDataFrame(phrases, "id string, name string"), phrases=["name"], alias_col=None)
     want = {(k, i) for k, s in texts for i, ph in phrases if f" {ph.lower().replace('-', ' ')} " in f" {s} "}
     assert {(r.notice_key, r.entity_id) for r in en.match_phrases(t, p).collect()} == want
+
+
+def test_directory_sources(spark):
+    df = spark.createDataFrame([("a", "Punjab", ["s", "gem-direct-punjab"]), ("b", "Elsewhere", None)], "id string, region string, source_ids array<string>")
+    got = {r.id: r.source_ids for r in en.with_region_sources(df).collect()}
+    assert got == {"a": ["s", "gem-direct-punjab", "gem-priority-keywords"], "b": ["gem-priority-keywords"]}

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from noticemill.operators.requirements import (
-    document_description, extract_requirements, guard_identity, promote_document_scope, spreadsheet_rows,
+    apply_document_text, document_description, extract_requirements, guard_identity, promote_document_scope, spreadsheet_rows,
 )
 from noticemill.operators.search import section_view
 
@@ -122,3 +122,11 @@ def test_promotion_and_guard(spark):
     d = spark.createDataFrame([("parsed", "GEM/2026/B/2"), ("parsed", "GEM/2026/B/1")], "doc_status string, text string").coalesce(1)
     assert [(r.doc_status, r.text) for r in guard_identity(d, F.lit("GEM/2026/B/1")).collect()] == [("unavailable", ""), ("parsed", "GEM/2026/B/1")]
     assert values(spark, ["Page 1 of 3\nBed\n-- 2 of 3 --\nUnit"], document_description) == ["Bed\nUnit"]
+
+
+def test_document_text_replaces_the_description(spark):
+    df = notices(spark, {"tender_id": "GEM/2026/B/1"}, {"tender_id": "GEM/2026/B/2", "description": "kept"}, {"description": "kept"})
+    docs = spark.createDataFrame([(0, "u", "Page 1\nGEM/2026/B/1 beds"), (1, "u", "GEM/2026/B/9")], "notice_key bigint, url string, text string")
+    got = {r.notice_key: r for r in apply_document_text(df, docs).collect()}
+    assert got[0].description == "GEM/2026/B/1 beds" and [x.url for x in got[0].source_references] == ["https://a.gov.in/list", "u"]
+    assert got[1].description == "kept" and got[2].description == "kept" and got[1].source_references is None
