@@ -15,7 +15,7 @@ from ..plans.lineage import cut
 from .common import as_texts, documents, id_key, original_id
 
 #: White space that is neither space nor line feed.
-OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]")
+OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 END_OF_TEXT = "<|endoftext|>"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -19,6 +21,7 @@ SYMBOLS = b"#*$%&|<>"
 NOT_CHARACTERS = SPACE + bytes(range(0x80, 0xC0))  # white space and continuation bytes
 WINDOW = 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 @dataclass
@@ -38,9 +41,8 @@ def repeated_words(words: list[bytes]) -> int:
     n = len(words)
     if n <= WINDOW:
         return 0
-    numbers: dict[bytes, int] = {}
-    number = count(1)
-    ids = np.fromiter((numbers.get(w) or numbers.setdefault(w, next(number)) for w in words), np.uint64, n)
+    numbers: dict[bytes, int] = defaultdict(count(1).__next__)
+    ids = np.fromiter(map(numbers.__getitem__, words), np.uint64, n)
     h = mix(ids * ODD)
     for width in (1, 2, 4):
         h = mix(h[:-width] * ODD + h[width:])
@@ -85,7 +87,7 @@ def _dup_lines(t: Text) -> bool:
 
 def _few_letters(t: Text) -> bool:
     """Fewer than seven in ten words hold a letter (any byte beyond ASCII counts as one)."""
-    lettered = sum(1 for w in t.words if w.isalpha() or any(c > 127 or 65 <= c <= 90 or 97 <= c <= 122 for c in w))
+    lettered = sum(1 for w in t.words if w.isalpha() or LETTER.search(w))
     return 10 * lettered < 7 * len(t.words)
 
 
@@ -96,10 +98,7 @@ def _shouting(t: Text) -> bool:
 
 def _one_word(t: Text) -> bool:
     """One word makes up more than a quarter of a text."""
-    seen: dict[bytes, int] = {}
-    for w in t.words:
-        seen[w] = seen.get(w, 0) + 1
-    return 4 * max(seen.values(), default=0) > len(t.words)
+    return 4 * max(Counter(t.words).values(), default=0) > len(t.words)
 
 
 #: Rules by name; true rejects.  Their order here has no meaning.
