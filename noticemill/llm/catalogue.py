@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import line_dedup, packing, pieces, quality_model, quality_rules, sharding
+from . import line_dedup, near_dedup, packing, pieces, quality_model, quality_rules, sharding, top_k
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -8,8 +8,11 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_pieces": pieces.op6_pieces,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_quality_model": quality_model.op9_quality_model,
+    "op10_top_k": top_k.op10_top_k,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op10_top_k": top_k.ORACLE,
 }
