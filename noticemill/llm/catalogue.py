@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import line_dedup, near_dedup, packing, pieces, quality_model, quality_rules, sharding, top_k
+from . import line_dedup, near_dedup, packing, pieces, quality_model, quality_rules, sharding, suffix_dedup, top_k
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op5_packing": packing.op5_packing,
