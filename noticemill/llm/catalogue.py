@@ -1,11 +1,12 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import line_dedup, near_dedup, packing, pieces, quality_model, quality_rules, sharding, suffix_dedup, top_k
+from . import line_dedup, lm_scoring, near_dedup, packing, pieces, quality_model, quality_rules, sharding, suffix_dedup, top_k
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_packing": packing.op5_packing,
     "op6_pieces": pieces.op6_pieces,
     "op7_quality_rules": quality_rules.op7_quality_rules,
