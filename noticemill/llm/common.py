@@ -26,6 +26,15 @@ def original_id(key: str) -> Column:
     return F.when(F.col(key) != NULL_ID, F.col(key))
 
 
+def carried(docs: DataFrame, columns: list[str]) -> Column:
+    """Further columns of a row as one struct, so that no name clashes on the way."""
+    return F.struct(F.lit(0).alias("none_"), *[F.col(c) for c in columns]).alias("carry_")
+
+
+def uncarried(columns: list[str]) -> list[Column]:
+    return [F.col("carry_").getField(c).alias(c) for c in columns]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
     return [v or b"" for v in column.cast(pa.binary()).to_pylist()]

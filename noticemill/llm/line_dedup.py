@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import ASCII_SPACE, as_bytes, documents, id_key, original_id
+from .common import ASCII_SPACE, as_bytes, carried, documents, id_key, original_id, uncarried
 
 
 def line_key(line: bytes, min_points: int) -> bytes | None:
@@ -21,8 +21,10 @@ def line_key(line: bytes, min_points: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def line_dedup(docs: DataFrame, min_points: int = 10, min_documents: int = 2) -> DataFrame:
-    """(doc_id, kept_text, n_lines, n_dropped), one row per input row.
+def line_dedup(
+    docs: DataFrame, min_points: int = 10, min_documents: int = 2, carry: list[str] | None = None
+) -> DataFrame:
+    """(doc_id, kept_text, n_lines, n_dropped and the columns to carry along), one row per input row.
 
     A line's key is the line without ASCII white space at both ends and with A-Z lower-cased.  Keys of at least
     ``min_points`` code points held by ``min_documents`` distinct documents or more lose all their lines except in the
@@ -35,7 +37,8 @@ def line_dedup(docs: DataFrame, min_points: int = 10, min_documents: int = 2) ->
     Only hashes are counted: one row per distinct key of a document.  The counts combine map-side, a key held by very
     many documents is met by the skew handling of the join, and texts are shuffled once to meet their dropped keys.
     """
-    base = docs.select(id_key().alias("key_"), F.col("text").cast("string").alias("text"))
+    carry = carry or []
+    base = docs.select(id_key().alias("key_"), F.col("text").cast("string").alias("text"), carried(docs, carry))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +51,7 @@ def line_dedup(docs: DataFrame, min_points: int = 10, min_documents: int = 2) ->
                 [pa.array(hashes, pa.binary()), pa.array(ids, pa.int64())], names=["hash", "key_"]
             )
 
-    held = base.mapInArrow(keys, "hash binary, key_ long")
+    held = base.select("key_", "text").mapInArrow(keys, "hash binary, key_ long")
     if min_documents == 2:
         counted = held.groupBy("hash").agg(F.min("key_").alias("first"), F.max("key_").alias("last"))
         repeated = counted.filter("first < last").select("hash", "first")
@@ -65,7 +68,7 @@ def line_dedup(docs: DataFrame, min_points: int = 10, min_documents: int = 2) ->
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, drops in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, drops in zip(as_bytes(batch.column(1)), batch.column(3).to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 if drops:
                     drops = set(drops)
@@ -80,14 +83,18 @@ def line_dedup(docs: DataFrame, min_points: int = 10, min_documents: int = 2) ->
                     pa.array(texts, pa.binary()).cast(pa.string()),
                     pa.array(lines, pa.int64()),
                     pa.array(gone, pa.int64()),
+                    batch.column(2),
                 ],
-                names=["key_", "kept_text", "n_lines", "n_dropped"],
+                names=["key_", "kept_text", "n_lines", "n_dropped", "carry_"],
             )
 
+    kind = base.schema["carry_"].dataType.simpleString()
     out = base.join(dropped, "key_", "left").mapInArrow(
-        reassemble, "key_ long, kept_text string, n_lines long, n_dropped long"
+        reassemble, f"key_ long, kept_text string, n_lines long, n_dropped long, carry_ {kind}"
+    )
+    return out.select(
+        original_id("key_").alias("doc_id"), "kept_text", "n_lines", "n_dropped", *uncarried(carry)
     )
-    return out.select(original_id("key_").alias("doc_id"), "kept_text", "n_lines", "n_dropped")
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

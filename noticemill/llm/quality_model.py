@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
 from .common import NULL_ID, as_bytes, documents, id_key, original_id
 from .quality_rules import SPACE, SYMBOLS, measure
 
@@ -183,52 +182,58 @@ def fit_additive(
     return model
 
 
-def text_features(docs: DataFrame) -> DataFrame:
-    """(key_, x): features of each whole text; null and empty texts have zeros."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(data) for data in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["key_", "x"]
-            )
-
-    return docs.select(id_key().alias("key_"), F.col("text").cast("string")).mapInArrow(run, "key_ long, x array<double>")
-
-
 def fold(key: str = "key_") -> Column:
     """0 for ids that training never sees."""
     return F.crc32(F.coalesce(original_id(key).cast("string"), F.lit(""))) % 5
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = 20_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted): a score from 0 to 1 for each row, higher for good text.
-
-    ``labels`` has doc_id and quality (0 or 1; null is no label; several labels of one id: the least).  Rows whose
-    crc32(doc_id as text) mod 5 is 0 are never learned from.  At most ``fit_rows`` labelled rows, those with the
-    smallest hash of their id, are brought to the driver as feature rows of 17 numbers; every row is scored.  Only the
-    text is looked at.  Null and empty texts are scored as texts without words; without labels every score is one half;
-    repeated rows each get a row, and null ids are held out.
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> AdditiveModel:
+    """A model of ``labels`` (doc_id, quality) learned from the texts of ``docs``.
 
-    Texts are read once; the feature rows are written to the checkpoint folder and serve both fitting and scoring.
+    At most ``fit_rows`` labelled documents are looked at, those with the smallest hash of their id; rows whose
+    crc32(doc_id as text) mod 5 is 0 are never among them.  A null quality is no label; of several labels of one id
+    the least counts; null ids are left out.  Feature rows of 17 numbers come to the driver.
     """
-    rows = cut(text_features(docs))
     known = (
         labels.select(id_key().alias("key_"), F.col("quality").cast("int").alias("y"))
         .filter(F.col("y").isNotNull() & (F.col("key_") != NULL_ID) & (fold() != 0))
         .groupBy("key_")
         .agg(F.min("y").alias("y"))
+        .orderBy(F.xxhash64("key_"), "key_")
+        .limit(fit_rows)
     )
-    sample = known.join(rows, "key_").orderBy(F.xxhash64("key_"), "key_").limit(fit_rows).select("x", "y").toPandas()
-    x = np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES))
-    model = fit_additive(x, sample["y"].to_numpy(float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(flat))], names=["key_", "score"])
+            x = [features(data) for data in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+
+    texts = docs.select(id_key().alias("key_"), F.col("text").cast("string").alias("text"))
+    labelled = texts.join(F.broadcast(known), "key_").select("text", "y")  # at most fit_rows short rows
+    sample = labelled.mapInArrow(run, "x array<double>, y int").limit(fit_rows).toPandas()
+    return fit_additive(np.array(sample["x"].tolist(), float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float))
+
 
-    return rows.mapInArrow(run, "key_ long, score double").select(
+def _scores(model: AdditiveModel, texts: pa.Array) -> np.ndarray:
+    return model.score(np.array([features(data) for data in as_bytes(texts)], float).reshape(-1, len(FEATURES)))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = 20_000) -> DataFrame:
+    """(doc_id, held_out, score, predicted): a score from 0 to 1 for each row, higher for good text.
+
+    See ``fit_quality`` for what is learned from.  Every row is scored by its text alone, in one pass without a
+    shuffle.  Null and empty texts are scored as texts without words; without labels every score is one half; repeated
+    rows each get a row; null ids are held out; other columns are ignored.
+    """
+    model = fit_quality(docs, labels, fit_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pa.array(_scores(model, batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), score], names=["key_", "score"])
+
+    texts = docs.select(id_key().alias("key_"), F.col("text").cast("string"))
+    return texts.mapInArrow(run, "key_ long, score double").select(
         original_id("key_").alias("doc_id"),
         (fold() == 0).alias("held_out"),
         "score",
@@ -236,6 +241,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     )
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns."""
+    model = fit_quality(docs, labels, fit_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(_scores(model, texts) >= threshold))
+
+    return docs.select("*", F.col("text").cast("string").alias("judged_")).mapInArrow(run, docs.schema)
+
+
 def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder.rstrip('/')}/labels.parquet")
     return quality_scores(documents(spark, folder), labels)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import as_bytes, documents, id_key, mix, original_id
+from .common import as_bytes, carried, documents, id_key, mix, original_id, uncarried
 from .suffix_sort import deep_shallow_order
 
 GRAM = 24  # bytes of an anchor
@@ -260,13 +260,26 @@ def _removed(pieces: DataFrame, width: int, most: int = 4 << 20) -> DataFrame:
 NAMES = ["key_", "sum_", "lo", "hi"]
 
 
-def repeated_passages(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc_id, kept, spans, n_bytes), one row per input row; ``spans`` are the maximal removed (lo, hi) byte ranges.
+def whole_characters(text: bytes, lo: int, hi: int) -> tuple[int, int]:
+    """The part of a byte range that holds whole characters."""
+    while lo < hi and text[lo] & 0xC0 == 0x80:
+        lo += 1
+    while hi > lo and hi < len(text) and text[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return lo, hi
+
+
+def repeated_passages(
+    docs: DataFrame, width: int = 100, characters: bool = False, carry: list[str] | None = None
+) -> DataFrame:
+    """(doc_id, kept, spans, n_bytes and the columns to carry along), one row per input row.
+
+    ``spans`` are the maximal removed (lo, hi) byte ranges.
 
     A text counts as its UTF-8 bytes (null: none).  A byte is removed when a string of ``width`` bytes that covers it
     also starts earlier: in a smaller doc_id, or in the same document at an earlier start.  Overlapping strings count,
     strings never cross documents, and all are judged on the input.  ``kept`` holds the remaining bytes; cut inside a
-    character they need not be valid UTF-8 (see ``whole_characters``).
+    character they need not be valid UTF-8, unless ``characters`` asks that only whole characters go.
 
     Texts shorter than ``width`` lose nothing.  Rows that share a doc_id are texts of one document: their strings are
     compared by start alone, so equal rows keep the same bytes.  Null ids stand last as one document.  Other columns
@@ -277,10 +290,12 @@ def repeated_passages(docs: DataFrame, width: int = 100) -> DataFrame:
     they are put in suffix order.  Copies of a piece inside a task are settled before the shuffle, and an anchor with
     very many places is dealt out by the bytes its windows share, so no key gathers all of a passage's contexts.
     """
+    carry = carry or []
     texts = docs.select(
         id_key().alias("key_"),
         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sum_"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        carried(docs, carry),
     )
     found = _anchor_rows(texts, width)
     repeated = cut(
@@ -301,7 +316,7 @@ def repeated_passages(docs: DataFrame, width: int = 100) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, merged, sizes = [], [], []
-            for text, found_ in zip(as_bytes(batch.column(1)), batch.column(2), strict=True):
+            for text, found_ in zip(as_bytes(batch.column(1)), batch.column(3), strict=True):
                 sizes.append(len(text))
                 if not found_.is_valid:
                     kept.append(text)
@@ -312,22 +327,29 @@ def repeated_passages(docs: DataFrame, width: int = 100) -> DataFrame:
                 lo, hi = lo[by], np.maximum.accumulate(hi[by])
                 first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
                 lo, hi = lo[first], hi[np.r_[first[1:], len(hi)] - 1]
-                ends = [0, *hi.tolist()]
-                kept.append(b"".join(text[a:b] for a, b in zip(ends, [*lo.tolist(), len(text)], strict=True)))
-                merged.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+                spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
+                if characters:
+                    spans = [(a, b) for a, b in (whole_characters(text, *span) for span in spans) if a < b]
+                ends, starts = [0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)]
+                kept.append(b"".join(text[a:b] for a, b in zip(ends, starts, strict=True)))
+                merged.append([{"lo": a, "hi": b} for a, b in spans])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(kept, pa.binary()),
                     pa.array(merged, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
                     pa.array(sizes, pa.int64()),
+                    batch.column(2),
                 ],
-                names=["key_", "kept", "spans", "n_bytes"],
+                names=["key_", "kept", "spans", "n_bytes", "carry_"],
             )
 
-    out = texts.join(spans, ["key_", "sum_"], "left").select("key_", "text", "spans")
-    out = out.mapInArrow(run, "key_ long, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long")
-    return out.select(original_id("key_").alias("doc_id"), "kept", "spans", "n_bytes")
+    kind = texts.schema["carry_"].dataType.simpleString()
+    out = texts.join(spans, ["key_", "sum_"], "left").select("key_", "text", "carry_", "spans")
+    out = out.mapInArrow(
+        run, f"key_ long, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long, carry_ {kind}"
+    )
+    return out.select(original_id("key_").alias("doc_id"), "kept", "spans", "n_bytes", *uncarried(carry))
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
