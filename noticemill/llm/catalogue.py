@@ -16,5 +16,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
+    "op8_near_dedup": near_dedup.ORACLE,
     "op10_top_k": top_k.ORACLE,
 }

@@ -48,6 +48,7 @@ class MarkedWords:
         """Little-endian ids with begin and end; ``word`` is the marked word without its first mark."""
         if not text:
             return b"".join(self.ends)
+        text = text.replace(MARK, " ")  # a mark in the text is a space to the library
         if "  " in text or text[0] == " " or text[-1] == " ":
             words = [found[1:] for found in re.findall(r" +[^ ]*", " " + text)]
         else:

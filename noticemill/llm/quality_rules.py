@@ -145,7 +145,7 @@ def cascade_order(docs: DataFrame, rules: dict[str, Callable[[Text], bool]], sam
     sample = docs.select(F.col("text").cast("string")).limit(sample_rows)
     found = sample.mapInArrow(trial, "name string, seconds double, rejected long, tried long")
     totals = found.groupBy("name").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("n")).collect()
-    worth = {r["name"]: (r["n"] + 0.5) / (r["s"] + 1e-6) for r in totals}
+    worth = {r["name"]: r["n"] / (r["s"] + 1e-6) for r in totals}
     return sorted(names, key=lambda name: (-worth.get(name, 0.0), name))
 
 
@@ -204,3 +204,36 @@ NAMES = [
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder)).drop("rejected_by")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) > 8)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM win) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id
+), one AS (
+  SELECT doc_id, max(n) AS most
+  FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY doc_id, w) GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+         len(list_filter(ws, lambda w: regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper_case, coalesce(most, 0) AS most
+  FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN one ON one.doc_id = d.doc_id
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > n_words
+            OR 10 * n_dup_lines > 3 * n_lines OR 10 * lettered < 7 * n_words OR 2 * upper_case > word_chars
+            OR 4 * most > n_words) AS kept
+FROM b
+"""
