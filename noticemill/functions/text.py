@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,84 +48,103 @@ BUYER_LINE = (
 DEPARTMENT_OF_AREA = r"\b(?:department|deptt?\.?)\s+(?:of{1,2}|for)\s+(?:the\s+)?" + CLINICAL_AREA + r"\b"
 AREA_ROOM = r"\b" + CLINICAL_AREA + r"\s+(?:department|deptt?\.?|room|ward|block|wing|area|opd)\b"
 
-_MARK, _JOIN = "\x01", "\x02"
+_MARK = "\x01"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
 
 
-def _at_line(pattern: str) -> str:
-    """Lookahead, at a line start, for a phrase anywhere in that line."""
-    return rf"(?=[^\n]*(?:{pattern}))"
+ADMINISTRATIVE = any_of([ADMINISTRATIVE_PHRASE, ADMINISTRATIVE_LINE, DISCOVERY_PHRASE])
+LOOK_BACK = 4  # an item's value may stand so many lines above its label
 
 
-_TECH = r"(?=" + TECHNICAL_HEADING.replace(".*", r"[^\n]*").replace("^", "", 1) + ")"
-# ``\s`` may not run past the line end here, so line-level blanks are spelled out.
-_ADMIN_LINE = ADMINISTRATIVE_LINE.replace("^", "", 1).replace(r"\s", r"[ \t\f]").replace("$", r"(?=\n|\z)")
-_ADMIN = any_of([_at_line(ADMINISTRATIVE_PHRASE), _at_line(DISCOVERY_PHRASE), rf"(?={_ADMIN_LINE})"])
+def _sections(tagged: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """Lines of the kept sections, joined.
 
+    A tagged line opens a section; ``keep`` picks the sections from the whole array, the one before any mark first
+    and untagged.  Each section but the last ends with the line feed in front of the next mark.
+    """
+    pieces = F.split(F.array_join(tagged, "\n"), _MARK)
 
-def _mark(text: Column, lookahead: str, tag: str) -> Column:
-    """Put a section mark in front of each matching line that has none yet."""
-    return F.regexp_replace(text, java(rf"^(?!{_MARK})" + lookahead, "im"), _MARK + tag)
+    def trimmed(p: Column) -> Column:
+        cut = F.transform(
+            p, lambda x, i: F.when(i < F.size(p) - 1, F.substr(x, F.lit(1), F.greatest(F.length(x) - 1, F.lit(0)))).otherwise(x)
+        )
+        return keep(cut, F.length(F.get(p, F.lit(0))) > 0)
 
+    return F.array_join(let(pieces, trimmed), "\n")
 
-def _tail(pieces: Column) -> Column:
-    return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1)))
 
+def _plain_evidence(lines: Column) -> Column:
+    tagged = F.transform(
+        lines,
+        lambda x: F.when(matches(x, TECHNICAL_HEADING), F.concat(F.lit(_MARK + "T"), x))
+        .when(matches(x, ADMINISTRATIVE), F.concat(F.lit(_MARK + "A"), x))
+        .otherwise(x),
+    )
 
-def _plain_evidence(text: Column) -> Column:
-    def kept(pieces: Column) -> Column:
-        # The first piece carries no tag; after it only technical sections stay.
-        technical = F.filter(_tail(pieces), lambda s: F.startswith(s, F.lit("T")))
-        body = F.array_join(F.transform(technical, lambda s: F.substr(s, F.lit(2))), "")
-        return F.regexp_replace(F.concat(F.get(pieces, F.lit(0)), body), r"\n\z", "")
+    def kept(p: Column, opened: Column) -> Column:
+        technical = F.transform(
+            F.filter(F.slice(p, F.lit(2), F.size(p)), lambda x: F.startswith(x, F.lit("T"))),
+            lambda x: F.substr(x, F.lit(2)),
+        )
+        return F.concat(F.when(opened, F.slice(p, 1, 1)).otherwise(F.array().cast("array<string>")), technical)
 
-    marked = _mark(_mark(text, _TECH, "T"), _ADMIN, "A")
-    return let(F.split(marked, _MARK), kept)
+    return _sections(tagged, kept)
 
 
-def _bid_document_evidence(text: Column) -> Column:
-    # An item label may sit up to four lines below the value it names.
-    look_back = (
-        rf"^(?!{_at_line(NOT_AN_ITEM_VALUE)[3:-1]})([^\n]*[a-z][^\n]*)((?:\n[^a-z\n]*){{0,3}}\n)"
-        r"[^\n]*?" + ITEM_LABEL
-    )
-    with_value = F.regexp_replace(text, java(look_back, "im"), "$1$2" + _MARK + "I$1" + _JOIN)
-    items = F.regexp_replace(
-        with_value, java(rf"^(?!{_MARK})[^\n]*?" + ITEM_LABEL, "im"), _MARK + "I"
-    )
-    marked = _mark(_mark(_mark(items, _TECH, "T"), _ADMIN, "A"), _at_line(ITEM_END_PHRASE), "E")
+def _bid_document_evidence(lines: Column) -> Column:
+    def prior(i: Column) -> Column:
+        """The nearest worded line above, if it can be the item's value."""
+        above = F.slice(lines, F.greatest(i - LOOK_BACK + 1, F.lit(1)), F.least(i, F.lit(LOOK_BACK)))
+        return let(
+            F.get(F.reverse(F.filter(above, lambda x: matches(x, "[a-z]"))), F.lit(0)),
+            lambda x: F.when(x.isNotNull() & ~matches(x, NOT_AN_ITEM_VALUE), F.concat(x, F.lit("\n"))).otherwise(""),
+        )
+
+    def tag(x: Column, i: Column) -> Column:
+        rest = F.regexp_replace(x, java("^.*?" + ITEM_LABEL), "")
+        return (
+            F.when(matches(x, ITEM_LABEL), F.concat(F.lit(_MARK + "I"), prior(i), rest))
+            .when(matches(x, TECHNICAL_HEADING), F.concat(F.lit(_MARK + "T"), x))
+            .when(matches(x, ADMINISTRATIVE), F.concat(F.lit(_MARK + "A"), x))
+            .when(matches(x, ITEM_END_PHRASE), F.concat(F.lit(_MARK + "E"), x))
+            .otherwise(x)
+        )
+
     start = F.struct(F.lit("").alias("section"), F.array().cast("array<string>").alias("kept"))
 
     def step(state: Column, piece: Column) -> Column:
-        tag = F.substring(piece, 1, 1)
-        body = F.substr(piece, F.lit(2))
+        mark = F.substring(piece, 1, 1)
         section = (
-            F.when(tag.isin("I", "T"), tag)
-            .when((tag == "E") & (state["section"] == "T"), F.lit("T"))
-            .otherwise(F.lit(""))
+            F.when(mark.isin("I", "T"), mark).when((mark == "E") & (state["section"] == "T"), F.lit("T")).otherwise("")
         )
+        body = F.array(F.substr(piece, F.lit(2)))
         return F.struct(
-            section.alias("section"),
-            F.when(section != "", F.concat(state["kept"], F.array(body))).otherwise(state["kept"]).alias("kept"),
+            section.alias("section"), F.when(section != "", F.concat(state["kept"], body)).otherwise(state["kept"]).alias("kept")
         )
 
-    tagged = let(F.split(marked, _MARK), _tail)
-    kept = F.aggregate(tagged, start, step, lambda s: F.array_join(s["kept"], ""))
-    return F.regexp_replace(F.translate(kept, _JOIN, "\n"), r"\n\z", "")
+    def kept(p: Column, _opened: Column) -> Column:
+        return F.aggregate(F.slice(p, F.lit(2), F.size(p)), start, step, lambda s: s["kept"])
+
+    return _sections(F.transform(lines, tag), kept)
 
 
 def product_evidence(text: Column) -> Column:
-    """Text without administrative sections; bid documents keep item and technical sections only."""
-    clean = F.translate(F.regexp_replace(text, "\r\n?", "\n"), _MARK + _JOIN, "")
-    return let(
-        clean,
-        lambda t: F.when(matches(t, BID_DOCUMENT), _bid_document_evidence(t))
-        .when(t.rlike(java("^" + _ADMIN, "im")), _plain_evidence(t))
-        .otherwise(t),
-    )
+    """Text without administrative sections; bid documents keep item and technical sections only.
+
+    Headings are looked for line by line.
+    """
+    clean = F.translate(F.regexp_replace(text, "\r\n?", "\n"), _MARK, "")
+
+    def evidence(t: Column) -> Column:
+        return let(
+            F.split(t, "\n"),
+            lambda lines: F.when(matches(t, BID_DOCUMENT), _bid_document_evidence(lines)).otherwise(_plain_evidence(lines)),
+        )
+
+    return let(clean, evidence)
 
 
 def without_clinical_context(text: Column) -> Column:

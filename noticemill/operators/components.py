@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 
 
-def connected_components(edges: DataFrame, node: str = "node", key: str = "key", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, node: str = "node", key: str = "key") -> DataFrame:
     """(node, component): component is the smallest node reachable over shared keys.
 
     ``edges`` is a (node, key) table.  Keys held by one node are dropped first.  Each
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, node: str = "node", key: str = "key",
     shared = e.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
     e = cut(e.join(shared.select("key"), "key", "left_semi"))
     labels = e.groupBy("node").agg(F.min("node").alias("component"))
-    for _ in range(max_rounds):
+    while True:
         by_key = e.join(labels, "node").groupBy("key").agg(F.min("component").alias("component"))
         by_node = e.join(by_key, "key").groupBy("node").agg(F.min("component").alias("reached"))
         step = labels.join(by_node, "node").select(
@@ -32,12 +32,9 @@ def connected_components(edges: DataFrame, node: str = "node", key: str = "key",
                 "node", "old", F.least("component", F.coalesce("further", "component")).alias("component")
             )
         )
-        moved = nxt.filter("old <> component").limit(1).count()
         labels = nxt.select("node", "component")
-        if not moved:
+        if nxt.filter("old <> component").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     everyone = edges.select(F.col(node).alias("node")).distinct()
     return everyone.join(labels, "node", "left").select(
         F.col("node").alias(node), F.coalesce("component", "node").alias("component")

@@ -9,7 +9,6 @@ from ..functions.identifiers import STRICT_BID_ID, alias_key, notice_ids, presen
 from ..functions.patterns import java, let, matches, once
 from ..functions.text import field_between, product_evidence
 
-FIRST_WORD_LIMIT = 10_000
 OPENING_WORDS = 3
 
 
@@ -57,58 +56,36 @@ def with_region_sources(
     return entities.withColumn("source_ids", F.array_union(listed, extra))
 
 
-def match_phrases(texts: DataFrame, phrases: DataFrame, key: str = "notice_key", text: str = "text") -> DataFrame:
-    """(key, entity_id) for every phrase that occurs on word boundaries in the text.
+def match_phrases(
+    texts: DataFrame, phrases: DataFrame, key: str = "notice_key", text: str = "text", carry: list[str] | None = None
+) -> DataFrame:
+    """(key, entity_id and the columns to carry) for every phrase that occurs on word boundaries in the text.
 
-    The text becomes word n-grams of the lengths the dictionary has, but only at
-    positions where some phrase can start: its first word, then its first words up to
-    three, are checked first.  The n-grams meet the dictionary in an equi-join.
-    Lengths and openings are dimension statistics read once; beyond
-    ``FIRST_WORD_LIMIT`` openings no opening filter is applied.  The join side is left
-    to Spark: it broadcasts under its size threshold and shuffles with skew handling
-    above it.
+    Each position of a text meets the dictionary by its first word, first two and first three words; a phrase's key is
+    its first words up to three, so a row survives only where some phrase can start, and longer phrases are then
+    compared with the words that follow.  Spark decides how the dictionary side of the join travels: it broadcasts
+    under its size threshold and shuffles with skew handling above it.
     """
-    opening = F.substring_index("phrase", " ", OPENING_WORDS)
-    shapes = phrases.select("words", opening.alias("opening")).distinct().limit(FIRST_WORD_LIMIT + 1).collect()
-    if not shapes:
-        return texts.select(key).crossJoin(phrases.select("entity_id").limit(0))
-    filtered = len(shapes) <= FIRST_WORD_LIMIT
-    if filtered:
-        lengths = sorted({r.words for r in shapes})
-    else:
-        lengths = sorted(r[0] for r in phrases.select("words").distinct().collect())
-
-    def positions(w: Column, k: int) -> Column:
-        """Starts of phrases whose opening has exactly ``k`` words."""
-        every = F.sequence(F.lit(1), F.size(w))
-        if not filtered:
-            return every
-        openings = sorted({r.opening for r in shapes if len(r.opening.split(" ")) == k})
-        firsts = sorted({o.split(" ")[0] for o in openings})
-
-        def can_start(i: Column) -> Column:
-            ok = F.element_at(w, i).isin(firsts)
-            return ok if k == 1 else ok & F.array_join(F.slice(w, i, k), " ").isin(openings)
-
-        return F.filter(every, can_start)
-
-    def grams(w: Column) -> Column:
-        def of_length(n: int, at: Column) -> Column:
-            fits = F.filter(at, lambda i: i + (n - 1) <= F.size(w))
-            return F.transform(fits, lambda i: F.array_join(F.slice(w, i, n), " "))
-
-        def group(k: int) -> Column:
-            mine = [n for n in lengths if min(n, OPENING_WORDS) == k]
-            return let(positions(w, k), lambda at: F.concat(*[of_length(n, at) for n in mine]))
+    carry = carry or []
+    openings = phrases.select(
+        F.substring_index("phrase", " ", OPENING_WORDS).alias("__opening"), F.split("phrase", " ").alias("__phrase"), "entity_id"
+    )
+    longest = phrases.agg(F.coalesce(F.max("words"), F.lit(1)).alias("__longest"))  # one row
+    words = texts.select(key, *carry, F.split(alias_key(F.col(text)), " ").alias("__words")).crossJoin(longest)
+    at = words.select(
+        key, *carry, "__words", "__longest", F.explode(F.sequence(F.lit(1), F.size("__words"))).alias("__i")
+    ).select(key, *carry, F.slice("__words", F.col("__i"), F.col("__longest")).alias("__next"))
 
-        sizes = sorted({min(n, OPENING_WORDS) for n in lengths})
-        return F.array_distinct(F.concat(*[group(k) for k in sizes]))
+    def opening(n: int) -> Column:
+        return F.when(F.size("__next") >= n, F.array_join(F.slice("__next", 1, n), " "))
 
-    words = F.split(alias_key(F.col(text)), " ")
-    exploded = texts.select(F.col(key), once(let(words, grams)).alias("__g")).select(
-        key, F.explode("__g").alias("phrase")
+    starts = at.withColumn(
+        "__opening", F.explode(F.array_compact(F.array(*[opening(n) for n in range(1, OPENING_WORDS + 1)])))
+    )
+    met = starts.join(openings, "__opening").filter(
+        F.slice("__next", F.lit(1), F.size("__phrase")) == F.col("__phrase")
     )
-    return exploded.join(phrases.select("phrase", "entity_id"), "phrase").select(key, "entity_id").distinct()
+    return met.select(key, *carry, "entity_id").distinct()
 
 
 # Sources matched without a region, and locations that move an item
@@ -164,8 +141,7 @@ def assign_entities(
     texts = work.filter(F.col("__explicit").isNull()).select(
         key, _joined_text(work, TEXT_FIELDS).alias("text"), F.when(~free, F.col("region")).alias("__region")
     )
-    pairs = match_phrases(texts, phrase_table(entities), key)
-    named = pairs.join(dim, "entity_id").join(texts.select(key, "__region"), key)
+    named = match_phrases(texts, phrase_table(entities), key, carry=["__region"]).join(dim, "entity_id")
     in_region = F.col("__region").isNull() | (F.col("__region") == "") | (
         F.col("entity.region") == F.col("__region")
     )

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import deadline_instant, instant
 from ..functions.identifiers import first_present, present, printed_bid_id
-from ..functions.patterns import matches, once
+from ..functions.patterns import matches
 from ..functions.text import plain_text, whole_quantity
 from ..functions.urls import web_reference
-from ..plans.lineage import cut
-from .ranking import one_distinct
+from .ranking import one_distinct, top_per_group
 
 # A clause that states one direct quantity, and the list limits.
 DIRECT_QUANTITY = (
@@ -20,94 +19,131 @@ DIRECT_QUANTITY = (
 ITEM_LIMIT, LIST_LIMIT = 100, 100
 TITLE_LABEL = "Tender title; review equipment lines"
 
+REVISIONS = "array<struct<title:string,url:string,published_date:string,revised_closing_date:string>>"
+
 ITEM_COLUMNS = [
     "notice_key", "tier", "item_ordinal", "item_id", "equipment", "quantity", "quantity_text", "category",
     "source_url", "source_label", "source_page", "source_sheet", "source_row",
 ]
 
 
-def feed_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFrame:
-    """Item rows: declared items, else price-schedule rows, else one title item.
+ITEM = (
+    "struct<item_id:string,equipment:string,quantity:int,quantity_text:string,category:string,source_url:string,"
+    "source_label:string,source_page:int,source_sheet:string,source_row:int>"
+)
+
+
+def _item(item_id, equipment, quantity, quantity_text, category, url, label, page, sheet, row) -> Column:
+    values = (item_id, equipment, quantity, quantity_text, category, url, label, page, sheet, row)
+    names = [c for c in ITEM_COLUMNS if c not in ("notice_key", "tier", "item_ordinal")]
+    return F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)]).cast(ITEM)
+
+
+def with_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFrame:
+    """Notices with a usable address and their ``items`` and ``tier``.
+
+    Declared items (1), else price-schedule rows (2), else one title item (3).  ``notices`` needs notice_key, title,
+    tender_url, source_url, equipment_items and equipment_types (array); ``quantities`` is the long table of current
+    quantity clauses (notice_key, ordinal, requirement, quantity, doc_url, doc_type, label, page, sheet, row).
 
-    ``notices`` needs notice_key, title, tender_url, source_url, equipment_items and
-    equipment_types (array); ``quantities`` is the long table of current quantity
-    clauses (notice_key, ordinal, requirement, quantity, doc_url, doc_type, label, page,
-    sheet, row).
+    Of a notice's price-schedule rows one more than the limit is read, enough for the size guard to see the excess.
     """
     base = F.lit(origin)
+    none = F.lit(None).cast("string")
     url = F.coalesce(web_reference(F.col("tender_url"), base), web_reference(F.col("source_url"), base))
-    own = notices.withColumn("__url", once(url)).filter(F.col("__url").isNotNull())
-    declared = own.select("notice_key", F.posexplode("equipment_items").alias("item_ordinal", "e")).select(
-        "notice_key",
-        F.lit(1).alias("tier"),
-        F.col("item_ordinal").cast("bigint"),
-        F.coalesce(plain_text(F.col("e.id")), F.concat(F.lit("item-"), F.col("item_ordinal") + 1)).alias("item_id"),
-        plain_text(F.col("e.name")).alias("equipment"),
-        whole_quantity(F.col("e.quantity_text")).alias("quantity"),
-        plain_text(F.col("e.quantity_text")).alias("quantity_text"),
-        plain_text(F.col("e.category")).alias("category"),
-        web_reference(F.col("e.source_url"), base).alias("source_url"),
-        plain_text(F.col("e.source_label")).alias("source_label"),
-        F.col("e.source_page").alias("source_page"),
-        plain_text(F.col("e.source_sheet")).alias("source_sheet"),
-        F.col("e.source_row").alias("source_row"),
-    ).filter(F.col("equipment").isNotNull())
-    usable = quantities.join(own.select("notice_key"), "notice_key", "left_semi")
-    schedule = usable.filter(
+    own = notices.withColumn("__url", url).filter(F.col("__url").isNotNull())
+    declared = F.filter(
+        F.transform(
+            F.coalesce("equipment_items", F.array()),
+            lambda e, i: _item(
+                F.coalesce(plain_text(e["id"]), F.concat(F.lit("item-"), i + 1)),
+                plain_text(e["name"]),
+                whole_quantity(e["quantity_text"]),
+                plain_text(e["quantity_text"]),
+                plain_text(e["category"]),
+                web_reference(e["source_url"], base),
+                plain_text(e["source_label"]),
+                e["source_page"],
+                plain_text(e["source_sheet"]),
+                e["source_row"],
+            ),
+        ),
+        lambda x: x["equipment"].isNotNull(),
+    )
+    in_schedule = (
         (F.col("doc_type") == "boq") & F.col("row").isNotNull() & (F.col("row") > 0) & present(F.col("sheet")).isNotNull()
-    ).select(
-        "notice_key",
-        F.lit(2).alias("tier"),
-        F.col("ordinal").cast("bigint").alias("item_ordinal"),
-        F.concat_ws("-", F.lit("boq"), "sheet", F.col("row").cast("string"), F.col("ordinal").cast("string")).alias("item_id"),
-        plain_text(F.col("requirement")).alias("equipment"),
-        whole_quantity(F.col("quantity")).alias("quantity"),
-        plain_text(F.col("quantity")).alias("quantity_text"),
-        F.lit(None).cast("string").alias("category"),
-        web_reference(F.col("doc_url"), base).alias("source_url"),
-        plain_text(F.col("label")).alias("source_label"),
-        F.col("page").alias("source_page"),
-        plain_text(F.col("sheet")).alias("source_sheet"),
-        F.col("row").alias("source_row"),
+    )
+    first = top_per_group(quantities.filter(in_schedule), ["notice_key"], [F.asc("ordinal")], ITEM_LIMIT + 1, "__n")
+    schedule = (
+        first.select(
+            "notice_key",
+            "__n",
+            _item(
+                F.concat_ws("-", F.lit("boq"), F.col("sheet"), F.col("row").cast("string"), (F.col("__n") - 1).cast("string")),
+                plain_text(F.col("requirement")),
+                whole_quantity(F.col("quantity")),
+                plain_text(F.col("quantity")),
+                none,
+                web_reference(F.col("doc_url"), base),
+                plain_text(F.col("label")),
+                F.col("page"),
+                plain_text(F.col("sheet")),
+                F.col("row"),
+            ).alias("__item"),
+        )
+        .groupBy("notice_key")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__item"))), lambda x: x["__item"]).alias("__schedule"))
     )
     n = whole_quantity(F.col("quantity"))
     direct = (
-        usable.filter(matches(F.col("requirement"), DIRECT_QUANTITY))
+        quantities.filter(matches(F.col("requirement"), DIRECT_QUANTITY))
         .groupBy("notice_key")
         .agg(
             one_distinct(n).alias("__q"),
             F.min_by(F.struct("doc_url", "label", "page"), F.when(n.isNotNull(), F.col("ordinal"))).alias("__evidence"),
         )
     )
-    titled = own.join(direct, "notice_key", "left")
-    single = F.when(F.coalesce(F.size("equipment_types"), F.lit(0)) <= 1, F.col("__q"))
-    proof = F.when(single.isNotNull(), F.col("__evidence"))
-    title_item = titled.select(
-        "notice_key",
-        F.lit(3).alias("tier"),
-        F.lit(0).cast("bigint").alias("item_ordinal"),
-        F.lit("unstructured-title").alias("item_id"),
-        plain_text(F.col("title")).alias("equipment"),
-        single.alias("quantity"),
-        F.lit(None).cast("string").alias("quantity_text"),
-        F.lit(None).cast("string").alias("category"),
-        F.coalesce(web_reference(proof["doc_url"], base), F.col("__url")).alias("source_url"),
-        F.coalesce(plain_text(proof["label"]), F.lit(TITLE_LABEL)).alias("source_label"),
-        proof["page"].alias("source_page"),
-        F.lit(None).cast("string").alias("source_sheet"),
-        F.lit(None).cast("int").alias("source_row"),
+    work = (
+        own.withColumn("__declared", declared)
+        .join(schedule, "notice_key", "left")
+        .join(direct, "notice_key", "left")
+        .withColumn("__single", F.when(F.coalesce(F.size("equipment_types"), F.lit(0)) <= 1, F.col("__q")))
+        .withColumn("__proof", F.when(F.col("__single").isNotNull(), F.col("__evidence")))
+    )
+    title_item = _item(
+        F.lit("unstructured-title"),
+        plain_text(F.col("title")),
+        F.col("__single"),
+        none,
+        none,
+        F.coalesce(web_reference(F.col("__proof.doc_url"), base), F.col("__url")),
+        F.coalesce(plain_text(F.col("__proof.label")), F.lit(TITLE_LABEL)),
+        F.col("__proof.page"),
+        none,
+        F.lit(None),
+    )
+    tier = F.when(F.size("__declared") > 0, 1).when(F.col("__schedule").isNotNull(), 2).otherwise(3)
+    items = (
+        F.when(F.size("__declared") > 0, F.col("__declared"))
+        .when(F.col("__schedule").isNotNull(), F.col("__schedule"))
+        .otherwise(F.array(title_item))
+    )
+    return work.withColumns({"tier": tier, "items": items}).drop(
+        "__url", "__declared", "__schedule", "__q", "__evidence", "__single", "__proof"
+    )
+
+
+def feed_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFrame:
+    """Item rows (``ITEM_COLUMNS``) of ``with_items``."""
+    rows = with_items(notices, quantities, origin).select(
+        "notice_key", "tier", F.posexplode("items").alias("item_ordinal", "item")
     )
-    # Read for the tier decision and again for the rows: write it once.
-    every = cut(declared.unionByName(schedule).unionByName(title_item))
-    best = every.groupBy("notice_key").agg(F.min("tier").alias("__tier"))
-    return every.join(best, "notice_key").filter("tier = __tier").select(*ITEM_COLUMNS)
+    return rows.select("notice_key", "tier", F.col("item_ordinal").cast("bigint"), "item.*")
 
 
-def size_guard(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted items, rejected notices): more than the item limit needs manual entry."""
-    counts = items.groupBy("notice_key").agg(F.count(F.lit(1)).alias("item_count"))
-    rejected = counts.filter(F.col("item_count") > ITEM_LIMIT)
-    return items.join(rejected.select("notice_key"), "notice_key", "left_anti"), rejected
+def size_guard(rows: DataFrame, limit: int = ITEM_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of notices with ``items``: more items than ``limit`` need manual entry."""
+    return rows.filter(F.size("items") <= limit), rows.filter(F.size("items") > limit)
 
 
 def iso(ts: Column) -> Column:
@@ -117,21 +153,28 @@ def iso(ts: Column) -> Column:
     return F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def feed_notices(notices: DataFrame, items: DataFrame, origin: str) -> DataFrame:
-    """One outbound row per accepted notice with a content fingerprint.
+def last_by_url(links: Column) -> Column:
+    """Links distinct by address: the last label, at the place of the first."""
+    urls = F.array_distinct(F.transform(links, lambda d: d["url"]))
+    return F.transform(urls, lambda u: F.element_at(F.filter(links, lambda d: d["url"] == u), -1))
+
+
+def feed_notices(
+    notices: DataFrame, quantities: DataFrame, origin: str, item_limit: int = ITEM_LIMIT, list_limit: int = LIST_LIMIT
+) -> tuple[DataFrame, DataFrame]:
+    """(outbound rows with a content fingerprint, rejected notices with more than ``item_limit`` items).
 
-    Observation times are outside the fingerprint, so a repeated check changes nothing.
+    Observation times are outside the fingerprint, so a repeated check changes nothing.  Documents are the notice's and
+    its specification's (``specification_documents``: label, url, published_date), one for each address; ``truncated``
+    marks rows with more than ``list_limit`` entries in one of their lists.
     """
     base = F.lit(origin)
-    accepted, _rejected = size_guard(items)
-    listed = accepted.groupBy("notice_key").agg(
-        # At most ITEM_LIMIT entries after the guard.
-        F.array_sort(F.collect_list(F.struct(*[c for c in ITEM_COLUMNS if c not in ("notice_key", "tier")]))).alias("items")
-    )
+    accepted, rejected = size_guard(with_items(notices, quantities, origin), item_limit)
+    pair = "array<struct<label:string,url:string>>"
 
     def links(name: str, label: str, default: str) -> Column:
         if name not in notices.columns:
-            return F.array().cast("array<struct<label:string,url:string>>")
+            return F.array().cast(pair)
         mapped = F.filter(
             F.transform(
                 name,
@@ -142,14 +185,14 @@ def feed_notices(notices: DataFrame, items: DataFrame, origin: str) -> DataFrame
             ),
             lambda d: d["url"].isNotNull(),
         )
-        return F.slice(F.coalesce(mapped, F.array().cast("array<struct<label:string,url:string>>")), 1, LIST_LIMIT)
+        return F.coalesce(mapped, F.array().cast(pair))
 
     def col(name: str) -> Column:
         return F.col(name) if name in notices.columns else F.lit(None).cast("string")
 
     revisions = (
         F.transform(
-            F.slice("corrigenda", 1, LIST_LIMIT),
+            "corrigenda",
             lambda c: F.struct(
                 plain_text(F.coalesce(c["title"], c["type"])).alias("title"),
                 web_reference(c["url"], base).alias("url"),
@@ -158,7 +201,7 @@ def feed_notices(notices: DataFrame, items: DataFrame, origin: str) -> DataFrame
             ),
         )
         if "corrigenda" in notices.columns
-        else F.expr("cast(array() as array<struct<title:string,url:string,published_date:string,revised_closing_date:string>>)")
+        else F.array().cast(REVISIONS)
     )
     content = {
         "external_id": F.col("id"),
@@ -173,20 +216,33 @@ def feed_notices(notices: DataFrame, items: DataFrame, origin: str) -> DataFrame
         "description": plain_text(col("description"), 10_000),
         "publication_date": iso(instant(col("publish_date"))),
         "deadline": iso(deadline_instant(col("effective_closing_date"))),
-        "documents": links("documents", "label", "Source document"),
-        "revisions": revisions,
+        "documents": last_by_url(
+            F.concat(links("documents", "label", "Source document"), links("specification_documents", "label", "Source document"))
+        ),
+        "revisions": F.coalesce(revisions, F.array().cast(REVISIONS)),
         "references": links("source_references", "source_name", "Original source"),
     }
-    rows = notices.join(listed, "notice_key").select(
+    dated = (
+        F.transform("specification_documents", lambda d: iso(instant(d["published_date"])))
+        if "specification_documents" in notices.columns
+        else F.array().cast("array<string>")
+    )
+    rows = accepted.select(
         "notice_key",
-        *[once(c).alias(n) if n in ("revisions", "documents", "references") else c.alias(n) for n, c in content.items()],
+        *[c.alias(n) for n, c in content.items()],
         "items",
-        iso(instant(F.coalesce(col("fetched_at"), col("checked_at")))).alias("discovered_at"),
-    )
-    updated = F.array_max(F.transform("revisions", lambda r: r["published_date"]))
-    return rows.withColumn("source_updated_at", updated).withColumn(
-        "fingerprint", fingerprint([*sorted(content), "items"])
+        iso(F.coalesce(instant(col("fetched_at")), instant(col("checked_at")))).alias("discovered_at"),
+        dated.alias("__dated"),
     )
+    lists = ("documents", "revisions", "references")
+    published = F.concat(F.transform("revisions", lambda r: r["published_date"]), F.coalesce("__dated", F.array()))
+    rows = rows.withColumns(
+        {
+            "source_updated_at": F.array_max(published),
+            "truncated": F.greatest(*[F.size(c) for c in lists]) > list_limit,
+        }
+    ).withColumns({c: F.slice(c, 1, list_limit) for c in lists})
+    return rows.drop("__dated").withColumn("fingerprint", fingerprint([*sorted(content), "items"])), rejected
 
 
 def fingerprint(columns: list[str]) -> Column:

@@ -61,7 +61,8 @@ def last_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     packed = df.select(
         *keys, F.struct(*order).alias("__o"), F.struct(*[F.col(c) for c in rest]).alias("__r")
     )
-    return packed.groupBy(*keys).agg(F.max_by("__r", "__o").alias("__r")).select(*keys, "__r.*")
+    chosen = packed.groupBy(*keys).agg(F.max_by("__r", "__o").alias("__r"), F.min("__o").alias("__first"))
+    return chosen.select(*keys, *[F.col(f"__first.{c}" if c in order else f"__r.{c}").alias(c) for c in rest])
 
 
 def one_distinct(value: Column) -> Column:

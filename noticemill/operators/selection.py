@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from math import gcd
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import instant
+from ..plans.lineage import cut
 from ..sources import medical_rules as rules
 from .entities import REGIONS, regional_health_department
 from .ranking import chunked_row_number, top_per_group
@@ -52,7 +51,28 @@ def dynamic_cap(
     return top.join(counts, source).filter(F.col("position") <= limit).drop("__priority")
 
 
-def fair_selection(
+def fair_selection(candidates: DataFrame, limit: int = INSPECTION_LIMIT, **more) -> DataFrame:
+    """(source, key, position, grp): see ``fair_rotation``, without the next cursors."""
+    source, key = more.get("source", "source_id"), more.get("key", "notice_key")
+    return _replayed(candidates, limit, **more).filter("position > 0").select(source, key, "position", "grp")
+
+
+def fair_rotation(candidates: DataFrame, limit: int = INSPECTION_LIMIT, **more) -> tuple[DataFrame, DataFrame]:
+    """Round-robin choice of ``limit`` rows per source over its groups, and where each queue starts next time.
+
+    Returns (source, key, position, grp) and (source, grp, next).  A queue moves on by the rows it has looked at:
+    those it gave and those another group had taken before.  Feeding the second table to the next run as ``cursors``
+    reaches the rows this run deferred.
+    """
+    source, key = more.get("source", "source_id"), more.get("key", "notice_key")
+    both = cut(_replayed(candidates, limit, **more))
+    return (
+        both.filter("position > 0").select(source, key, "position", "grp"),
+        both.filter("position = 0").select(source, "grp", "next"),
+    )
+
+
+def _replayed(
     candidates: DataFrame,
     limit: int = INSPECTION_LIMIT,
     cursors: DataFrame | None = None,
@@ -62,63 +82,71 @@ def fair_selection(
     ordinal: str = "ordinal",
     chunk: Column | None = None,
 ) -> DataFrame:
-    """Round-robin choice of ``limit`` rows per source over its groups.
+    """Selected rows with their position from 1, and a row of position 0 for each queue with its next start.
 
     Rows may belong to several groups; each pass takes one untaken row per group, in
     order of each group's first row.  ``cursors`` (source, grp, next) rotates each
     group's queue.  At most ``limit`` rows are ever taken, so only the first
     ``2 * limit`` rows of each rotated queue can matter: they are found by distributed
     ranking, and the replay sees that many rows per group whatever the source's size.
-
-    Returns (source, key, position, grp).
     """
     named = F.when(F.size(groups) > 0, F.col(groups)).otherwise(F.array(F.lit(UNGROUPED)))
     member = candidates.select(source, key, ordinal, F.posexplode(named).alias("__g", "grp"))
     keep = 2 * limit
     if cursors is None:
-        queue = top_per_group(member, [source, "grp"], [F.asc(ordinal)], keep, "rank")
+        queue = top_per_group(member, [source, "grp"], [F.asc(ordinal)], keep, "rank").withColumn("offset", F.lit(0))
     else:
         span = F.floor(F.col(ordinal) / 100_000) if chunk is None else chunk
         ranked = chunked_row_number(member, [source, "grp"], [F.asc(ordinal)], span, "rank")
         offset = F.coalesce(F.col("next"), F.lit(0)) % F.col("rank_of")
-        turned = F.pmod(F.col("rank") - 1 - offset, F.col("rank_of")) + 1
         queue = (
             ranked.join(cursors.select(source, "grp", "next"), [source, "grp"], "left")
-            .withColumn("rank", turned)
+            .withColumn("offset", offset)
+            .withColumn("rank", F.pmod(F.col("rank") - 1 - F.col("offset"), F.col("rank_of")) + 1)
             .filter(F.col("rank") <= keep)
             .drop("next", "rank_of")
         )
     first = member.groupBy(source, "grp").agg(F.min(F.struct(ordinal, "__g")).alias("__first"))
     rows = queue.drop("__g").join(first, [source, "grp"]).select(
-        source, key, "grp", F.col("rank").cast("long"), F.col(f"__first.{ordinal}").alias("g1"), F.col("__first.__g").alias("g2")
+        source,
+        key,
+        "grp",
+        F.col("rank").cast("long"),
+        F.col("offset").cast("long"),
+        F.col(f"__first.{ordinal}").alias("g1"),
+        F.col("__first.__g").alias("g2"),
     )
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf[["grp", "g1", "g2"]].drop_duplicates("grp").sort_values(["g1", "g2"])["grp"]
-        queues = {g: list(pdf[pdf.grp == g].sort_values("rank")[key]) for g in order}
+        heads = pdf[["grp", "g1", "g2", "offset"]].drop_duplicates("grp").sort_values(["g1", "g2"])
+        queues = {g: list(pdf[pdf.grp == g].sort_values("rank")[key]) for g in heads["grp"]}
+        seen = dict.fromkeys(queues, 0)
         taken: dict = {}
         while len(taken) < limit:
             before = len(taken)
             for g, queue_keys in queues.items():
-                while queue_keys and queue_keys[0] in taken:
-                    queue_keys.pop(0)
-                if queue_keys:
-                    taken[queue_keys.pop(0)] = g
+                while seen[g] < len(queue_keys) and queue_keys[seen[g]] in taken:
+                    seen[g] += 1
+                if seen[g] < len(queue_keys):
+                    taken[queue_keys[seen[g]]] = g
+                    seen[g] += 1
                 if len(taken) == limit:
                     break
             if len(taken) == before:
                 break
+        n = len(queues)
         return pd.DataFrame(
             {
-                source: [pdf[source].iloc[0]] * len(taken),
-                key: list(taken),
-                "position": range(1, len(taken) + 1),
-                "grp": list(taken.values()),
+                source: [pdf[source].iloc[0]] * (len(taken) + n),
+                key: pd.Series([*taken, *[None] * n], dtype=object),
+                "position": [*range(1, len(taken) + 1), *[0] * n],
+                "grp": [*taken.values(), *queues],
+                "next": pd.Series([*[None] * len(taken), *(heads["offset"].to_numpy() + list(seen.values()))], dtype="Int64"),
             }
         )
 
     types = dict(candidates.dtypes)
-    schema = f"{source} {types[source]}, {key} {types[key]}, position int, grp string"
+    schema = f"{source} {types[source]}, {key} {types[key]}, position int, grp string, next long"
     return rows.groupBy(source).applyInPandas(take, schema)
 
 
@@ -158,11 +186,22 @@ def search_terms(spark) -> DataFrame:
 DOCUMENT_BUDGET = 280
 
 
-def _stride(n: int, groups: int) -> int:
-    step = max(1, DOCUMENT_BUDGET // groups)
-    while gcd(step, n) != 1:
-        step += 1
-    return step
+def _stride(n: Column, groups: int) -> Column:
+    """The smallest step from the budget's share on that is coprime to ``n``."""
+
+    def divisor(a: Column, b: Column) -> Column:
+        # Euclid: a long number needs fewer rounds than five for each of its decimal digits
+        rounds = F.sequence(F.lit(1), F.lit(5) * F.length(b.cast("string")) + 1)
+        start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+        return F.aggregate(rounds, start, step, lambda s: s["a"])
+
+    first = max(1, DOCUMENT_BUDGET // groups)
+    # the next number that exceeds n by one is coprime to it, so the search is short
+    steps = F.sequence(F.lit(first), F.lit(first) + F.least(n, F.lit(64)))
+    near = F.get(F.filter(steps, lambda s: divisor(n, s) == 1), F.lit(0))
+    every = F.sequence(F.lit(first), F.lit(first) + n)
+    return F.coalesce(near, F.get(F.filter(every, lambda s: divisor(n, s) == 1), F.lit(0)))
 
 
 def interleave(
@@ -183,9 +222,8 @@ def interleave(
     """
     span = F.floor(F.col(ordinal) / 100_000) if chunk is None else chunk
     ranked = chunked_row_number(candidates, [region, group], [F.asc(ordinal)], span, "r")
-    stride = F.udf(lambda n: _stride(int(n), groups), "long")
     sizes = ranked.groupBy(region, group).agg(F.max("r_of").alias("n"), F.min(ordinal).alias("first"))
-    sizes = sizes.withColumn("shift", F.pmod(F.lit(bucket) * stride("n"), F.col("n")))
+    sizes = sizes.withColumn("shift", F.pmod(F.lit(bucket) * _stride(F.col("n"), groups), F.col("n")))
     order = F.array_position(F.array(*[F.lit(r) for r in region_order]), F.col(region))
     turned = (
         ranked.join(sizes, [region, group])

@@ -10,7 +10,7 @@ from ..operators import feed, quality, search, selection, snapshots, status
 from ..operators.components import connected_components
 from ..operators.dedupe import deduplicate, link_retenders
 from ..operators.ranking import one_distinct
-from .tables import clock, iso_day, spread, table
+from .tables import clock, iso_day, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,7 +31,7 @@ NOW = "1998-09-15 12:00:00"
 
 def order_notices(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as notices: closing day = order day + 60, priority as verification and precision."""
-    o = spread(table(spark, folder, "orders"))
+    o = table(spark, folder, "orders")
     day = F.col("o_orderdate")
     k = F.col("o_orderkey")
     return o.select(
@@ -54,11 +54,9 @@ def order_notices(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_amendments(spark: SparkSession, folder: str) -> DataFrame:
     """Lines as amendments: returned parts cancel, accepted parts revise the closing day."""
-    li = spread(
-        table(spark, folder, "lineitem").select(
+    li = table(spark, folder, "lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"
         )
-    )
     return li.select(
         F.col("l_orderkey").alias("notice_key"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ordinal"),
@@ -575,8 +573,8 @@ def nation_cards(spark: SparkSession, folder: str) -> DataFrame:
           greatest(0, coalesce(rel, 0) - coalesce(total, 0)) AS duplicates_removed, 0::BIGINT AS active_verified, coalesce(act, 0) AS active_likely,
           coalesce(unk, 0) AS deadline_unknown, coalesce(exp, 0) AS expired,
           CASE WHEN coalesce(act, 0) > 0 THEN NULL WHEN coalesce(attempted, 0) > coalesce(successful, 0)
-            THEN 'No relevant active record found in retrieved records; coverage is incomplete because sources are partial or unavailable.'
-            ELSE 'No relevant active record found on successfully parsed official sources; GeM-only or unmirrored notices may still be missing.' END AS zero_active_reason
+            THEN 'none-found-incomplete-coverage'
+            ELSE 'none-found-full-coverage' END AS zero_active_reason
         FROM nation LEFT JOIN ps ON ps.e = n_nationkey LEFT JOIN rw ON rw.e = n_nationkey LEFT JOIN pt ON pt.e = n_nationkey""",
 )
 def nation_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
@@ -738,58 +736,63 @@ ORIGIN = "https://feed.gov.in"
 
 
 def order_feed_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as notices: some declare their lines as items, some state one quantity, the rest only a title."""
+    """Orders as notices: a third declare their lines as items, a third state quantities, a third have schedule rows."""
     o, li = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    k, line = F.col("o_orderkey"), F.col("l_orderkey") % 3
     item = F.struct(
         F.lit(None).cast("string").alias("id"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("name"),
         F.col("l_quantity").cast("int").cast("string").alias("quantity_text"), F.col("l_returnflag").alias("category"),
-        F.lit("/items").alias("source_url"), F.lit("Lines").alias("source_label"), F.col("l_linenumber").alias("source_page"),
+        F.lit("/items").alias("source_url"), F.lit("Lines").alias("source_label"), F.col("l_linenumber").cast("int").alias("source_page"),
         F.lit(None).cast("string").alias("source_sheet"), F.lit(None).cast("int").alias("source_row"),
     )
-    # An order has few lines by construction; the guard below still checks the count.
-    lines = li.filter("l_orderkey % 3 = 0").groupBy("l_orderkey").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("item")))), lambda x: x["item"]
-        ).alias("equipment_items")
+    # An order has few lines by construction; the guard still checks the count.
+    declared = F.when(line == 0, F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", item.alias("item")))
+    lines = li.groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(declared)), lambda x: x["item"]).alias("equipment_items")
     )
-    k = F.col("o_orderkey")
     notices = o.join(lines, k == F.col("l_orderkey"), "left").select(
         k.alias("notice_key"), F.concat(F.lit("o"), k.cast("string")).alias("id"),
         F.concat(F.lit("Order of <b>"), F.col("o_orderpriority"), F.lit("</b>")).alias("title"),
         F.concat(F.lit("https://orders.gov.in/o/"), k.cast("string")).alias("tender_url"), F.lit(None).cast("string").alias("source_url"),
-        F.coalesce("equipment_items", F.array().cast("array<struct<id:string,name:string,quantity_text:string,category:string,source_url:string,source_label:string,source_page:int,source_sheet:string,source_row:int>>")).alias("equipment_items"),
+        "equipment_items",
         F.array(F.lit("x")).alias("equipment_types"), F.lit("orders").alias("source_id"), F.lit("Orders").alias("source_name"),
         iso_day(F.col("o_orderdate")).alias("publish_date"),
         iso_day(F.date_add("o_orderdate", F.when(F.col("o_orderstatus") == "F", 30).otherwise(60))).alias("effective_closing_date"),
         F.lit("1998-09-15T06:00:00Z").alias("fetched_at"),
     )
-    quantities = li.filter("l_orderkey % 3 = 1").select(
-        F.col("l_orderkey").alias("notice_key"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("__o"),
-        F.concat(F.lit("Total quantity: "), F.col("l_quantity").cast("int").cast("string"), F.lit(" nos")).alias("requirement"),
-        F.col("l_quantity").cast("int").cast("string").alias("quantity"), F.lit("https://orders.gov.in/q.pdf").alias("doc_url"),
-        F.lit("tender-document").alias("doc_type"), F.lit("Quantity").alias("label"), F.lit(1).alias("page"),
-        F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("row"),
-        (F.col("l_linenumber").cast("bigint") * 10_000_000 + F.col("l_partkey")).alias("ordinal"),
-    ).drop("__o")
+    amount = F.col("l_quantity").cast("int").cast("string")
+    schedule = line == 2
+    quantities = li.select(
+        F.col("l_orderkey").alias("notice_key"),
+        F.when(schedule, F.concat(F.lit("Row part "), F.col("l_partkey").cast("string")))
+        .otherwise(F.concat(F.lit("Total quantity: "), amount, F.lit(" nos"))).alias("requirement"),
+        amount.alias("quantity"), F.lit("https://orders.gov.in/q.pdf").alias("doc_url"),
+        F.when(schedule, "boq").otherwise("tender-document").alias("doc_type"), F.lit("Quantity").alias("label"), F.lit(1).alias("page"),
+        F.when(schedule, F.col("l_linestatus")).alias("sheet"), F.when(schedule, F.col("l_linenumber").cast("int")).alias("row"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus").alias("ordinal"),
+    )
     return notices, quantities
 
 
 @query_of(
     "order_feed_items",
     """
-    WITH d AS (SELECT l_orderkey AS k, l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS q, l_returnflag AS f,
-                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 3 = 0),
-    s AS (SELECT l_orderkey AS k, CASE WHEN min(l_quantity) = max(l_quantity) THEN min(l_quantity)::INT END AS q FROM lineitem WHERE l_orderkey % 3 = 1 GROUP BY 1)
-    SELECT k AS notice_key, 1 AS tier, 'item-' || i AS item_id, 'Part ' || l_partkey AS equipment, q AS quantity, f AS category, 'Lines' AS source_label FROM d
+    WITH li AS (SELECT *, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS i,
+                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus) - 1 AS j
+                FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    s AS (SELECT l_orderkey AS k, CASE WHEN min(q) = max(q) THEN min(q) END AS q FROM li WHERE l_orderkey % 3 = 1 GROUP BY 1)
+    SELECT l_orderkey AS notice_key, 1 AS tier, 'item-' || i AS item_id, 'Part ' || l_partkey AS equipment, q AS quantity, l_returnflag AS category, 'Lines' AS source_label
+    FROM li WHERE l_orderkey % 3 = 0
+    UNION ALL
+    SELECT l_orderkey, 2, 'boq-' || l_linestatus || '-' || l_linenumber || '-' || j, 'Row part ' || l_partkey, q, NULL, 'Quantity' FROM li WHERE l_orderkey % 3 = 2
     UNION ALL
     SELECT o_orderkey, 3, 'unstructured-title', 'Order of ' || o_orderpriority, s.q, NULL,
       CASE WHEN s.q IS NOT NULL THEN 'Quantity' ELSE 'Tender title; review equipment lines' END
-    FROM orders LEFT JOIN s ON s.k = o_orderkey WHERE o_orderkey NOT IN (SELECT k FROM d)
+    FROM orders LEFT JOIN s ON s.k = o_orderkey WHERE o_orderkey % 3 = 1 OR o_orderkey NOT IN (SELECT l_orderkey FROM li)
     """,
 )
 def order_feed_items(spark: SparkSession, folder: str) -> DataFrame:
-    notices, quantities = order_feed_inputs(spark, folder)
-    items = feed.feed_items(notices, quantities, ORIGIN)
+    items = feed.feed_items(*order_feed_inputs(spark, folder), ORIGIN)
     return items.select("notice_key", "tier", "item_id", "equipment", "quantity", "category", "source_label")
 
 
@@ -803,15 +806,12 @@ def order_feed_items(spark: SparkSession, folder: str) -> DataFrame:
 def order_feed_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of today's feed against an earlier delivery in which open orders closed sooner."""
     notices, quantities = order_feed_inputs(spark, folder)
-    items = feed.feed_items(notices, quantities, ORIGIN)
-    now = feed.feed_notices(notices, items, ORIGIN)
+    now, _rejected = feed.feed_notices(notices, quantities, ORIGIN)
     delivered_rows = notices.filter("notice_key % 10 <> 0").withColumns(
         {
             "effective_closing_date": iso_day(F.date_add(F.to_date("publish_date"), 30)),
             "fetched_at": F.lit("1998-01-01T00:00:00Z"),
         }
     )
-    before = feed.feed_notices(delivered_rows, items, ORIGIN)
+    before, _rejected = feed.feed_notices(delivered_rows, quantities, ORIGIN)
     return feed.detect_changes(now, before).select("external_id", "change")
-
-

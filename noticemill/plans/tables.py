@@ -18,13 +18,3 @@ def clock(text: str) -> Column:
 def iso_day(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a text-heavy projection whose files give fewer splits than cores.
-
-    Inputs that already have enough splits - any large table - are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(4 * cores)

@@ -132,16 +132,21 @@ def _link_records(key: str, pages: pd.DataFrame) -> Iterator[dict]:
             }
 
 
-def _mapped(pages: DataFrame, key: str, records, columns: str) -> DataFrame:
-    names = [key, *[c.strip().split(" ")[0] for c in _top_level(columns)]]
+def _mapped(pages: DataFrame, key: str, records, columns: str, carry: list[str] | None = None) -> DataFrame:
+    carry = carry or []
+    names = [key, *carry, *[c.strip().split(" ")[0] for c in _top_level(columns)]]
 
     def run(batches):
         for pdf in batches:
-            out = pd.DataFrame(list(records(key, pdf)), columns=names)
-            yield out
+            for at in range(len(pdf)):
+                page = pdf.iloc[at : at + 1]
+                yield pd.DataFrame(
+                    [{**r, **{c: page[c].iloc[0] for c in carry}} for r in records(key, page)], columns=names
+                )
 
-    kind = dict(pages.dtypes)[key]
-    return pages.select(key, "html").mapInPandas(run, f"{key} {kind}, {columns}")
+    kinds = dict(pages.dtypes)
+    kept = "".join(f"`{c}` {kinds[c]}, " for c in carry)
+    return pages.select(key, *carry, "html").mapInPandas(run, f"`{key}` {kinds[key]}, {kept}{columns}")
 
 
 def _top_level(ddl: str) -> list[str]:
@@ -161,14 +166,14 @@ def scan_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return _mapped(pages, key, _row_records, ROWS)
 
 
-def scan_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per link: (key, ordinal, href, text, row_text)."""
-    return _mapped(pages, key, _link_records, LINKS)
+def scan_links(pages: DataFrame, key: str = "page_id", carry: list[str] | None = None) -> DataFrame:
+    """One row per link: (key, columns to carry, ordinal, href, text, row_text)."""
+    return _mapped(pages, key, _link_records, LINKS, carry)
 
 
 def linked_documents(pages: DataFrame, base: str = "url", key: str = "page_id", label_length: int = 240) -> DataFrame:
-    """Official document links of each page; a repeated URL keeps its last label."""
-    links = scan_links(pages, key).join(pages.select(key, base), key)
+    """Official document links of each page; a repeated URL keeps its first place and its last label."""
+    links = scan_links(pages, key, [base])
     url = official_url(F.col("href"), F.col(base))
     label = F.coalesce(F.nullif(F.left("row_text", F.lit(label_length)), F.lit("")), F.col("text"))
     work = links.withColumns({"doc_url": url, "label": label}).filter(F.col("doc_url").isNotNull())

@@ -36,24 +36,36 @@ def test_item_ladder(spark):
     for r in items.orderBy("notice_key", "item_ordinal").collect():
         got.setdefault(r.notice_key, []).append(r)
     assert [(r.item_id, r.equipment, r.quantity, r.quantity_text) for r in got[0]] == [("i1", "Bed x", 5, "5"), ("item-2", "Pump", None, "2 sets")]
-    assert [(r.item_id, r.quantity, r.source_row) for r in got[1]] == [("boq-S1-3-7", 4, 3)]
+    assert [(r.item_id, r.quantity, r.source_row) for r in got[1]] == [("boq-S1-3-0", 4, 3)]
     assert [(r.item_id, r.quantity, r.source_label) for r in got[2]] == [("unstructured-title", 12, "T")]
     assert got[3][0].quantity is None and got[4][0].quantity is None and got[5][0].source_label == feed.TITLE_LABEL
 
 
 def test_fingerprint_changes_and_guard(spark):
     rows = [{"id": "a"}, {"id": "b"}, {"id": "c", "corrigenda": [("Ext", None, "2026-09-02", "2026-10-09", "/c.pdf")]}]
-    n, items = feed_rows(spark, rows, [])
-    first = feed.feed_notices(n, items, ORIGIN)
+    n, _ = feed_rows(spark, rows, [])
+    none = spark.createDataFrame([], Q)
+    first, rejected = feed.feed_notices(n, none, ORIGIN)
+    assert rejected.isEmpty()
     row = {r.external_id: r for r in first.collect()}
     assert row["c"].deadline == "2026-10-05T18:29:59.999Z" and row["c"].source_updated_at == "2026-09-02T00:00:00.000Z"
     assert row["c"].revisions[0].url == "https://feed.gov.in/c.pdf" and row["a"].publication_date == "2026-09-01T00:00:00.000Z"
     later = n.withColumn("fetched_at", F.lit("2026-10-01T00:00:00Z")).filter("id <> 'a'").withColumn("title", F.when(F.col("id") == "b", "New").otherwise(F.col("title")))
-    changed = feed.detect_changes(feed.feed_notices(later, items, ORIGIN), first)
+    changed = feed.detect_changes(feed.feed_notices(later, none, ORIGIN)[0], first)
     assert {r.external_id: r.change for r in changed.collect()} == {"a": "removed", "b": "changed", "c": "same"}
-    many = spark.range(101).select(F.lit(1).alias("notice_key"), "id").unionByName(spark.range(100).select(F.lit(2).alias("notice_key"), "id"))
-    ok, rejected = feed.size_guard(many)
-    assert [r.notice_key for r in ok.select("notice_key").distinct().collect()] == [2] and rejected.collect()[0].item_count == 101
+    schedule = spark.createDataFrame([(k, i, f"Bed {i}", "1", "/q.xlsx", "boq", "BOQ", None, "S", 1) for k, m in ((0, 101), (1, 100)) for i in range(m)], Q)
+    ok, rejected = feed.feed_notices(n, schedule, ORIGIN)
+    assert {r.notice_key: len(r["items"]) for r in ok.collect()} == {1: 100, 2: 1} and [r.notice_key for r in rejected.collect()] == [0]
+
+
+def test_documents_by_address_and_dates(spark):
+    rows = [{"id": "a", "documents": [("one", "/a.pdf"), ("two", "/b.pdf"), ("three", "/a.pdf")], "fetched_at": "later"}]
+    n, _ = feed_rows(spark, rows, [])
+    n = n.withColumn("specification_documents", F.expr("array(named_struct('label', 'four', 'url', '/b.pdf', 'published_date', '2026-09-09'))"))
+    n = n.withColumn("checked_at", F.lit("2026-09-30T10:00:00Z"))
+    row = feed.feed_notices(n, spark.createDataFrame([], Q), ORIGIN, list_limit=1)[0].collect()[0]
+    assert [(d.label, d.url) for d in row.documents] == [("three", ORIGIN + "/a.pdf")] and row.truncated
+    assert row.source_updated_at == "2026-09-09T00:00:00.000Z" and row.discovered_at == "2026-09-30T10:00:00.000Z"
 
 
 def test_funnel_and_summary(spark):
