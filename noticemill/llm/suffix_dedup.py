@@ -18,20 +18,23 @@ GRAM = 24  # bytes of an anchor
 SEGMENT = 1 << 20  # positions looked at together; a place among them takes the low 20 bits of a key
 PLACE = np.uint64(SEGMENT - 1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
-HOT = 400  # an anchor in so many places is dealt out by finer keys
+SAMPLED = np.uint64(2**64 // 32)  # strings of smaller hash are counted wherever they stand
+HOT = 2000  # an anchor in so many places is dealt out by finer keys
 FINE = 4  # windows that a finer key stands for
 HELD = 300_000  # pieces remembered by a task to meet their copies
 
 
-def anchors(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last, place) of each run of windows that share an anchor: its hash, window starts and own start.
+def anchors(text: bytes, width: int) -> tuple[np.ndarray, ...]:
+    """(hash, first, last, place) of each run of windows that share an anchor, then (hash, place) of sampled strings.
 
     A window of ``width`` bytes has as anchor its leftmost 24-byte string of smallest hash, so equal windows have
-    equal anchors at equal places.  Runs cover all windows in order.
+    equal anchors at equal places.  Runs cover all windows in order.  Sampled are the 24-byte strings whose hash is
+    below a bound, whatever stands around them, so a repeated window repeats all its sampled strings.
     """
     n = len(text) - width + 1
     if n < 1:
-        return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+        none, no = np.empty(0, np.int64), np.empty(0, np.uint64)
+        return no, none, none, none, no, none
     found = []
     step = SEGMENT - width
     for begin in range(0, n, step):
@@ -53,12 +56,13 @@ def anchors(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         owner = (key & PLACE).astype(np.int64)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         last = np.r_[first[1:], len(owner)] - 1
-        found.append((h[owner[first]], begin + first, begin + last, begin + owner[first]))
+        sampled = np.flatnonzero(h < SAMPLED)
+        found.append((h[owner[first]], begin + first, begin + last, begin + owner[first], h[sampled], begin + sampled))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _anchor_rows(texts: DataFrame, width: int) -> DataFrame:
-    """(hash, key_, n): each distinct anchor of a text and its number of runs."""
+    """(hash, key_, n): each distinct anchor or sampled string of a text and its number of places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +70,8 @@ def _anchor_rows(texts: DataFrame, width: int) -> DataFrame:
             for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if len(text) < width:
                     continue
-                h, n = np.unique(anchors(text, width)[0], return_counts=True)
+                owners, _, _, _, sampled, _ = anchors(text, width)
+                h, n = np.unique(np.concatenate([owners[owners >= SAMPLED], sampled]), return_counts=True)
                 hashes.append(h.view(np.int64))
                 counts.append(n.astype(np.int32))
                 keys.append(np.full(len(h), key, np.int64))
@@ -78,6 +83,11 @@ def _anchor_rows(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("key_", "text").mapInArrow(run, "hash long, key_ long, n int")
 
 
+def text_sum(text: bytes) -> int:
+    """Tells the texts of one doc_id apart."""
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
 class Pieces:
     """Pieces of texts with repeated anchors; of equal pieces in a task only the earliest is passed on.
 
@@ -103,10 +113,17 @@ class Pieces:
             self.rows.append((bucket, *place, len(data), data))
 
     def add_text(self, key: int, sum_: int, text: bytes, repeated: np.ndarray, hot: np.ndarray) -> None:
-        h, first, last, owner = anchors(text, self.width)
-        h = h.view(np.int64)
+        h, first, last, owner, sampled, place = anchors(text, self.width)
+        h, sampled = h.view(np.int64), sampled.view(np.int64)
         at = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
-        chosen = np.flatnonzero(repeated[at] == h)
+        found = repeated[at] == h
+        # a repeated window holds no sampled string that stands alone: it starts after the last and ends before the next
+        alone = place[repeated[np.minimum(np.searchsorted(repeated, sampled), len(repeated) - 1)] != sampled]
+        alone = np.unique(np.r_[-1, alone, len(text) + self.width])
+        following = np.searchsorted(alone, owner)
+        first = np.maximum(first, alone[following - 1] + 1)
+        last = np.minimum(last, alone[following] - (self.width - GRAM) - 1)
+        chosen = np.flatnonzero(found & (first <= last))
         for bucket, a, b, p, many in zip(
             h[chosen].tolist(),
             first[chosen].tolist(),
@@ -145,7 +162,7 @@ PIECE = "bucket long, key_ long, start long, sum_ long, length int, data binary"
 
 
 def _pieces(texts: DataFrame, width: int) -> DataFrame:
-    """Pieces (``PIECE``) of the (key_, sum_, text, repeated, hot) rows."""
+    """Pieces (``PIECE``) of the (key_, text, repeated and carried) rows."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     names = ["bucket", "key_", "start", "sum_", "length", "data"]
 
@@ -157,35 +174,47 @@ def _pieces(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(width)
         for batch in batches:
-            for i, text in enumerate(as_bytes(batch.column(2))):
-                anchors_of = batch.column(3)[i]
+            for i, text in enumerate(as_bytes(batch.column(1))):
+                anchors_of = batch.column(2)[i]
                 repeated = anchors_of.values.field(0).to_numpy(zero_copy_only=False)
                 hot = anchors_of.values.field(1).to_numpy(zero_copy_only=False)
                 by = np.argsort(repeated)
-                pieces.add_text(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), text, repeated[by], hot[by])
+                pieces.add_text(batch.column(0)[i].as_py(), text_sum(text), text, repeated[by], hot[by])
                 if len(pieces.held) + len(pieces.rows) > HELD:
                     yield from rows(pieces.flush())
         yield from rows(pieces.flush())
 
-    return texts.select("key_", "sum_", "text", "repeated").mapInArrow(run, PIECE)
+    carried_ = [c for c in texts.columns if c == "carry_"]  # read here only so that both joins share one shuffle
+    return texts.select("key_", "text", "repeated", *carried_).mapInArrow(run, PIECE)
 
 
 def later_windows(
     data: list[bytes], key: np.ndarray, start: np.ndarray, bucket: np.ndarray, width: int
 ) -> list[tuple[int, int, int]]:
     """(piece, first, last): runs of windows of the pieces that also start earlier in another place among them."""
-    length = np.fromiter(map(len, data), np.int64, len(data))
-    text = np.frombuffer(b"".join(data) + bytes(256), np.uint8)
-    begin = np.cumsum(length) - length
     out: list[tuple[int, int, int]] = []
-    # pieces whose anchor stands alone here hold no repeated window
-    _, where, many = np.unique(bucket, return_inverse=True, return_counts=True)
-    live = np.flatnonzero(many[where] > 1)
+    # of equal pieces only the earliest need be looked at; all windows of the later ones start earlier in it
+    earliest: dict[bytes, int] = {}
+    order = np.lexsort((start, key)).tolist()
+    distinct = np.zeros(len(data), bool)
+    for i in order:
+        at = earliest.setdefault(data[i], i)
+        if at == i or (key[at], start[at]) == (key[i], start[i]):
+            distinct[i] = True
+        else:
+            out.append((i, 0, len(data[i]) - width))
+    rest = np.flatnonzero(distinct)
+    _, where, many = np.unique(bucket[rest], return_inverse=True, return_counts=True)
+    live = rest[many[where] > 1]  # pieces whose anchor stands alone here hold no repeated window
     if not len(live):
         return out
+    data, key, start, number = [data[i] for i in live.tolist()], key[live], start[live], live
+    length = np.fromiter(map(len, data), np.int64, len(data))
+    text = np.frombuffer(b"".join(data) + bytes(256), np.uint8)
+    begin = np.cumsum(length) - length
     # every window of those pieces as a suffix cut at the width
-    windows = length[live] - width + 1
-    piece = np.repeat(live, windows)
+    windows = length - width + 1
+    piece = np.repeat(np.arange(len(data)), windows)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
     order, rank = deep_shallow_order(text, begin[piece] + offset, width)
     at = start[piece] + offset
@@ -203,7 +232,7 @@ def later_windows(
         while a < b:
             p = int(piece[a])
             end = min(b, a + int(length[p] - width + 1 - offset[a]))
-            out.append((p, int(offset[a]), int(offset[end - 1])))
+            out.append((int(number[p]), int(offset[a]), int(offset[end - 1])))
             a = end
     return out
 
@@ -285,17 +314,17 @@ def repeated_passages(
     compared by start alone, so equal rows keep the same bytes.  Null ids stand last as one document.  Other columns
     are ignored and an empty table gives no rows.
 
-    Equal strings have equal anchors (the 24-byte string of smallest hash in each window), so only texts around
-    anchors that occur twice or more are looked at: their windows travel as short pieces to the anchor's task, where
+    Equal strings have equal anchors (the 24-byte string of smallest hash in each window), so only windows whose anchor
+    and sampled strings occur twice or more are looked at: they travel as short pieces to the anchor's task, where
     they are put in suffix order.  Copies of a piece inside a task are settled before the shuffle, and an anchor with
     very many places is dealt out by the bytes its windows share, so no key gathers all of a passage's contexts.
     """
     carry = carry or []
+    # both joins below ask for the same columns by the same key, so the texts are shuffled once
     texts = docs.select(
         id_key().alias("key_"),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sum_"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        carried(docs, carry),
+        *([carried(docs, carry)] if carry else []),
     )
     found = _anchor_rows(texts, width)
     repeated = cut(
@@ -311,18 +340,24 @@ def repeated_passages(
         .agg(F.collect_set(F.struct("hash", "hot")).alias("repeated"))
     )
     removed = _removed(_pieces(texts.join(lists, "key_"), width), width)
-    spans = removed.groupBy("key_", "sum_").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = removed.groupBy("key_").agg(F.collect_list(F.struct("sum_", "lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, merged, sizes = [], [], []
-            for text, found_ in zip(as_bytes(batch.column(1)), batch.column(3), strict=True):
+            for text, found_ in zip(as_bytes(batch.column(1)), batch.column(2), strict=True):
                 sizes.append(len(text))
                 if not found_.is_valid:
                     kept.append(text)
                     merged.append([])
                     continue
-                lo, hi = (found_.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                sums, lo, hi = (found_.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                own = sums == text_sum(text)  # a doc_id may stand for several texts
+                lo, hi = lo[own], hi[own]
+                if not len(lo):
+                    kept.append(text)
+                    merged.append([])
+                    continue
                 by = np.argsort(lo, kind="stable")
                 lo, hi = lo[by], np.maximum.accumulate(hi[by])
                 first = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1]])
@@ -339,16 +374,15 @@ def repeated_passages(
                     pa.array(kept, pa.binary()),
                     pa.array(merged, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
                     pa.array(sizes, pa.int64()),
-                    batch.column(2),
+                    *batch.columns[3:],
                 ],
-                names=["key_", "kept", "spans", "n_bytes", "carry_"],
+                names=["key_", "kept", "spans", "n_bytes", "carry_"][: batch.num_columns + 1],
             )
 
-    kind = texts.schema["carry_"].dataType.simpleString()
-    out = texts.join(spans, ["key_", "sum_"], "left").select("key_", "text", "carry_", "spans")
-    out = out.mapInArrow(
-        run, f"key_ long, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long, carry_ {kind}"
-    )
+    schema = "key_ long, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long"
+    if carry:
+        schema += f", carry_ {texts.schema['carry_'].dataType.simpleString()}"
+    out = texts.join(spans, "key_", "left").select("key_", "text", "spans", *texts.columns[2:]).mapInArrow(run, schema)
     return out.select(original_id("key_").alias("doc_id"), "kept", "spans", "n_bytes", *uncarried(carry))
 
 
