@@ -98,6 +98,11 @@ class Pieces:
         self.width = width
         self.held: dict[bytes, tuple] = {}
         self.rows: list[tuple] = []
+        self.settled: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def settle(self, place: tuple[int, int, int], length: int) -> None:
+        key, start, sum_ = place
+        self.settled.setdefault((key, sum_), []).append((start, start + length))
 
     def add(self, held: dict, data: bytes, bucket: int, anchor: int, place: tuple[int, int, int]) -> None:
         """``place``: document, start and text hash, in this order the order of the corpus."""
@@ -105,9 +110,9 @@ class Pieces:
         if old is None:
             held[data] = (bucket, anchor, place)
         elif place[:2] > old[2][:2]:
-            self.rows.append((bucket, *place, len(data), b""))
+            self.settle(place, len(data))
         elif place[:2] < old[2][:2]:
-            self.rows.append((bucket, *old[2], len(data), b""))
+            self.settle(old[2], len(data))
             held[data] = (bucket, anchor, place)
         elif place != old[2]:  # another text of the same document and start: neither is earlier
             self.rows.append((bucket, *place, len(data), data))
@@ -154,7 +159,15 @@ class Pieces:
                 a = b + 1
         for data, (bucket, _, place) in fine.items():
             self.rows.append((bucket, *place, len(data), data))
-        out, self.rows, self.held = self.rows, [], {}
+        for (key, sum_), spans in self.settled.items():
+            spans.sort()
+            lo, hi = spans[0]
+            for a, b in [*spans[1:], (2**62, 2**62)]:
+                if a > hi:  # settled ranges need no company: they are dealt out by document
+                    self.rows.append((key ^ sum_, key, lo, sum_, hi - lo, b""))
+                    lo = a
+                hi = max(hi, b)
+        out, self.rows, self.held, self.settled = self.rows, [], {}, {}
         return out
 
 
