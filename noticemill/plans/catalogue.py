@@ -1,6 +1,6 @@
 """All registered queries and their equivalent SQL."""
 
-from . import audit_queries, record_queries, text_queries
+from . import audit_queries, record_queries, scan_queries, text_queries
 
-QUERIES = {**record_queries.QUERIES, **text_queries.QUERIES, **audit_queries.QUERIES}
-ORACLE = {**record_queries.ORACLE, **text_queries.ORACLE, **audit_queries.ORACLE}
+QUERIES = {**record_queries.QUERIES, **text_queries.QUERIES, **audit_queries.QUERIES, **scan_queries.QUERIES}
+ORACLE = {**record_queries.ORACLE, **text_queries.ORACLE, **audit_queries.ORACLE, **scan_queries.ORACLE}

@@ -45,7 +45,7 @@ def test_portal_listing_and_details(spark):
     assert g.title == "ICU Ventilator, turbine" and g.description == "Supply Medical equipment procurement category"
     assert g.original_closing_date == "2026-10-05T17:00:00+05:30" and g.cancelled and g.verification == "detail"
     assert [(a.title, a.url) for a in g.amendments] == [("Date extension", "https://etenders.gov.in/eprocure/app?c=1")]
-    assert {(b.page_id, b.reason) for b in bad.collect()} == {(1, "Tender detail ID mismatch"), (2, "Tender detail not present")}
+    assert {(b.page_id, b.reason) for b in bad.collect()} == {(1, "detail-of-another-notice"), (2, "detail-missing")}
 
 
 def test_amendment_page(spark):
@@ -68,7 +68,7 @@ def test_nine_columns(spark):
     a, b, c = rows
     assert a.tender_id == "GEM/2026/B/77" and len(a.documents) == 2 and a.date_precision == "day"
     assert [(x.type, x.published_date[:10]) for x in a.corrigenda] == [("extension", "2026-09-05")] and "review" in a.notes[0]
-    assert b.original_closing_date is None and b.reference_number is None and any("precedes publication" in n for n in b.notes) and any("Invalid extension" in n for n in b.notes)
+    assert b.original_closing_date is None and b.reference_number is None and any(n == "closes-before-publication" for n in b.notes) and any("unreadable-extension" in n for n in b.notes)
     assert c.extended_closing_date is None and c.withdrawn and not c.cancelled
 
 
