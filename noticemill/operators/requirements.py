@@ -183,9 +183,13 @@ class Requirements:
 
 
 def extract_requirements(
-    pages: DataFrame, documents: DataFrame, book: ClauseBook = ClauseBook(), groups: str | None = None
+    pages: DataFrame,
+    documents: DataFrame,
+    book: ClauseBook = ClauseBook(),
+    groups: str | None = None,
+    notices: DataFrame | None = None,
 ) -> Requirements:
-    """Current clauses, superseded clauses and completeness per notice.
+    """Current clauses, superseded clauses and completeness per notice (also of ``notices`` without documents).
 
     ``documents`` has notice_key, doc_ordinal, doc_url, label, doc_type, doc_status,
     published_date and text_method; ``pages`` has notice_key, doc_ordinal,
@@ -329,14 +333,22 @@ def extract_requirements(
         .distinct()
         .withColumn("needs_review", F.lit(True))
     )
-    status = completeness(docs, pages, clauses, review, book)
+    status = completeness(docs, pages, clauses, review, book, notices)
     return Requirements(clauses, superseded, status)
 
 
 def completeness(
-    documents: DataFrame, pages: DataFrame, clauses: DataFrame, review: DataFrame, book: ClauseBook = ClauseBook()
+    documents: DataFrame,
+    pages: DataFrame,
+    clauses: DataFrame,
+    review: DataFrame,
+    book: ClauseBook = ClauseBook(),
+    notices: DataFrame | None = None,
 ) -> DataFrame:
-    """(notice_key, extraction_status, needs_review)."""
+    """(notice_key, extraction_status, needs_review) of the notices with documents, and of those in ``notices``.
+
+    A notice without a document is ``not-processed``.
+    """
     headed = (
         pages.filter(matches(F.col("text"), TECHNICAL_HEADING, "im"))
         .select("notice_key", "doc_ordinal")
@@ -361,6 +373,8 @@ def completeness(
         .distinct()
         .withColumn("has_clause", F.lit(True))
     )
+    if notices is not None:
+        facts = facts.join(notices.select("notice_key").distinct(), "notice_key", "full")
     joined = facts.join(review, "notice_key", "left").join(technical, "notice_key", "left")
     complete = (
         F.col("all_read")
@@ -370,7 +384,8 @@ def completeness(
     )
     return joined.select(
         "notice_key",
-        F.when(~F.col("any_parsed"), "document-unavailable")
+        F.when(F.col("any_parsed").isNull(), "not-processed")
+        .when(~F.col("any_parsed"), "document-unavailable")
         .when(complete, "complete")
         .otherwise("partial")
         .alias("extraction_status"),

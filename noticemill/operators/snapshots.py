@@ -17,9 +17,7 @@ from ..functions.identifiers import present
 
 # Retention and read limits in seconds, and the retention note.
 KEEP_SECONDS, AHEAD_SECONDS, READ_SECONDS = 86_400, 300, 900
-RETAINED_NOTE = (
-    "Not seen in the current partial fetch; prior observation retained for up to 24 hours with its original check time."
-)
+RETAINED_NOTE, FAILED_NOTE = "retained-from-earlier-fetch", "source-failed-earlier-records-kept"
 
 
 def notice_identity(tender_id: Column, record_id: Column, url: Column) -> Column:
@@ -58,7 +56,7 @@ def source_control(snapshots: DataFrame, is_index: Column) -> DataFrame:
 def latest_records(
     snapshots: DataFrame, records: DataFrame, is_index: Column, identity: str = "identity", observed: str = "observed_at"
 ) -> DataFrame:
-    """Current records per (source_id, identity) with ``stale``.
+    """Current records per (source_id, identity) with ``stale`` and ``retained_note``.
 
     ``records`` has source_id, attempted_at, identity and observed_at.  The newest
     sighting of an identity is an ordered aggregate, so a source with a third of all
@@ -85,18 +83,33 @@ def latest_records(
     return (
         newest.filter(seen_now | F.coalesce(kept, F.lit(False)))
         .withColumn("stale", ~seen_now | (F.col("last_attempt_at") > F.col("last_usable_at")))
+        .withColumn("retained_note", F.when(~seen_now, RETAINED_NOTE))
         .drop("last_usable_at", "last_attempt_at", "next_merge_at")
     )
 
 
-def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Newest control row per source; after a failure the prior success time stays and the row is stale."""
+def record_counts(latest: DataFrame) -> DataFrame:
+    """(source_id, raw_records, retained_records): what each source shows now, retained rows included."""
+    return latest.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("raw_records"), F.count("retained_note").alias("retained_records")
+    )
+
+
+def latest_snapshots(snapshots: DataFrame, metrics: tuple[str, ...] = ("raw_records", "detail_checks")) -> DataFrame:
+    """Newest control row per source.
+
+    After a failure the success time and the metrics of the last usable snapshot stay, the row is stale and says so.
+    """
+    usable = F.when(F.col("status") != "UNAVAILABLE", F.col("attempted_at"))
+    kept = [F.coalesce(F.max_by(c, usable), F.max_by(c, "attempted_at")).alias(c) for c in metrics if c in snapshots.columns]
     last = snapshots.groupBy("source_id").agg(
         F.max_by("status", "attempted_at").alias("status"),
         F.max("attempted_at").alias("attempted_at"),
-        F.max_by("successful_at", F.when(F.col("status") != "UNAVAILABLE", F.col("attempted_at"))).alias("successful_at"),
+        F.max_by("successful_at", usable).alias("successful_at"),
+        *kept,
     )
-    return last.withColumn("stale", (F.col("status") == "UNAVAILABLE") & F.col("successful_at").isNotNull())
+    stale = (F.col("status") == "UNAVAILABLE") & F.col("successful_at").isNotNull()
+    return last.withColumns({"stale": stale, "retained_note": F.when(stale, FAILED_NOTE)})
 
 
 def merge_step(
@@ -179,7 +192,9 @@ def write_snapshots(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("source_id").parquet(path)
 
 
-def read_snapshots(spark, path: str, now: Column, keep_days: int = 7) -> DataFrame:
-    """Snapshots still inside their lifetime."""
-    df = spark.read.parquet(path)
+def read_snapshots(spark, path: str, now: Column, keep_days: int = 7, sources: list[str] | None = None) -> DataFrame:
+    """Snapshots still inside their lifetime, of the named sources if any are named; a row without a source is refused."""
+    df = spark.read.parquet(path).filter(F.col("source_id").isNotNull())
+    if sources is not None:
+        df = df.filter(F.col("source_id").isin(sources))
     return df.filter(_seconds(now, F.col("attempted_at")) <= keep_days * 86_400)

@@ -10,6 +10,7 @@ from ..operators import feed, quality, search, selection, snapshots, status
 from ..operators.components import connected_components
 from ..operators.dedupe import deduplicate, link_retenders
 from ..operators.ranking import one_distinct
+from .lineage import cut
 from .tables import clock, iso_day, table
 
 QUERIES: dict = {}
@@ -222,20 +223,19 @@ def page_mirrors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query_of(
-    "part_components",
-    """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem
-        WHERE l_quantity >= 48 AND l_linenumber = 1),
-    n AS (SELECT DISTINCT a.p AS x, b.p AS y FROM e a JOIN e b ON a.o = b.o),
-    w(x, y) AS (SELECT x, y FROM n UNION SELECT w.x, n.y FROM w JOIN n ON n.x = w.y)
-    SELECT x AS part, min(y) AS component FROM w GROUP BY x
-    """,
-)
+def _component_rounds(rounds: int) -> str:
+    """Label rounds in plain SQL; the graph of parts and orders closes in a handful of them."""
+    out = ["e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem), l0 AS (SELECT DISTINCT p, p AS c FROM e)"]
+    for r in range(rounds):
+        out.append(f"k{r} AS (SELECT o, min(c) AS c FROM e JOIN l{r} USING (p) GROUP BY o)")
+        out.append(f"l{r + 1} AS (SELECT p, min(c) AS c FROM e JOIN k{r} USING (o) GROUP BY p)")
+    return "WITH " + ", ".join(out) + f" SELECT p AS part, c AS component FROM l{rounds}"
+
+
+@query_of("part_components", _component_rounds(10))
 def part_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts connected through orders that carry them as a large first line."""
-    li = table(spark, folder, "lineitem").filter("l_quantity >= 48 and l_linenumber = 1")
-    edges = li.select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("key"))
+    """Parts connected through orders that carry them."""
+    edges = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("key"))
     return connected_components(edges).select(F.col("node").alias("part"), "component")
 
 
@@ -435,15 +435,16 @@ def part_search(spark: SparkSession, folder: str) -> DataFrame:
     "part_closing_order",
     f"""WITH {_PART_CTE}, s AS (SELECT k, row_number() OVER (ORDER BY days ASC NULLS LAST, p_type = 'PROMO' DESC,
           k % 4 <> 0 DESC, k) AS position FROM p WHERE status = 'ACTIVE_LIKELY')
-        SELECT k AS notice_key, position FROM s WHERE position <= 100""",
+        SELECT k AS notice_key, position FROM s""",
 )
 def part_closing_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Top hundred of the closing order: Spark takes ordered tops per task, then merges them."""
-    rows = search.filter_and_sort(part_tenders(spark, folder), search.Filters(), clock(PART_NOW)).limit(100)
-    ordered = rows.agg(F.collect_list("notice_key").alias("k"))  # one hundred keys
-    return ordered.select(F.posexplode("k").alias("i", "notice_key")).select(
-        "notice_key", (F.col("i") + 1).cast("bigint").alias("position")
-    )
+    """The closing order with positions: places inside the sorted ranges plus the rows of the ranges before."""
+    rows = search.filter_and_sort(part_tenders(spark, folder), search.Filters(), clock(PART_NOW))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    placed = cut(rows.select("notice_key", F.spark_partition_id().alias("part"), place.alias("place")))
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS before")  # a row for each range
+    return placed.join(before, "part").select("notice_key", (F.col("before") + F.col("place") + 1).alias("position"))
 
 
 @query_of(
