@@ -65,22 +65,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(20)
+    values = random.integers(1, 2**63, 256, np.uint64)
+    values[65:91] = values[97:123]  # A-Z count as a-z
+    space = np.zeros(256, bool)
+    space[list(ASCII_SPACE)] = True
+    return values, space
+
+
+BYTE_VALUE, IS_SPACE = _tables()
+FACTOR, ODD = 0xD1342543DE82EF95, np.uint64(0x9E3779B97F4A7C15)
+INVERSE = pow(FACTOR, -1, 2**64)
+
+
 class WordHashes:
-    """64-bit hashes of words, remembered up to a number of words."""
-
-    def __init__(self, most: int = 300_000):
-        import xxhash
-
-        self.digest, self.most, self.known = xxhash.xxh3_64_intdigest, most, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for word in words:
-                if word not in known:
-                    known[word] = self.digest(word)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of the words of texts, A-Z lower-cased; words are runs without ASCII white space.
+
+    A word's hash is a polynomial in its bytes, taken as the difference of two running sums over the whole run of
+    texts, so no word becomes an object of its own.
+    """
+
+    def __init__(self):
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            for name, factor in (("powers", FACTOR), ("inverse", INVERSE)):
+                steps = np.full(n, factor, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words in order, words of each text)."""
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        if not len(data):
+            return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        self._grow(len(data))
+        space = IS_SPACE[data]
+        edge = np.flatnonzero(np.diff(space, prepend=True))
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[data] * self.powers[: len(data)], out=sums[1:])
+        h = mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * ODD)
+        closes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return h, np.diff(np.searchsorted(start, closes), prepend=0)

@@ -65,7 +65,7 @@ def filter_slice(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Filter:
     """The filter's slices of some buckets; the others hold nothing."""
 
-    def __init__(self, words: bytes, sizes: bytes):
+    def __init__(self, words: bytes | bytearray, sizes: bytes):
         self.words, self.sizes = np.frombuffer(words, np.uint64), np.frombuffer(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -87,19 +87,15 @@ class Filter:
 
 def tokens(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token hashes, their contexts, tokens of each text): A-Z lower-cased words and an end for each text."""
-    words, sizes = [], []
-    for text in texts:
-        own = text.lower().split()  # on bytes both touch ASCII only
-        words += own
-        words.append(b"")
-        sizes.append(len(own) + 1)
-    sizes = np.asarray(sizes, np.int64)
-    h = hashes(words)
-    ends = np.cumsum(sizes) - 1
-    h[ends] = END
+    words, sizes = hashes(texts)
+    ends = np.cumsum(sizes + 1) - 1
+    h = np.empty(len(words) + len(sizes), np.uint64)
+    is_word = np.ones(len(h), bool)
+    is_word[ends] = False
+    h[is_word], h[ends] = words, END
     before = np.r_[BEGIN, h[:-1]]
     before[ends[:-1] + 1] = BEGIN
-    return h, before, sizes
+    return h, before, sizes + 1
 
 
 def pairs(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -323,7 +319,7 @@ def lm_scores(
         for r in slices.filter(F.col("bucket").isin(part)).orderBy("bucket").toLocalIterator():
             length[r["bucket"]] = len(r["words"]) // 8
             out += r["words"]
-        filters.append(context.broadcast((bytes(out), length.tobytes())))
+        filters.append(context.broadcast((out, length.tobytes())))
         del out
     means = level_counts()
 

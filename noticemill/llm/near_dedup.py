@@ -8,31 +8,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import WordHashes, as_bytes, documents, id_key, mix, original_id
+from .common import WordHashes, as_bytes, documents, id_key, mix, original_id, runs
 from .components import components
 
 WORDS = 5
 ODD = np.uint64(0x9E3779B97F4A7C15)
 VALUES = 180  # signature values: a minimum and a maximum for half as many permutations
-BLOCK = 512  # members of a bucket compared in one task, and signature rows hashed at once
-
-
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles; fewer words are one shingle; no words: empty."""
-    words = text.lower().split()  # on bytes both touch ASCII only
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = hashes(words)
-    size = min(WORDS, n)
-    s = h[: n - size + 1]
-    for i in range(1, size):
-        s = mix(s * ODD + h[i : n - size + 1 + i])
-    return np.unique(s if n >= WORDS else mix(s + np.uint64(n)))
+BLOCK = 256  # members of a bucket or cluster in a block; tasks compare pairs of blocks
+BLOCK_SHINGLES = 2_000_000  # shingles of a cluster in a block
+
+
+def shingle_sets(texts: list[bytes], hashes: WordHashes) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's 5-word shingles; fewer words are one shingle; no words: empty."""
+    for lo, hi in runs(texts, 1 << 20):
+        h, sizes = hashes(texts[lo:hi])
+        windows = max(0, len(h) - WORDS + 1)
+        s = h[:windows]
+        for i in range(1, WORDS):
+            s = mix(s * ODD + h[i : windows + i])
+        for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+            if n >= WORDS:
+                yield np.unique(s[end - n : end - WORDS + 1])
+            else:
+                whole = np.full(1, n, np.uint64)
+                for word in h[end - n : end]:
+                    whole = mix(whole * ODD + word)
+                yield whole[: min(n, 1)]
 
 
 class MinMax:
@@ -56,8 +61,8 @@ class MinMax:
         """Band keys and a sketch of one byte per value."""
         low = np.full(len(self.factors), 2**64 - 1, np.uint64)
         high = np.zeros(len(self.factors), np.uint64)
-        for at in range(0, len(s), BLOCK):
-            h = s[at : at + BLOCK, None] * self.factors
+        for at in range(0, len(s), 512):
+            h = s[at : at + 512, None] * self.factors
             np.minimum(low, h.min(axis=0), out=low)
             np.maximum(high, h.max(axis=0), out=high)
         used = self.half * self.rows
@@ -76,8 +81,7 @@ def signatures(docs: DataFrame, method: MinMax) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             sizes, contents, bands, sketches = [], [], [], []
-            for text in as_bytes(batch.column(1)):
-                s = shingle_set(text, hashes)
+            for s in shingle_sets(as_bytes(batch.column(1)), hashes):
                 sizes.append(len(s))
                 contents.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 band, sketch = method(s) if len(s) else (None, None)
@@ -149,10 +153,9 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             nodes, sets = [], []
-            for node, text, content in zip(
-                batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True
-            ):
-                s = shingle_set(text, hashes).tobytes()
+            sets_ = shingle_sets(as_bytes(batch.column(1)), hashes)
+            for node, found, content in zip(batch.column(0).to_pylist(), sets_, batch.column(2).to_pylist(), strict=True):
+                s = found.tobytes()
                 if xxhash.xxh3_128_digest(s) == content:  # a doc_id may stand for several texts
                     nodes.append(node)
                     sets.append(s)
@@ -165,65 +168,118 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _open_pairs(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int, most: int) -> DataFrame:
-    """(a, b, more): of each member of a shared bucket its ``most`` most alike members of each other component.
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
 
-    Only sketches that agree in ``least`` places or more count.  ``more`` is 1 where members were left for a later
-    round.  Buckets of one component drop out beforehand; a large bucket is dealt out as pairs of blocks.
-    """
-    rows = cut(
-        held.join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+
+def _in_block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows (with ``node``) dealt to every pair of blocks i <= j that holds them; ``own`` is a row's block."""
+    return (
+        rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .drop("other")
     )
+
+
+class Groups:
+    """Disjoint sets of labels."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _bridges(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """(a, b): labels of different components that meet in a bucket with sketches agreeing in ``least`` places.
+
+    A task gives no more rows than it has labels: enough pairs to connect all that are joined by such members.
+    Buckets of one component drop out beforehand; a large bucket is dealt out as pairs of blocks.
+    """
+    rows = cut(held.join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
     mixed = cut(
         rows.groupBy("bucket")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
         .filter("lo <> hi")
         .select("bucket", "n")
     )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = (
-        rows.join(mixed, "bucket")
-        .join(sketches, "node")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "bucket",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            "own",
-            "node",
-            "label",
-            "sketch",
-        )
+    dealt = _in_block_pairs(rows.join(mixed, "bucket").join(sketches, "node"), _blocks(F.col("n"))).select(
+        "bucket", "i", "j", "label", "sketch"
     )
 
-    def compare(table: pa.Table) -> pa.Table:
-        key, label, own = (table.column(c).to_numpy() for c in ("node", "label", "own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        order = np.lexsort((key, label))
-        key, label, own = key[order], label[order], own[order]
-        sketch = _bytes_matrix(table.column("sketch").combine_chunks())[order]
-        bounds = np.flatnonzero(np.r_[True, label[1:] != label[:-1], True])
-        a, b, more = [], [], 0
-        for x in range(len(key)):
-            agree = (sketch == sketch[x]).sum(axis=1)
-            fit = (agree >= least) & (label != label[x])
-            if i != j:
-                fit &= own != own[x]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                near = lo + np.flatnonzero(fit[lo:hi])
-                if len(near) > most:
-                    more = 1
-                    near = near[np.lexsort((key[near], -agree[near]))[:most]]
-                a.extend(np.minimum(key[near], key[x]).tolist())
-                b.extend(np.maximum(key[near], key[x]).tolist())
-        return pa.table(
-            {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array([more] * len(a), pa.int32())}
-        )
+    def meet(table: pa.Table) -> pa.Table:
+        label = table.column("label").to_numpy()
+        sketch = _bytes_matrix(table.column("sketch").combine_chunks())
+        groups, a, b = Groups(), [], []
+        open_ = len(np.unique(label)) - 1
+        for x in range(len(label)):
+            if not open_:
+                break
+            near = np.unique(label[(sketch == sketch[x]).sum(axis=1) >= least])
+            for y in near.tolist():
+                if groups.join(int(label[x]), y):
+                    a.append(min(int(label[x]), y))
+                    b.append(max(int(label[x]), y))
+                    open_ -= 1
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _links_inside(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links on full sets between different labels of a cluster.
+
+    ``open_`` has (node, label, cluster, size).  All members of a cluster are compared, in pairs of blocks of bounded
+    rows and bytes, by counting shared shingles as products of incidence matrices.  A task gives no more rows than it
+    has labels.
+    """
+    sizes = cut(open_.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")))
+    blocks = F.greatest(_blocks(F.col("n")), F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int"))
+    rows = open_.join(sizes, "cluster").withColumn("blocks", blocks).drop("n", "shingles", "size")
+    dealt = _in_block_pairs(rows.join(sets, "node"), F.col("blocks")).select(
+        "cluster", "i", "j", "own", "node", "label", "shingles"
+    )
 
-    found = dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long, more int")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    def link(table: pa.Table) -> pa.Table:
+        node, label, own = (table.column(c).to_numpy() for c in ("node", "label", "own"))
+        a, b = [], []
+        if len(np.unique(label)) > 1:
+            sets_ = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+            size = np.fromiter(map(len, sets_), np.int64, len(sets_))
+            row = np.repeat(np.arange(len(sets_)), size)
+            _, column, many = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+            number = np.where(many > 1, np.cumsum(many > 1) - 1, -1)[column]
+            row, number = row[number >= 0], number[number >= 0]
+            order = np.argsort(number, kind="stable")
+            row, number = row[order], number[order]
+            shared = np.zeros((len(sets_), len(sets_)), np.float32)
+            last = int(number[-1]) + 1 if len(number) else 0
+            for lo in range(0, last, 8192):
+                these = slice(*np.searchsorted(number, [lo, lo + 8192]))
+                part = np.zeros((len(sets_), 8192), np.float32)
+                part[row[these], number[these] - lo] = 1
+                shared += part @ part.T
+            union = size[:, None] + size[None, :] - shared
+            linked = (100 * shared >= percent * union) & (label[:, None] != label[None, :])
+            if table.column("i")[0] != table.column("j")[0]:
+                linked &= own[:, None] != own[None, :]
+            groups = Groups()
+            for x, y in np.argwhere(np.triu(linked)).tolist():
+                if groups.join(int(label[x]), int(label[y])):
+                    a.append(min(int(node[x]), int(node[y])))
+                    b.append(max(int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -238,16 +294,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Equal sets are settled by one grouping, so copies take no further part.  Banded min-max signatures propose pairs;
     at the threshold a pair shares no band with a chance below 1e-6.  First each set meets the more alike of its
-    buckets' ends; then, in rounds of growing width, members of a bucket that are still in different components are
-    compared by sketch, and those that may reach the threshold are confirmed on full sets, until none is left.  No
-    bucket is capped, large ones are split into blocks, and pairs inside a component are never produced.
+    buckets' ends, confirmed on full sets.  Components that still meet in a bucket with sketches that may reach the
+    threshold are then gathered into clusters, and all members of a cluster are compared on full sets, so every pair
+    that shares a band is settled.  No bucket is capped; large buckets and clusters are dealt out as pairs of blocks;
+    no task gives more rows than its members need to be connected.
     """
     method = MinMax(percent / 100)
     sigs = cut(signatures(docs, method))
     classes = cut(
         sigs.filter("content IS NOT NULL")
         .groupBy("content")
-        .agg(F.min("key_").alias("key_"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(
+            F.min("key_").alias("key_"),
+            F.first("n_shingles").alias("size"),
+            F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
+        )
         .withColumn("node", F.monotonically_increasing_id())
     )
     sketches = classes.select("node", "sketch")
@@ -271,22 +333,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     held = held.select("node", "bucket")
     sets = cut(_shingles(docs, classes.join(held.select("node").distinct(), "node").select("node", "key_", "content")))
-    tried = cut(best)
-    links = cut(_confirmed(tried, sets, percent))
+    links = cut(_confirmed(cut(best), sets, percent))
     labels = components(links)
-    most = 1
-    while True:
-        found = cut(_open_pairs(held, labels, sketches, method.agreeing, most))
-        fresh = cut(found.join(tried, ["a", "b"], "left_anti").select("a", "b"))
-        if not fresh.isEmpty():
-            news = cut(_confirmed(fresh, sets, percent))
-            tried = tried.union(fresh)
-            if not news.isEmpty():
-                links = links.union(news)
-                labels = components(links)
-        elif found.filter("more = 1").isEmpty():
-            break
-        most *= 4
+    bridges = components(_bridges(held, labels, sketches, method.agreeing))
+    open_ = cut(
+        classes.select("node", "size")
+        .join(labels, "node", "left")
+        .withColumn("label", F.coalesce("label", "node"))
+        .join(bridges.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
+    )
+    labels = components(links.union(_links_inside(open_, sets, percent)))
     named = cut(
         classes.select("node", "content", "key_")
         .join(labels, "node", "left")
