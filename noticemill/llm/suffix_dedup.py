@@ -99,10 +99,26 @@ class Pieces:
         self.held: dict[bytes, tuple] = {}
         self.rows: list[tuple] = []
         self.settled: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.n_settled = 0
 
     def settle(self, place: tuple[int, int, int], length: int) -> None:
         key, start, sum_ = place
         self.settled.setdefault((key, sum_), []).append((start, start + length))
+        self.n_settled += 1
+
+    def settled_rows(self) -> list[tuple]:
+        """Settled ranges, joined inside a text; they need no company and are dealt out by text."""
+        out = []
+        for (key, sum_), spans in self.settled.items():
+            spans.sort()
+            lo, hi = spans[0]
+            for a, b in [*spans[1:], (2**62, 2**62)]:
+                if a > hi:
+                    out.append((key ^ sum_, key, lo, sum_, hi - lo, b""))
+                    lo = a
+                hi = max(hi, b)
+        self.settled, self.n_settled = {}, 0
+        return out
 
     def add(self, held: dict, data: bytes, bucket: int, anchor: int, place: tuple[int, int, int]) -> None:
         """``place``: document, start and text hash, in this order the order of the corpus."""
@@ -159,15 +175,7 @@ class Pieces:
                 a = b + 1
         for data, (bucket, _, place) in fine.items():
             self.rows.append((bucket, *place, len(data), data))
-        for (key, sum_), spans in self.settled.items():
-            spans.sort()
-            lo, hi = spans[0]
-            for a, b in [*spans[1:], (2**62, 2**62)]:
-                if a > hi:  # settled ranges need no company: they are dealt out by document
-                    self.rows.append((key ^ sum_, key, lo, sum_, hi - lo, b""))
-                    lo = a
-                hi = max(hi, b)
-        out, self.rows, self.held, self.settled = self.rows, [], {}, {}
+        out, self.rows, self.held = self.rows + self.settled_rows(), [], {}
         return out
 
 
@@ -195,6 +203,8 @@ def _pieces(texts: DataFrame, width: int) -> DataFrame:
                 pieces.add_text(batch.column(0)[i].as_py(), text_sum(text), text, repeated[by], hot[by])
                 if len(pieces.held) + len(pieces.rows) > HELD:
                     yield from rows(pieces.flush())
+                elif pieces.n_settled > HELD:
+                    yield from rows(pieces.settled_rows())
         yield from rows(pieces.flush())
 
     carried_ = [c for c in texts.columns if c == "carry_"]  # read here only so that both joins share one shuffle
