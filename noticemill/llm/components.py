@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` cut and read in at most a few partitions for each core of the cluster.
+
+    Narrow tables that several joins read then cost few shuffle files, however many partitions made them.
+    """
+    return cut(df).coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of a (a, b) link table: the smallest node reachable, for every node that has a link.
 
@@ -15,21 +23,21 @@ def components(links: DataFrame) -> DataFrame:
     own label, until nothing moves.  Joins read tables that were cut before, so a hub's links can be split by the skew
     handling of the join.
     """
-    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    edges = settled(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         heard = (
             edges.join(labels, edges["a"] == labels["node"])
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("label").alias("heard"))
         )
-        step = cut(
+        step = settled(
             labels.join(heard, "node").select(
                 "node", F.col("label").alias("old"), F.least("label", "heard").alias("label")
             )
         )
         up = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = cut(step.join(up, "label").select("node", "old", F.col("further").alias("label")))
+        moved = settled(step.join(up, "label").select("node", "old", F.col("further").alias("label")))
         labels = moved.select("node", "label")
         if moved.filter("old <> label").isEmpty():
             return labels

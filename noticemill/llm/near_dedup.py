@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .common import WordHashes, as_bytes, documents, id_key, mix, original_id, runs
-from .components import components
+from .components import components, settled
 
 WORDS = 5
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -205,8 +205,8 @@ def _bridges(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int
     A task gives no more rows than it has labels: enough pairs to connect all that are joined by such members.
     Buckets of one component drop out beforehand; a large bucket is dealt out as pairs of blocks.
     """
-    rows = cut(held.join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
-    mixed = cut(
+    rows = settled(held.join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
+    mixed = settled(
         rows.groupBy("bucket")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
         .filter("lo <> hi")
@@ -242,7 +242,7 @@ def _links_inside(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows and bytes, by counting shared shingles as products of incidence matrices.  A task gives no more rows than it
     has labels.
     """
-    sizes = cut(open_.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")))
+    sizes = settled(open_.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")))
     blocks = F.greatest(_blocks(F.col("n")), F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int"))
     rows = open_.join(sizes, "cluster").withColumn("blocks", blocks).drop("n", "shingles", "size")
     dealt = _in_block_pairs(rows.join(sets, "node"), F.col("blocks")).select(
@@ -314,15 +314,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     sketches = classes.select("node", "sketch")
     spread = classes.select("node", F.explode("bands").alias("bucket"))
-    ends = cut(spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"))
-    held = cut(spread.join(ends, "bucket"))
+    ends = settled(spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"))
+    held = settled(spread.join(ends, "bucket"))
     first = (
         held.select("node", F.explode(F.array("lo", "hi")).alias("end"))
         .filter("node <> end")
         .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
         .distinct()
     )
-    likely = cut(_agreement(first, sketches, method.agreeing))
+    likely = settled(_agreement(first, sketches, method.agreeing))
     best = (
         likely.select(F.col("a").alias("node"), F.col("b").alias("with"), "agree")
         .union(likely.select(F.col("b").alias("node"), F.col("a").alias("with"), "agree"))
@@ -333,23 +333,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     held = held.select("node", "bucket")
     sets = cut(_shingles(docs, classes.join(held.select("node").distinct(), "node").select("node", "key_", "content")))
-    links = cut(_confirmed(cut(best), sets, percent))
+    links = settled(_confirmed(settled(best), sets, percent))
     labels = components(links)
     bridges = components(_bridges(held, labels, sketches, method.agreeing))
-    open_ = cut(
+    open_ = settled(
         classes.select("node", "size")
         .join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
         .join(bridges.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
     )
     labels = components(links.union(_links_inside(open_, sets, percent)))
-    named = cut(
+    named = settled(
         classes.select("node", "content", "key_")
         .join(labels, "node", "left")
         .select("content", "key_", F.coalesce("label", "node").alias("label"))
     )
-    least = cut(named.groupBy("label").agg(F.min("key_").alias("component")))
-    placed = cut(named.join(least, "label").select("content", "component"))
+    least = settled(named.groupBy("label").agg(F.min("key_").alias("component")))
+    placed = settled(named.join(least, "label").select("content", "component"))
     return (
         sigs.select("key_", "n_shingles", "content")
         .join(placed, "content", "left")
