@@ -21,23 +21,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node's neighbours (minima that combine map-side) and then the label's
     own label, until nothing moves.  Joins read tables that were cut before, so a hub's links can be split by the skew
-    handling of the join.
+    handling of the join.  They ask for sorted merges, as broadcasts in every round would fill the driver.
     """
     edges = settled(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settled(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         heard = (
-            edges.join(labels, edges["a"] == labels["node"])
+            edges.join(labels.hint("merge"), edges["a"] == labels["node"])
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("label").alias("heard"))
         )
         step = settled(
-            labels.join(heard, "node").select(
+            labels.join(heard.hint("merge"), "node").select(
                 "node", F.col("label").alias("old"), F.least("label", "heard").alias("label")
             )
         )
         up = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = settled(step.join(up, "label").select("node", "old", F.col("further").alias("label")))
+        moved = settled(step.join(up.hint("merge"), "label").select("node", "old", F.col("further").alias("label")))
         labels = moved.select("node", "label")
         if moved.filter("old <> label").isEmpty():
             return labels

@@ -122,7 +122,7 @@ def _agreement(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
 
     left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
     right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
     return both.mapInArrow(run, "a long, b long, agree int")
 
 
@@ -142,7 +142,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -205,14 +205,14 @@ def _bridges(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int
     A task gives no more rows than it has labels: enough pairs to connect all that are joined by such members.
     Buckets of one component drop out beforehand; a large bucket is dealt out as pairs of blocks.
     """
-    rows = settled(held.join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
+    rows = settled(held.join(labels.hint("merge"), "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
     mixed = settled(
         rows.groupBy("bucket")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
         .filter("lo <> hi")
         .select("bucket", "n")
     )
-    dealt = _in_block_pairs(rows.join(mixed, "bucket").join(sketches, "node"), _blocks(F.col("n"))).select(
+    dealt = _in_block_pairs(rows.join(mixed.hint("merge"), "bucket").join(sketches.hint("merge"), "node"), _blocks(F.col("n"))).select(
         "bucket", "i", "j", "label", "sketch"
     )
 
@@ -244,8 +244,8 @@ def _links_inside(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     sizes = settled(open_.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")))
     blocks = F.greatest(_blocks(F.col("n")), F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int"))
-    rows = open_.join(sizes, "cluster").withColumn("blocks", blocks).drop("n", "shingles", "size")
-    dealt = _in_block_pairs(rows.join(sets, "node"), F.col("blocks")).select(
+    rows = open_.join(sizes.hint("merge"), "cluster").withColumn("blocks", blocks).drop("n", "shingles", "size")
+    dealt = _in_block_pairs(rows.join(sets.hint("merge"), "node"), F.col("blocks")).select(
         "cluster", "i", "j", "own", "node", "label", "shingles"
     )
 
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sketches = classes.select("node", "sketch")
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     ends = settled(spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"))
-    held = settled(spread.join(ends, "bucket"))
+    held = settled(spread.join(ends.hint("merge"), "bucket"))
     first = (
         held.select("node", F.explode(F.array("lo", "hi")).alias("end"))
         .filter("node <> end")
@@ -338,21 +338,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     bridges = components(_bridges(held, labels, sketches, method.agreeing))
     open_ = settled(
         classes.select("node", "size")
-        .join(labels, "node", "left")
+        .join(labels.hint("merge"), "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
         .join(bridges.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
     )
     labels = components(links.union(_links_inside(open_, sets, percent)))
     named = settled(
         classes.select("node", "content", "key_")
-        .join(labels, "node", "left")
+        .join(labels.hint("merge"), "node", "left")
         .select("content", "key_", F.coalesce("label", "node").alias("label"))
     )
     least = settled(named.groupBy("label").agg(F.min("key_").alias("component")))
-    placed = settled(named.join(least, "label").select("content", "component"))
+    placed = settled(named.join(least.hint("merge"), "label").select("content", "component"))
     return (
         sigs.select("key_", "n_shingles", "content")
-        .join(placed, "content", "left")
+        .join(placed.hint("merge"), "content", "left")
         .withColumn("component", F.coalesce("component", "key_"))
         .select(
             original_id("key_").alias("doc_id"),
