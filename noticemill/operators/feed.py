@@ -10,7 +10,8 @@ from ..functions.identifiers import first_present, present, printed_bid_id
 from ..functions.patterns import matches
 from ..functions.text import plain_text, whole_quantity
 from ..functions.urls import web_reference
-from .ranking import one_distinct, top_per_group
+from ..plans.lineage import cut
+from .ranking import chunked_row_number, one_distinct, top_per_group
 
 # A clause that states one direct quantity, and the list limits.
 DIRECT_QUANTITY = (
@@ -39,14 +40,10 @@ def _item(item_id, equipment, quantity, quantity_text, category, url, label, pag
     return F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)]).cast(ITEM)
 
 
-def with_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFrame:
-    """Notices with a usable address and their ``items`` and ``tier``.
+def _ladder(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFrame:
+    """Notices with a usable address, their ``tier``, ``item_count`` and ``__own``: the items of tiers 1 and 3.
 
-    Declared items (1), else price-schedule rows (2), else one title item (3).  ``notices`` needs notice_key, title,
-    tender_url, source_url, equipment_items and equipment_types (array); ``quantities`` is the long table of current
-    quantity clauses (notice_key, ordinal, requirement, quantity, doc_url, doc_type, label, page, sheet, row).
-
-    Of a notice's price-schedule rows one more than the limit is read, enough for the size guard to see the excess.
+    Price-schedule rows are only counted here, map-side.
     """
     base = F.lit(origin)
     none = F.lit(None).cast("string")
@@ -70,43 +67,24 @@ def with_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFr
         ),
         lambda x: x["equipment"].isNotNull(),
     )
-    in_schedule = (
-        (F.col("doc_type") == "boq") & F.col("row").isNotNull() & (F.col("row") > 0) & present(F.col("sheet")).isNotNull()
-    )
-    first = top_per_group(quantities.filter(in_schedule), ["notice_key"], [F.asc("ordinal")], ITEM_LIMIT + 1, "__n")
-    schedule = (
-        first.select(
-            "notice_key",
-            "__n",
-            _item(
-                F.concat_ws("-", F.lit("boq"), F.col("sheet"), F.col("row").cast("string"), (F.col("__n") - 1).cast("string")),
-                plain_text(F.col("requirement")),
-                whole_quantity(F.col("quantity")),
-                plain_text(F.col("quantity")),
-                none,
-                web_reference(F.col("doc_url"), base),
-                plain_text(F.col("label")),
-                F.col("page"),
-                plain_text(F.col("sheet")),
-                F.col("row"),
-            ).alias("__item"),
-        )
-        .groupBy("notice_key")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__item"))), lambda x: x["__item"]).alias("__schedule"))
-    )
     n = whole_quantity(F.col("quantity"))
-    direct = (
-        quantities.filter(matches(F.col("requirement"), DIRECT_QUANTITY))
+    is_direct = matches(F.col("requirement"), DIRECT_QUANTITY)
+    # one pass over the clauses: the schedule rows are counted and the direct quantities settled, both map-side
+    facts = (
+        quantities.withColumns({"__in": in_schedule(), "__direct": F.coalesce(is_direct, F.lit(False))})
+        .filter("__in or __direct")
         .groupBy("notice_key")
         .agg(
-            one_distinct(n).alias("__q"),
-            F.min_by(F.struct("doc_url", "label", "page"), F.when(n.isNotNull(), F.col("ordinal"))).alias("__evidence"),
+            F.count(F.when(F.col("__in"), 1)).alias("__rows"),
+            one_distinct(F.when(F.col("__direct"), n)).alias("__q"),
+            F.min_by(
+                F.struct("doc_url", "label", "page"), F.when(F.col("__direct") & n.isNotNull(), F.col("ordinal"))
+            ).alias("__evidence"),
         )
     )
     work = (
         own.withColumn("__declared", declared)
-        .join(schedule, "notice_key", "left")
-        .join(direct, "notice_key", "left")
+        .join(facts, "notice_key", "left")
         .withColumn("__single", F.when(F.coalesce(F.size("equipment_types"), F.lit(0)) <= 1, F.col("__q")))
         .withColumn("__proof", F.when(F.col("__single").isNotNull(), F.col("__evidence")))
     )
@@ -122,28 +100,86 @@ def with_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFr
         none,
         F.lit(None),
     )
-    tier = F.when(F.size("__declared") > 0, 1).when(F.col("__schedule").isNotNull(), 2).otherwise(3)
-    items = (
-        F.when(F.size("__declared") > 0, F.col("__declared"))
-        .when(F.col("__schedule").isNotNull(), F.col("__schedule"))
-        .otherwise(F.array(title_item))
+    tier = F.when(F.size("__declared") > 0, 1).when(F.col("__rows") > 0, 2).otherwise(3)
+    count = F.when(F.size("__declared") > 0, F.size("__declared")).when(F.col("__rows") > 0, F.col("__rows")).otherwise(1)
+    items = F.when(F.size("__declared") > 0, F.col("__declared")).when(F.coalesce("__rows", F.lit(0)) == 0, F.array(title_item))
+    return work.withColumns({"tier": tier, "item_count": count.cast("bigint"), "__own": items}).drop(
+        "__url", "__declared", "__rows", "__q", "__evidence", "__single", "__proof"
+    )
+
+
+def in_schedule() -> Column:
+    """Quantity clauses that are rows of a price schedule."""
+    in_sheet = (F.col("row") > 0) & present(F.col("sheet")).isNotNull()
+    return F.coalesce((F.col("doc_type") == "boq") & in_sheet, F.lit(False))
+
+
+def _schedule_item(origin: str) -> Column:
+    """The item of a price-schedule row numbered ``__n`` in its notice."""
+    return _item(
+        F.concat_ws("-", F.lit("boq"), F.col("sheet"), F.col("row").cast("string"), (F.col("__n") - 1).cast("string")),
+        plain_text(F.col("requirement")),
+        whole_quantity(F.col("quantity")),
+        plain_text(F.col("quantity")),
+        F.lit(None).cast("string"),
+        web_reference(F.col("doc_url"), F.lit(origin)),
+        plain_text(F.col("label")),
+        F.col("page"),
+        plain_text(F.col("sheet")),
+        F.col("row"),
+    )
+
+
+def with_items(notices: DataFrame, quantities: DataFrame, origin: str, item_limit: int = ITEM_LIMIT) -> DataFrame:
+    """Notices with a usable address, their ``tier``, ``item_count`` and ``items``.
+
+    Declared items (1), else price-schedule rows (2), else one title item (3).  ``notices`` needs notice_key, title,
+    tender_url, source_url, equipment_items and equipment_types (array); ``quantities`` is the long table of current
+    quantity clauses (notice_key, ordinal, requirement, quantity, doc_url, doc_type, label, page, sheet, row).
+
+    ``item_count`` covers all items.  ``items`` is whole or, where there are more than ``item_limit``, null: those are
+    read as rows with ``feed_items``.
+    """
+    # a notice with more rows than the limit gets no list, so its rows past the limit need not travel to be refused
+    rows = top_per_group(quantities.filter(in_schedule()), ["notice_key"], [F.asc("ordinal")], item_limit, "__n")
+    schedule = (
+        rows.select("notice_key", "__n", _schedule_item(origin).alias("__item"))
+        .groupBy("notice_key")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__item"))), lambda x: x["__item"]).alias("__schedule"))
     )
-    return work.withColumns({"tier": tier, "items": items}).drop(
-        "__url", "__declared", "__schedule", "__q", "__evidence", "__single", "__proof"
+    items = F.when(F.col("item_count") <= item_limit, F.when(F.col("tier") == 2, F.col("__schedule")).otherwise(F.col("__own")))
+    return (
+        _ladder(notices, quantities, origin)
+        .join(schedule, "notice_key", "left")
+        .withColumn("items", items)
+        .drop("__own", "__schedule")
     )
 
 
 def feed_items(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFrame:
-    """Item rows (``ITEM_COLUMNS``) of ``with_items``."""
-    rows = with_items(notices, quantities, origin).select(
-        "notice_key", "tier", F.posexplode("items").alias("item_ordinal", "item")
+    """All item rows (``ITEM_COLUMNS``) of the notices ``with_items`` describes, whatever their number.
+
+    Schedule rows are ordered by ranges and numbered from the ranges' counts, so a long schedule is in no single task.
+    """
+    work = _ladder(notices, quantities, origin)
+    own = work.filter("tier <> 2").select("notice_key", "tier", F.posexplode("__own").alias("item_ordinal", "item"))
+    # the ranges are drawn from a sample, so they are written once
+    ranges = cut(
+        quantities.filter(in_schedule())
+        .repartitionByRange("notice_key", "ordinal")
+        .withColumn("__range", F.spark_partition_id())
+    )
+    numbered = chunked_row_number(ranges, ["notice_key"], [F.asc("ordinal")], F.col("__range"), "__n")
+    scheduled = numbered.join(work.filter("tier = 2").select("notice_key", "tier"), "notice_key").select(
+        "notice_key", "tier", (F.col("__n") - 1).alias("item_ordinal"), _schedule_item(origin).alias("item")
     )
+    rows = own.unionByName(scheduled)
     return rows.select("notice_key", "tier", F.col("item_ordinal").cast("bigint"), "item.*")
 
 
 def size_guard(rows: DataFrame, limit: int = ITEM_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of notices with ``items``: more items than ``limit`` need manual entry."""
-    return rows.filter(F.size("items") <= limit), rows.filter(F.size("items") > limit)
+    """(accepted, rejected) by ``item_count``: more items than ``limit`` need manual entry."""
+    return rows.filter(F.col("item_count") <= limit), rows.filter(F.col("item_count") > limit).drop("items")
 
 
 def iso(ts: Column) -> Column:
@@ -166,10 +202,11 @@ def feed_notices(
 
     Observation times are outside the fingerprint, so a repeated check changes nothing.  Documents are the notice's and
     its specification's (``specification_documents``: label, url, published_date), one for each address; ``truncated``
-    marks rows with more than ``list_limit`` entries in one of their lists.
+    marks rows with more than ``list_limit`` entries in one of their lists.  Rejected rows keep the columns of their
+    notice with ``tier`` and ``item_count``; ``feed_items`` of them and the same ``quantities`` gives all their items.
     """
     base = F.lit(origin)
-    accepted, rejected = size_guard(with_items(notices, quantities, origin), item_limit)
+    accepted, rejected = size_guard(with_items(notices, quantities, origin, item_limit), item_limit)
     pair = "array<struct<label:string,url:string>>"
 
     def links(name: str, label: str, default: str) -> Column:

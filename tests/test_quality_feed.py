@@ -58,6 +58,20 @@ def test_fingerprint_changes_and_guard(spark):
     assert {r.notice_key: len(r["items"]) for r in ok.collect()} == {1: 100, 2: 1} and [r.notice_key for r in rejected.collect()] == [0]
 
 
+def test_long_schedules_keep_all_items(spark):
+    n, _ = feed_rows(spark, [{"id": "a"}, {"id": "b"}], [])
+    schedule = spark.createDataFrame([(0, i, f"Bed {i}", "1", "/q.xlsx", "boq", "BOQ", None, "S", 1) for i in reversed(range(150))], Q)
+    wanted = [f"boq-S-1-{i}" for i in range(150)]
+    rows = feed.feed_items(n, schedule, ORIGIN).filter("notice_key = 0").orderBy("item_ordinal").collect()
+    assert [r.item_id for r in rows] == wanted and [r.equipment for r in rows] == [f"Bed {i}" for i in range(150)]
+    _, rejected = feed.feed_notices(n, schedule, ORIGIN)
+    assert [(r.notice_key, r.item_count) for r in rejected.collect()] == [(0, 150)]
+    assert feed.feed_items(rejected, schedule, ORIGIN).count() == 150
+    assert [r.notice_key for r in feed.feed_notices(n, schedule, ORIGIN, item_limit=149)[1].collect()] == [0]
+    ok, rejected = feed.feed_notices(n, schedule, ORIGIN, item_limit=150)
+    assert [i.item_id for i in ok.filter("notice_key = 0").collect()[0]["items"]] == wanted and rejected.isEmpty()
+
+
 def test_documents_by_address_and_dates(spark):
     rows = [{"id": "a", "documents": [("one", "/a.pdf"), ("two", "/b.pdf"), ("three", "/a.pdf")], "fetched_at": "later"}]
     n, _ = feed_rows(spark, rows, [])
