@@ -285,6 +285,45 @@ def document_section_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", product_evidence(F.concat("head", tail)).alias("evidence"))
 
 
+@query_of(
+    "document_section_texts",
+    r"""
+    WITH d AS (SELECT doc_id, replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(1), '') AS t FROM documents),
+    mixed AS (SELECT doc_id, CASE doc_id % 4
+        WHEN 0 THEN t || chr(10) || 'Warranty:' || chr(10) || 'dropped' || chr(10) || 'Technical Specifications' || chr(10) || t
+        WHEN 1 THEN 'Disclaimer' || chr(10) || t || chr(10) || 'Item specification' || chr(10) || t
+        WHEN 2 THEN t || chr(10) || 'searched' || chr(10) || 'results here' || chr(10) || 'more'
+        ELSE t || chr(10) || '3. Terms & Conditions' || chr(10) || t END AS t FROM d),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM mixed),
+    marked AS (SELECT *, CASE
+        WHEN regexp_matches(line, '^(?:.*/\s*)?(?:technical|product|item)\s+specifications?\b', 'i') THEN 'T'
+        WHEN regexp_matches(line, 'buyer added bid specific|consignees/reporting|general terms and conditions|additional terms and conditions', 'i')
+          OR regexp_matches(line, '^\s*(?:\d+[.)]\s*)?(?:generic|help(?: centre| center)?|procurement history|bid history|terms (?:and|&) conditions|eligibility criteria|warranty|disclaimer)\s*:?\s*$', 'i')
+          OR regexp_matches(line, 'GeMARPTS|searched\s+(?:strings|results?)|result generated|categories selected for notification', 'i') THEN 'A' END AS mark FROM l),
+    sections AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM marked),
+    kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS evidence FROM sections WHERE coalesce(section, 'T') = 'T' GROUP BY 1)
+    SELECT doc_id, length(CASE WHEN t IS NOT NULL THEN coalesce(evidence, '') END) AS evidence_chars,
+      sha256(CASE WHEN t IS NOT NULL THEN coalesce(evidence, '') END) AS evidence_sha256
+    FROM d LEFT JOIN kept USING (doc_id)
+    """,
+)
+def document_section_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents with sections mixed in, before, between and after their own lines; null texts stay null."""
+    d = table(spark, folder, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    k = F.col("doc_id") % 4
+    text = F.col("text")
+    mixed = (
+        F.when(k == 0, F.concat(text, F.lit("\nWarranty:\ndropped\nTechnical Specifications\n"), text))
+        .when(k == 1, F.concat(F.lit("Disclaimer\n"), text, F.lit("\nItem specification\n"), text))
+        .when(k == 2, F.concat(text, F.lit("\nsearched\nresults here\nmore")))
+        .otherwise(F.concat(text, F.lit("\n3. Terms & Conditions\n"), text))
+    )
+    evidence = d.select("doc_id", product_evidence(mixed).alias("evidence"))
+    return evidence.select(
+        "doc_id", F.length("evidence").cast("bigint").alias("evidence_chars"), F.sha2("evidence", 256).alias("evidence_sha256")
+    )
+
+
 @query_of(
     "event_merge_step",
     """

@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -59,6 +60,27 @@ def test_sample_queries_match_sql(spark, name):
     assert mine == [w.replace("Decimal", "") for w in wanted]
 
 
+def test_section_texts_match_sql(spark):
+    test_sample_queries_match_sql(spark, "document_section_texts")
+
+
+def test_section_texts_read_every_line(spark, tmp_path):
+    texts = ["Bed\nWarranty\na\nProduct specification\nb", "Bed\nlast", None, "Bed\nlast"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {
+        0: "Bed\nProduct specification\nb\nTechnical Specifications\nBed\nProduct specification\nb",
+        1: "Item specification\nBed\nlast",
+        2: None,
+        3: "Bed\nlast",
+    }
+    rows = contract.queries()["document_section_texts"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.evidence_sha256 for r in rows} == {i: t and hashlib.sha256(t.encode()).hexdigest() for i, t in wanted.items()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(contract.oracle_sql()["document_section_texts"]).fetchall()
+    assert sorted(found) == sorted((r.doc_id, r.evidence_chars, r.evidence_sha256) for r in rows)
+
+
 def test_rotated_selection_matches_the_replay(spark):
     out = contract.queries()["order_fair_rotated"](spark, FOLDER).collect()
     o = spark.read.parquet(f"{FOLDER}/orders.parquet").orderBy("o_orderkey").collect()
