@@ -203,7 +203,7 @@ def _probed(texts: DataFrame, filters: list, then: Callable, schema: str, keep:
     """``then(batch, lo, hi, found)`` for runs of texts after probing every filter.
 
     With one filter this is one pass.  With more, each pass adds what its part of the filter knows to a column of
-    levels, so that no task holds more than one part.
+    levels and is written before the next, as chained steps would run in one task and hold all their parts.
     """
 
     def step(filter_, last: bool) -> Callable:
@@ -241,6 +241,8 @@ def _probed(texts: DataFrame, filters: list, then: Callable, schema: str, keep:
     for i, filter_ in enumerate(filters):
         last = i == len(filters) - 1
         df = df.mapInArrow(step(filter_, last), schema if last else between)
+        if not last:
+            df = cut(df)
     return df
 
 

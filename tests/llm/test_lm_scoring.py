@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from noticemill.llm import lm_scoring as lm
@@ -49,6 +50,21 @@ def test_parts_and_rare_words_give_the_same(spark):
     assert all(abs(scores[k] - parts[k]) < 1e-9 for k in scores)
 
 
+def test_no_plan_holds_two_parts(spark):
+    rng = np.random.default_rng(1)
+    parts = []
+    for _ in range(3):
+        words = lm.filter_slice(rng.integers(0, 2**63, 50, np.uint64), np.ones(50, np.int64))
+        parts.append(spark.sparkContext.broadcast((words.tobytes(), np.array([len(words)]).tobytes())))
+
+    def then(batch, lo, hi, found):
+        return pa.RecordBatch.from_arrays([pa.array(found.sizes)], names=["n"])
+
+    df = lm._probed(table(spark, [(1, "a b"), (2, "c")]), parts, then, "n long", [])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.n for r in df.collect()) == [2, 3]
+
+
 def test_beats_the_base_on_held_out_text(spark):
     import random
 
