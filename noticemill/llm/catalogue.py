@@ -1,6 +1,18 @@
 """Registered queries of the training-data operators, and SQL where it can express them."""
 
-from . import line_dedup, lm_scoring, near_dedup, packing, pieces, quality_model, quality_rules, sharding, suffix_dedup, top_k
+from . import (
+    fill_middle,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    packing,
+    pieces,
+    quality_model,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    top_k,
+)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,10 +25,12 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_top_k": top_k.op10_top_k,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_near_dedup": near_dedup.ORACLE,
     "op10_top_k": top_k.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
