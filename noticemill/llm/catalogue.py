@@ -2,10 +2,12 @@
 
 from . import (
     fill_middle,
+    language_id,
     line_dedup,
     lm_scoring,
     near_dedup,
     packing,
+    phrases,
     pieces,
     quality_model,
     quality_rules,
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_top_k": top_k.op10_top_k,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_language_id": language_id.op12_language_id,
+    "op13_collocations": phrases.op13_collocations,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE,
@@ -33,4 +37,5 @@ ORACLE = {
     "op8_near_dedup": near_dedup.ORACLE,
     "op10_top_k": top_k.ORACLE,
     "op11_fill_middle": fill_middle.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }
