@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -90,18 +91,25 @@ def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(lefts), np.concatenate(rights), np.concatenate(counts), code
 
 
-def next_sequence(seq: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(sequence of pair codes, left, right, count): neighbours of a sequence that both have an id; ``codes`` have ``ids``."""
-    known = np.full(int(max(seq.max(initial=0), codes.max(initial=0))) + 2, BREAK, np.int64)  # the last place: breaks
-    known[codes] = ids
-    rank = known[seq]
-    joined = (rank[:-1] >= 0) & (rank[1:] >= 0)
-    at = np.flatnonzero(joined)
-    left, right, count, code = tile_counts(rank[at], rank[at + 1])
+def neighbours(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, code) of the neighbours that both have an id, and (left, right, count) of the distinct ones."""
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    left, right, count, code = tile_counts(ids[at].astype(np.int64), ids[at + 1].astype(np.int64))
+    return at, code, left, right, count
+
+
+def spaced(at: np.ndarray, ids: np.ndarray, kind: type) -> np.ndarray:
+    """The ids that are not breaks as a sequence, with a break wherever their places do not follow each other."""
+    held = ids >= 0
+    at, ids = at[held], ids[held]
     gap = np.cumsum(np.diff(at, prepend=at[:1]) > 1)
-    out = np.full(len(at) + int(gap[-1]) if len(at) else 0, BREAK, np.int32)
-    out[np.arange(len(at)) + gap] = code
-    return out, left, right, count
+    out = np.full(len(at) + int(gap[-1]) if len(at) else 0, BREAK, kind)
+    out[np.arange(len(at)) + gap] = ids
+    return out
+
+
+def _kind(n_ids: int) -> type:
+    return np.int32 if n_ids < 2**31 else np.int64
 
 
 def _row(*values: np.ndarray | pa.Array) -> list[pa.Array]:
@@ -118,18 +126,17 @@ def _blocks(data: bytes, most: int) -> Iterator[bytes]:
     yield data
 
 
-def word_runs(docs: DataFrame, run_bytes: int) -> DataFrame:
-    """(run, lang, seq, words, counts): runs of about ``run_bytes`` of texts of one language as codes of their own words."""
+def _runs_of_words(docs: DataFrame, run_bytes: int, row: Callable, schema: str) -> DataFrame:
+    """``row(lang, seq, words, counts)`` for runs of about ``run_bytes`` of texts of one language; None gives no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
-        def coded(lang: str) -> pa.RecordBatch:
-            seq, words, counts = word_sequence(b"\n".join(held.pop(lang)))
+        def coded(lang: str) -> Iterator[pa.RecordBatch]:
             del size[lang]
-            row = _row(seq, words.cast(pa.binary()).cast(pa.string()), counts)
-            return pa.RecordBatch.from_arrays([pa.array([lang]), *row], names=["lang", "seq", "words", "counts"])
+            if (out := row(lang, *word_sequence(b"\n".join(held.pop(lang))))) is not None:
+                yield out
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -137,39 +144,133 @@ def word_runs(docs: DataFrame, run_bytes: int) -> DataFrame:
                     held.setdefault(lang, []).append(block)
                     size[lang] = size.get(lang, 0) + len(block)
                     if size[lang] >= run_bytes:
-                        yield coded(lang)
+                        yield from coded(lang)
             while sum(size.values()) > 4 * run_bytes:  # many languages: the fullest goes first
-                yield coded(max(size, key=size.get))
+                yield from coded(max(size, key=size.get))
         for lang in sorted(held):
-            yield coded(lang)
+            yield from coded(lang)
 
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string"))
-    out = texts.mapInArrow(run, "lang string, seq binary, words array<string>, counts array<long>")
-    return cut(out.withColumn("run", F.monotonically_increasing_id()))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG))
+    return docs.select(lang.alias("lang"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def pair_runs(runs: DataFrame, known: DataFrame) -> DataFrame:
-    """(run, seq, lefts, rights, counts): each run's neighbours that both have an id.
+def _word_row(with_seq: bool) -> Callable:
+    def row(lang: str, seq: np.ndarray, words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        columns = _row(seq, words.cast(pa.binary()).cast(pa.string()), counts)
+        names = ["lang", *["seq"] * with_seq, "words", "counts"]
+        return pa.RecordBatch.from_arrays([pa.array([lang]), *columns[1 - with_seq :]], names=names)
 
-    ``runs`` has (run, seq), ``known`` (run, code, id).
-    """
+    return row
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def word_tables(docs: DataFrame, run_bytes: int) -> DataFrame:
+    """(lang, words, counts): the distinct words of each run."""
+    return _runs_of_words(docs, run_bytes, _word_row(False), "lang string, words array<string>, counts array<long>")
+
+
+def first_sequences(docs: DataFrame, frequent: DataFrame, n: int, run_bytes: int, broadcast_bytes: int) -> DataFrame:
+    """(run, seq): the texts as ids of frequent words, with breaks for other words and between pieces."""
+    kind = _kind(n)
+    heavy = n * 16 > broadcast_bytes or frequent.agg(F.sum(F.octet_length("word") + 16)).first()[0] > broadcast_bytes
+    if not heavy:
+        known: dict[str, tuple[pa.Array, np.ndarray]] = {}
+        rows = frequent.select("lang", "word", "id").toPandas()
+        for lang, own in rows.groupby("lang"):
+            words = pa.array([w.encode() for w in own["word"]], pa.large_binary())
+            known[lang] = words, np.append(own["id"].to_numpy(np.int64), BREAK)
+
+        def ids(lang: str, seq: np.ndarray, words: pa.Array, counts: np.ndarray) -> pa.RecordBatch | None:
+            if lang not in known:
+                return None
+            found = pc.fill_null(pc.index_in(words, value_set=known[lang][0]), -1).to_numpy()
+            rank = np.append(known[lang][1][found], BREAK)[seq]
+            return pa.RecordBatch.from_arrays(_row(spaced(np.arange(len(rank)), rank, kind)), names=["seq"])
+
+        return _numbered(_runs_of_words(docs, run_bytes, ids, "seq binary"))
+    schema = "lang string, seq binary, words array<string>, counts array<long>"
+    runs = _numbered(_runs_of_words(docs, run_bytes, _word_row(True), schema))
+    return _with_ids(runs, _entries(runs, WORD, ["words"]), frequent, WORD, kind)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return cut(rows.withColumn("run", F.monotonically_increasing_id()))
+
+
+WORD = {"lang": "lang", "word": "entry.words"}
+PAIR = {"left": "entry.lefts", "right": "entry.rights"}
+
+
+def _entries(runs: DataFrame, key: dict[str, str], lists: list[str]) -> DataFrame:
+    """The rows of the runs' tables: the key, its code in the run and its count there."""
+    return runs.select("*", F.posexplode(F.arrays_zip(*lists, "counts")).alias("code", "entry")).select(
+        *(["run"] if "run" in runs.columns else []),
+        "code",
+        *[F.col(c).alias(name) for name, c in key.items()],
+        F.col("entry.counts").alias("count"),
+    )
+
+
+def _with_ids(runs: DataFrame, entries: DataFrame, frequent: DataFrame, key: dict[str, str], kind: type) -> DataFrame:
+    """(run, seq): each run asks for the ids of its own keys by a join that carries a key once a run."""
+
+    def relabel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seq, rows in zip(batch.column(0), batch.column(1), strict=True):
                 code, rank = (rows.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                found = next_sequence(np.frombuffer(seq.as_buffer(), np.int32), code, rank)
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays(_row(*found), names=["seq", "lefts", "rights", "counts"])
-
-    lists = known.groupBy("run").agg(F.collect_list(F.struct("code", "id")).alias("known"))  # one run's own words
-    out = (
-        runs.select("run", "seq")
-        .join(lists, "run")
-        .select("seq", "known")
-        .mapInArrow(pairs, "seq binary, lefts array<long>, rights array<long>, counts array<long>")
-    )
-    return cut(out.withColumn("run", F.monotonically_increasing_id()))
+                local = np.frombuffer(seq.as_buffer(), np.int32)
+                known = np.full(int(max(local.max(initial=0), code.max())) + 2, BREAK, np.int64)  # the last place: breaks
+                known[code] = rank
+                out = spaced(np.arange(len(local)), known[local], kind)
+                yield pa.RecordBatch.from_arrays(_row(out), names=["seq"])
+
+    known = entries.join(frequent.select("id", *key), list(key)).groupBy("run").agg(F.collect_list(F.struct("code", "id")).alias("known"))
+    return _numbered(runs.select("run", "seq").join(known, "run").select("seq", "known").mapInArrow(relabel, "seq binary"))
+
+
+def pair_tables(sequences: DataFrame, kind: type, with_seq: bool = False) -> DataFrame:
+    """(lefts, rights, counts): the distinct neighbours of each sequence; with ``seq`` of their codes if asked for."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*["seq"] * with_seq, "lefts", "rights", "counts"]
+        for batch in batches:
+            for seq in batch.column(0):
+                at, code, *found = neighbours(np.frombuffer(seq.as_buffer(), kind))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(_row(spaced(at, code, np.int32), *found)[1 - with_seq :], names=names)
+
+    schema = "lefts array<long>, rights array<long>, counts array<long>"
+    return sequences.select("seq").mapInArrow(pairs, "seq binary, " * with_seq + schema)
+
+
+def next_sequences(sequences: DataFrame, frequent: DataFrame, kind: type, n: int, broadcast_bytes: int) -> DataFrame:
+    """(run, seq): the sequences as ids of frequent pairs, with breaks for all others."""
+    after = _kind(n)
+    if n * 24 > broadcast_bytes:
+        runs = _numbered(pair_tables(sequences, kind, with_seq=True))
+        return _with_ids(runs, _entries(runs, PAIR, ["lefts", "rights"]), frequent, PAIR, after)
+    rows = frequent.select("left", "right", "id").toPandas().sort_values(["left", "right"])
+    base = int(rows["right"].max()) + 1
+    keys, ids = rows["left"].to_numpy(object) * base + rows["right"].to_numpy(object), rows["id"].to_numpy(np.int64)
+    exact = keys.astype(np.int64) if keys[-1] < 2**63 else None
+    if exact is None:  # ids beyond 32 bits: as tuples
+        by_pair = dict(zip(zip(rows["left"], rows["right"]), rows["id"]))
+
+    def place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if exact is None:
+            return np.array([by_pair.get(p, BREAK) for p in zip(left.tolist(), right.tolist())], np.int64)
+        key = np.where((right < base) & (left <= (2**63 - 1 - right) // base), left * base + right, -1)
+        at = np.minimum(np.searchsorted(exact, key), len(exact) - 1)
+        return np.where(exact[at] == key, ids[at], BREAK)
+
+    def relabel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seq in batch.column(0):
+                at, code, left, right, _ = neighbours(np.frombuffer(seq.as_buffer(), kind))
+                out = spaced(at, place(left, right)[code], after)
+                if len(out) > 1:  # a lone id has no neighbour
+                    yield pa.RecordBatch.from_arrays(_row(out), names=["seq"])
+
+    return _numbered(sequences.select("seq").mapInArrow(relabel, "seq binary"))
 
 
 def ranked(counted: DataFrame, key: list[str]) -> DataFrame:
@@ -183,15 +284,9 @@ def ranked(counted: DataFrame, key: list[str]) -> DataFrame:
     return placed.withColumn("id", F.col("start") + F.col("row").bitwiseAND(low)).drop("row", "part", "start")
 
 
-def _level(runs: DataFrame, key: dict[str, Column], lists: list[str], least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entries, frequent, known): the rows of the runs' tables, those counted ``least`` times, and each run's ids."""
-    entries = runs.select("*", F.posexplode(F.arrays_zip(*lists, "counts")).alias("code", "entry")).select(
-        "run", "code", *[c.alias(name) for name, c in key.items()], F.col("entry.counts").alias("count")
-    )
+def _frequent(entries: DataFrame, key: dict[str, str], least: int) -> DataFrame:
     counted = entries.groupBy(*key).agg(F.sum("count").alias("f")).filter(F.col("f") >= least)
-    frequent = cut(ranked(counted, list(key)))
-    known = entries.join(frequent.select("id", *key), list(key)).select("run", "code", "id")
-    return entries, frequent, known
+    return cut(ranked(counted, list(key)))
 
 
 def collocations(
@@ -201,6 +296,7 @@ def collocations(
     top: int = 2000,
     covered_percent: int = 100,
     run_bytes: int = 8 << 20,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language by their weakest cut.
 
@@ -213,24 +309,29 @@ def collocations(
 
     Null texts are empty; doc_id and other columns are ignored, so repeated rows all count; an empty table gives no rows.
 
-    Runs of texts are coded by their own tables of distinct words, so only (run, word, count) travels; words that occur
-    ``least`` times get ids by falling frequency, and each run asks for the ids of its own words by a join that carries
-    a frequent word once a run.  Neighbouring ids are counted in tiles, frequent pairs get ids in turn, and neighbouring
-    pairs are phrases of three words, and so on.  A phrase can only be frequent if both its shorter ends are, so nothing
-    is lost.  A phrase's counts of beginnings and ends are carried along the same steps.  Any longer candidate that
-    covers a phrase is no more frequent than one that is longer by a word, so only those are compared.
+    Runs of texts give tables of their own words, so a word travels once a run; words that occur ``least`` times get
+    ids by falling frequency, and the texts become sequences of ids.  Neighbouring ids are counted in tiles, frequent
+    pairs get ids in turn, and neighbouring pairs are phrases of three words, and so on.  A phrase can only be frequent
+    if both its shorter ends are, so nothing is lost.  The ids of a level go to all tasks while they take no more than
+    ``broadcast_bytes``; larger levels are met by a join in which each run asks for its own words or pairs.  A phrase's
+    counts of beginnings and ends are carried along the same steps.  A longer candidate that covers a phrase is no more
+    frequent than one that is longer by a word, so only those are compared.
     """
-    runs = word_runs(docs, run_bytes)
-    key = {"lang": F.col("lang"), "word": F.col("entry.words")}
-    entries, frequent, known = _level(runs, key, ["words"], least)
-    totals = entries.groupBy("lang").agg(F.sum("count").alias("n"))  # a row for a language
+    held = _entries(word_tables(docs, run_bytes), WORD, ["words"])
+    totals = held.groupBy("lang").agg(F.sum("count").alias("n"))  # a row for a language
+    frequent = _frequent(held, WORD, least)
     own = F.array("f")
     phrases = frequent.select("id", "lang", F.array("word").alias("words"), own.alias("begins"), own.alias("ends"))
-    levels = []
-    pair = {"left": F.col("entry.lefts"), "right": F.col("entry.rights")}
-    for _ in range(2, max_words + 1):
-        runs = pair_runs(runs, known)
-        _, frequent, known = _level(runs, pair, ["lefts", "rights"], least)
+    levels: list[DataFrame] = []
+    sequences, n = None, frequent.count()
+    while n and len(levels) < max_words - 1:
+        if sequences is None:
+            sequences = first_sequences(docs, frequent, n, run_bytes, broadcast_bytes)
+        else:
+            sequences = next_sequences(sequences, frequent, kind, n, broadcast_bytes)
+        kind = _kind(n)
+        frequent = _frequent(_entries(pair_tables(sequences, kind), PAIR, ["lefts", "rights"]), PAIR, least)
+        n = frequent.count()
         first = phrases.select(F.col("id").alias("left"), "lang", "words", "begins")
         last = phrases.select(F.col("id").alias("right"), F.element_at("words", -1).alias("word"), "ends")
         phrases = cut(
@@ -248,6 +349,9 @@ def collocations(
             )
         )
         levels.append(phrases)
+    if not levels:  # no word is frequent
+        nothing = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
+        return docs.sparkSession.createDataFrame([], nothing)
     scored = None
     for at, level in enumerate(levels):
         kept = level

@@ -65,11 +65,13 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("least, run_bytes", [(20, 8 << 20), (5, 300), (200, 2000)])
-def test_matches_brute_force(spark, least, run_bytes):
+@pytest.mark.parametrize("least, run_bytes, broadcast", [(20, 8 << 20, 1 << 20), (5, 300, 0), (5, 2000, 3000), (200, 2000, 1 << 20)])
+def test_matches_brute_force(spark, least, run_bytes, broadcast):
+    """Levels of ids reach the tasks by broadcast, by joins, or the first by joins and the last by broadcast."""
     rows = prose()
     expected = brute(rows, least)
-    assert rows_of(collocations(with_lang(spark, rows).repartition(3), least, run_bytes=run_bytes)) == expected
+    found = collocations(with_lang(spark, rows).repartition(3), least, run_bytes=run_bytes, broadcast_bytes=broadcast)
+    assert rows_of(found) == expected
     assert (len(expected) > 20) == (least < 100)
 
 
