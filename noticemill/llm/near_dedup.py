@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .common import WordHashes, as_bytes, documents, id_key, mix, original_id, runs
-from .components import components, settled
+from .components import Groups, components, settled
 
 WORDS = 5
 ODD = np.uint64(0x9E3779B97F4A7C15)
 VALUES = 180  # signature values: a minimum and a maximum for half as many permutations
+HUB_TURNS = 6  # turns of meeting a drawn member before all members are compared
 BLOCK = 256  # members of a bucket or cluster in a block; tasks compare pairs of blocks
 BLOCK_SHINGLES = 2_000_000  # shingles of a cluster in a block
 
@@ -74,8 +75,16 @@ class MinMax:
         return key.view(np.int64).tolist(), sketch
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(id_key().alias("key_"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
 def signatures(docs: DataFrame, method: MinMax) -> DataFrame:
-    """(key_, n_shingles, content, bands, sketch); content is a 128-bit hash of the set, null without words."""
+    """(key_, mark, n_shingles, content, bands, sketch); content is a 128-bit hash of the set, null without words.
+
+    ``mark`` is a hash of the text, so that rows that share an id are told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -90,16 +99,17 @@ def signatures(docs: DataFrame, method: MinMax) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(sizes, pa.int64()),
                     pa.array(contents, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketches, pa.binary()),
                 ],
-                names=["key_", "n_shingles", "content", "bands", "sketch"],
+                names=["key_", "mark", "n_shingles", "content", "bands", "sketch"],
             )
 
-    return docs.select(id_key().alias("key_"), F.col("text").cast("string")).mapInArrow(
-        run, "key_ long, n_shingles long, content binary, bands array<long>, sketch binary"
+    return _marked(docs).mapInArrow(
+        run, "key_ long, mark long, n_shingles long, content binary, bands array<long>, sketch binary"
     )
 
 
@@ -147,7 +157,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted (node, key_, content): their full sets as 64-bit hashes."""
+    """(node, shingles) of the wanted (node, key_, mark, content): their full sets as 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -156,18 +166,55 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets_ = shingle_sets(as_bytes(batch.column(1)), hashes)
             for node, found, content in zip(batch.column(0).to_pylist(), sets_, batch.column(2).to_pylist(), strict=True):
                 s = found.tobytes()
-                if xxhash.xxh3_128_digest(s) == content:  # a doc_id may stand for several texts
+                if xxhash.xxh3_128_digest(s) == content:  # a doc_id and a mark may stand for several texts
                     nodes.append(node)
                     sets.append(s)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"]
             )
 
-    texts = docs.select(id_key().alias("key_"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted, "key_").select("node", "text", "content").mapInArrow(run, "node long, shingles binary")
+    found = _marked(docs).join(wanted, ["key_", "mark"]).select("node", "text", "content").mapInArrow(run, "node long, shingles binary")
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _best(likely: DataFrame, of: str) -> DataFrame:
+    """The most alike pair of each value of ``of``, as (a, b) with the smaller first."""
+    return (
+        likely.groupBy(of)
+        .agg(F.max(F.struct("agree", "a", "b")).alias("best"))
+        .select(F.least("best.a", "best.b").alias("a"), F.greatest("best.a", "best.b").alias("b"))
+        .distinct()
+    )
+
+
+def _joined_by_hubs(
+    held: DataFrame, links: DataFrame, sketches: DataFrame, sets: DataFrame, least: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) after some turns in which the components that meet in a bucket are tied to one of its members.
+
+    In each turn a member of every bucket is drawn; members of other components meet it, and each component tries the
+    most alike of its pairs on full sets.  Work is in proportion to the members, so a large group of near copies comes
+    together without its pairs.  Buckets of one component drop out; turns end when they tie no more.
+    """
+    labels = components(links)
+    for turn in range(HUB_TURNS):
+        rows = held.join(labels.hint("merge"), "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+        rows = settled(rows)
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("hub"), F.col("label").alias("with")))
+        hubs = rows.groupBy("bucket").agg(hub.alias("h"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        held = settled(rows.join(hubs.select("bucket", "h.hub", "h.with").hint("merge"), "bucket"))
+        pairs = held.filter("label <> with").select(F.col("node").alias("a"), F.col("hub").alias("b"), "label").distinct()
+        likely = _agreement(pairs.select("a", "b").distinct(), sketches, least)
+        own = pairs.select("a", "label").distinct()
+        tied = settled(_confirmed(_best(likely.join(own.hint("merge"), "a"), "label"), sets, percent))
+        held = held.select("node", "bucket")
+        if tied.isEmpty():
+            break
+        links = settled(links.union(tied))
+        labels = components(links)
+    return links, labels
+
+
 def _blocks(n: Column) -> Column:
     return F.ceil(n / BLOCK).cast("int")
 
@@ -182,23 +229,6 @@ def _in_block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
     )
 
 
-class Groups:
-    """Disjoint sets of labels."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = x = self.up.get(y, y)
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _bridges(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """(a, b): labels of different components that meet in a bucket with sketches agreeing in ``least`` places.
 
@@ -206,7 +236,7 @@ def _bridges(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int
     Buckets of one component drop out beforehand; a large bucket is dealt out as pairs of blocks.
     """
     rows = settled(held.join(labels.hint("merge"), "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
-    mixed = settled(
+    mixed = (
         rows.groupBy("bucket")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
         .filter("lo <> hi")
@@ -242,7 +272,7 @@ def _links_inside(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows and bytes, by counting shared shingles as products of incidence matrices.  A task gives no more rows than it
     has labels.
     """
-    sizes = settled(open_.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")))
+    sizes = open_.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     blocks = F.greatest(_blocks(F.col("n")), F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int"))
     rows = open_.join(sizes.hint("merge"), "cluster").withColumn("blocks", blocks).drop("n", "shingles", "size")
     dealt = _in_block_pairs(rows.join(sets.hint("merge"), "node"), F.col("blocks")).select(
@@ -294,7 +324,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Equal sets are settled by one grouping, so copies take no further part.  Banded min-max signatures propose pairs;
     at the threshold a pair shares no band with a chance below 1e-6.  First each set meets the more alike of its
-    buckets' ends, confirmed on full sets.  Components that still meet in a bucket with sketches that may reach the
+    buckets' ends, confirmed on full sets.  Then components that meet in a bucket try one of its members drawn by lot, in
+    a few turns.  Components that still meet in a bucket with sketches that may reach the
     threshold are then gathered into clusters, and all members of a cluster are compared on full sets, so every pair
     that shares a band is settled.  No bucket is capped; large buckets and clusters are dealt out as pairs of blocks;
     no task gives more rows than its members need to be connected.
@@ -305,16 +336,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         sigs.filter("content IS NOT NULL")
         .groupBy("content")
         .agg(
-            F.min("key_").alias("key_"),
+            F.min(F.struct("key_", "mark")).alias("row"),
             F.first("n_shingles").alias("size"),
             F.first("bands").alias("bands"),
             F.first("sketch").alias("sketch"),
         )
+        .select("content", "row.key_", "row.mark", "size", "bands", "sketch")
         .withColumn("node", F.monotonically_increasing_id())
     )
     sketches = classes.select("node", "sketch")
     spread = classes.select("node", F.explode("bands").alias("bucket"))
-    ends = settled(spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"))
+    ends = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
     held = settled(spread.join(ends.hint("merge"), "bucket"))
     first = (
         held.select("node", F.explode(F.array("lo", "hi")).alias("end"))
@@ -323,18 +355,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         .distinct()
     )
     likely = settled(_agreement(first, sketches, method.agreeing))
-    best = (
-        likely.select(F.col("a").alias("node"), F.col("b").alias("with"), "agree")
-        .union(likely.select(F.col("b").alias("node"), F.col("a").alias("with"), "agree"))
-        .groupBy("node")
-        .agg(F.max(F.struct("agree", "with"))["with"].alias("with"))
-        .select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b"))
-        .distinct()
-    )
+    both = likely.withColumn("node", F.explode(F.array("a", "b")))
+    best = _best(both, "node")
     held = held.select("node", "bucket")
-    sets = cut(_shingles(docs, classes.join(held.select("node").distinct(), "node").select("node", "key_", "content")))
-    links = settled(_confirmed(settled(best), sets, percent))
-    labels = components(links)
+    sets = cut(_shingles(docs, classes.join(held.select("node").distinct(), "node").select("node", "key_", "mark", "content")))
+    links = settled(_confirmed(best, sets, percent))
+    links, labels = _joined_by_hubs(held, links, sketches, sets, method.agreeing, percent)
     bridges = components(_bridges(held, labels, sketches, method.agreeing))
     open_ = settled(
         classes.select("node", "size")
@@ -348,8 +374,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         .join(labels.hint("merge"), "node", "left")
         .select("content", "key_", F.coalesce("label", "node").alias("label"))
     )
-    least = settled(named.groupBy("label").agg(F.min("key_").alias("component")))
-    placed = settled(named.join(least.hint("merge"), "label").select("content", "component"))
+    least = named.groupBy("label").agg(F.min("key_").alias("component"))
+    placed = named.join(least.hint("merge"), "label").select("content", "component")
     return (
         sigs.select("key_", "n_shingles", "content")
         .join(placed.hint("merge"), "content", "left")
