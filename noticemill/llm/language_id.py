@@ -146,19 +146,23 @@ def build_trees(langs: list[str], counted: list[list[tuple[np.ndarray, np.ndarra
     return trees
 
 
-def fit_languages(docs: DataFrame, fit_bytes: int = 1 << 20, order: int = ORDER, least: int = 2) -> ContextTrees:
+def fit_languages(docs: DataFrame, fit_bytes: int = 1 << 19, order: int = ORDER, least: int = 2) -> ContextTrees:
     """Trees learned from text and lang of the documents whose crc32(doc_id as text) mod 5 is not 0.
 
-    Of each language about ``fit_bytes`` of text are counted: the documents whose hashed id falls below the share of
-    its bytes that this is (all of them where there is less).  Documents without lang, text or id teach nothing.
+    Of each language about ``fit_bytes`` of text are counted: the documents whose hashed id falls below the share that
+    this is of its bytes (all of them where there is less).  Documents without lang, text or id teach nothing.
     Windows with context bytes count from ``least`` occurrences; the counts of a sample come to the driver.
     """
     known = docs.select(
         "doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (fold() != 0))
-    share = known.groupBy("lang").agg((fit_bytes / F.sum(F.octet_length("text"))).alias("share"))
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for a language
+    if not sizes:
+        return ContextTrees([], [], [], [], [])
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], fit_bytes / r["bytes"])])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = known.join(share, "lang").filter(draw < F.col("share")).select("lang", "text")
+    sample = known.filter(draw < F.try_element_at(share, F.col("lang")))
+    sample = sample.select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,19 +189,22 @@ def fit_languages(docs: DataFrame, fit_bytes: int = 1 << 20, order: int = ORDER,
         .groupBy("lang", "k", "window")
         .agg(F.sum("n").alias("n"))
         .filter((F.col("k") == 0) | (F.col("n") >= least))
-        .toPandas()
-        .sort_values(["lang", "k", "window"])
+        .toArrow()
     )
-    langs = sorted(set(rows["lang"]))
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    lang = names.indices.to_numpy()
+    k, window, n = (rows.column(c).to_numpy() for c in ("k", "window", "n"))
+    langs = sorted(names.dictionary.to_pylist())
     counted = []
-    for lang in langs:
-        own = rows[rows["lang"] == lang]
-        parts = [own[own["k"] == k] for k in range(order + 1)]
-        counted.append([(p["window"].to_numpy(np.uint64), p["n"].to_numpy(np.float64)) for p in parts])
-    return build_trees(langs, counted) if langs else ContextTrees([], [], [], [], [])
+    for name in langs:
+        own = np.flatnonzero(lang == names.dictionary.index(name).as_py())
+        own = own[np.lexsort((window[own], k[own]))]
+        parts = [own[k[own] == j] for j in range(order + 1)]
+        counted.append([(window[p].astype(np.uint64), n[p].astype(np.float64)) for p in parts])
+    return build_trees(langs, counted)
 
 
-def languages(docs: DataFrame, fit_bytes: int = 1 << 20, order: int = ORDER, least: int = 2) -> DataFrame:
+def languages(docs: DataFrame, fit_bytes: int = 1 << 19, order: int = ORDER, least: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language under whose tree a text is shortest, one row per input row.
 
     See ``fit_languages`` for what is learned from.  A text's length is the sum of the code lengths of its bytes (A-Z
