@@ -1,23 +1,29 @@
 """One survivor per notice out of many mirrors, with merged provenance.
 
 The merge rule is ordered: each record meets the survivors so far and joins the
-first one it matches.  That order only matters inside a set of records that can
+first one it matches; the better of the two gives the survivor its identity, and
+documents of both stay.  That order only matters inside a set of records that can
 match at all, so the job
 
 1. reduces records to distinct identity signatures (map-side; copies vanish here),
 2. connects signatures over shared keys (a safe superset of the match rule),
-3. settles every group whose members all match each other with plain ordered
-   aggregates - any size, no group in one task,
-4. replays the ordered rule only for the remaining small mixed groups.
-
-Provenance stays in child tables (references, documents, amendments).
+3. takes components whose members all match each other as they are, by aggregates,
+4. settles the other components in rounds: from a guess of who joins whom follows
+   what each survivor looks like at any time, and from that each record's first
+   match; a round in which no record changes its mind is the ordered result,
+5. folds every group in order, in chunks of bounded size, to find its best record
+   and the ones that were best for a while.
+
+The match rule is written as equal keys, offered by a survivor and asked for by a
+record, so all steps are joins and aggregates.  Provenance stays in child tables
+(references, documents, amendments).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +40,8 @@ from ..functions.patterns import matches
 from ..functions.urls import specific_document
 from ..plans.lineage import cut
 from .components import connected_components
-from .ranking import first_rows
+from .ordered_fold import LEAF_ROWS, first_matches, fold_members, standing_column
+from .ranking import chunked_row_number, first_rows
 
 # Which sources are live indexes, and the portal/mirror pair.
 INDEX_SOURCE = r"^gem-direct(?:-|$)|^gem-priority-keywords$"
@@ -43,10 +50,8 @@ PORTAL_SOURCE, MIRROR_SOURCE, PAIR_ENTITY = "cppp-pgimer", "pgimer-notices", "pg
 PORTAL_ID = r"^20\d{2}_PGIME_\d+_\d+$"
 FRESH_SECONDS, AHEAD_SECONDS = 86_400, 300
 
-PAIRWISE_LIMIT = 300
-
 IDENTITY = ["id", "tkey", "authority", "day", "title", "url", "reference", "item", "role", "docs"]
-CLASS = ["terminal", "is_index", "stale", "fresh_index", "fresh_portal", "observed", "quality"]
+HASH_BITS = 2**40 - 1  # sums of so short hashes stay within 64 bits
 
 
 def _col(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -85,44 +90,85 @@ def identity_columns(tenders: DataFrame, now: Column) -> DataFrame:
     recent = within(observed, now, FRESH_SECONDS, AHEAD_SECONDS)
     detail = _flag(_col(tenders, "verification") == "detail")
     corrigenda = _col(tenders, "corrigenda", "array<struct<url:string>>")
-    quality = (
-        F.when(detail, 10).otherwise(0)
-        + F.greatest(F.coalesce(F.size(docs), F.lit(0)), F.lit(0))
-        + F.greatest(F.coalesce(F.size(corrigenda), F.lit(0)), F.lit(0))
-        + F.when(present(_col(tenders, "description")).isNotNull(), 1).otherwise(0)
+    amendments = _col(tenders, "corrigenda", f"array<struct<{AMENDMENT}>>")
+    described = present(_col(tenders, "description")).isNotNull()
+    own = (
+        F.greatest(F.coalesce(F.size(docs), F.lit(0)), F.lit(0))
+        + F.greatest(F.coalesce(F.size(amendments), F.lit(0)), F.lit(0))
+        + F.when(described, 1).otherwise(0)
     )
     url = _col(tenders, "tender_url")
+    reference = _col(tenders, "reference_number")
+    title = identity_key(F.col("title"))
+    role = F.when(portal, "portal").when(mirror, "mirror")
+    flags = {
+        "terminal": _flag(F.col("status").isin("CANCELLED", "WITHDRAWN")),
+        "index": is_index,
+        "stale": stale,
+        "fresh_index": is_index & ~stale & instant(_col(tenders, "extended_closing_date")).isNotNull() & recent,
+        "fresh_portal": _flag(F.col("source_id") == PORTAL_SOURCE)
+        & detail
+        & ~stale
+        & instant(_col(tenders, "effective_closing_date")).isNotNull()
+        & recent,
+        "detail": detail,
+    }
+    items = F.concat(
+        F.transform(F.coalesce(docs, F.array()), lambda d: _item("doc", F.coalesce(d["url"], F.lit("")))),
+        F.transform(F.coalesce(amendments, F.array()), lambda c: _item("amendment", F.to_json(c))),
+        F.when(described, F.array(_item("described", F.lit("")))).otherwise(F.array()),
+    )
     return tenders.select(
         "notice_key",
-        "ordinal",
+        F.col("ordinal").cast("long").alias("ordinal"),
         F.col("id").alias("id"),
         F.lower(F.trim(tender_id)).alias("tkey"),
-        identity_key(
-            first_present(_col(tenders, "institution_id"), _col(tenders, "organisation"), _col(tenders, "buyer"))
+        F.nullif(
+            identity_key(
+                first_present(_col(tenders, "institution_id"), _col(tenders, "organisation"), _col(tenders, "buyer"))
+            ),
+            F.lit(""),
         ).alias("authority"),
-        calendar_prefix(_col(tenders, "publish_date")).alias("day"),
-        identity_key(F.col("title")).alias("title"),
+        present(calendar_prefix(_col(tenders, "publish_date"))).alias("day"),
+        title.alias("title"),
         F.when(specific_document(url), url).alias("url"),
-        F.nullif(identity_key(_col(tenders, "reference_number")), F.lit("")).alias("reference"),
+        # A reference of marks only is still a reference, with an empty key.
+        F.when(present(reference).isNotNull(), identity_key(reference)).alias("reference"),
         item.alias("item"),
-        F.when(portal, "portal").when(mirror, "mirror").alias("role"),
-        present(F.array_join(urls, "|")).alias("docs"),
-        _flag(F.col("status").isin("CANCELLED", "WITHDRAWN")).alias("terminal"),
-        is_index.alias("is_index"),
-        stale.alias("stale"),
-        (is_index & ~stale & instant(_col(tenders, "extended_closing_date")).isNotNull() & recent).alias("fresh_index"),
-        (
-            _flag(F.col("source_id") == PORTAL_SOURCE)
-            & detail
-            & ~stale
-            & instant(_col(tenders, "effective_closing_date")).isNotNull()
-            & recent
-        ).alias("fresh_portal"),
+        role.alias("role"),
+        _document_set(docs).alias("docs"),
+        _flag(F.size(docs) > F.size(F.array_distinct(F.transform(docs, lambda d: d["url"])))).alias("repeats"),
+        standing_column(flags, role, F.when(role.isNotNull(), F.md5(F.concat_ws("\x01", item, title)))).alias("standing"),
         F.coalesce(F.unix_micros(observed), F.lit(-(2**62))).alias("observed"),
-        quality.cast("int").alias("quality"),
+        own.cast("long").alias("own"),
+        items.alias("items"),
     )
 
 
+AMENDMENT = "title:string,type:string,published_date:string,revised_closing_date:string,url:string"
+
+
+def _item(kind: str, value: Column) -> Column:
+    """Evidence that counts once in a group, with two short hashes of it."""
+    hashes = [F.xxhash64(value, F.lit(salt)).bitwiseAND(F.lit(HASH_BITS)) for salt in (1, 2)]
+    return F.struct(F.lit(kind).alias("kind"), F.md5(value).alias("item"), hashes[0].alias("a"), hashes[1].alias("b"))
+
+
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
+def _with_documents(refs: Column, docs: Column) -> Column:
+    return F.transform(refs, lambda r: F.md5(F.concat(r, docs)))
+
+
+def _document_set(docs: Column) -> Column:
+    """A set of documents as its size and sums of hashes, which can be added up; null without documents."""
+    hashes = F.transform(docs, lambda d: _item("doc", F.coalesce(d["url"], F.lit(""))))
+    total = [F.aggregate(F.transform(hashes, _field(f)), F.lit(0).cast("long"), lambda t, x: t + x) for f in ("a", "b")]
+    return F.when(F.size(docs) > 0, F.concat_ws(":", F.size(docs).cast("string"), *[t.cast("string") for t in total]))
+
+
 def match_keys() -> Column:
     """Every key one of the positive match clauses needs; sharing none means no match."""
 
@@ -136,7 +182,7 @@ def match_keys() -> Column:
             key("u", F.col("url").isNotNull(), F.col("title"), F.col("url")),
             key(
                 "r",
-                F.col("reference").isNotNull() & (F.col("authority") != ""),
+                F.col("reference").isNotNull() & F.col("authority").isNotNull(),
                 F.col("reference"),
                 F.col("title"),
                 F.col("authority"),
@@ -146,129 +192,165 @@ def match_keys() -> Column:
     )
 
 
-def same_notice(a, b, docs: bool = True) -> bool:
-    """The ordered match rule for two identities (mappings over ``IDENTITY``)."""
-    if a["tkey"] and b["tkey"]:
-        return a["tkey"] == b["tkey"]
-    if a["id"] == b["id"]:
-        return True
-    if a["authority"] and b["authority"] and a["authority"] != b["authority"]:
-        return False
-    titles = a["title"] == b["title"]
-    if {a["role"], b["role"]} == {"portal", "mirror"} and a["item"] == b["item"] and titles:
-        return True
-    if a["day"] and b["day"] and a["day"] != b["day"]:
-        return False
-    if titles and a["url"] and a["url"] == b["url"]:
-        return True
-    if a["reference"] and a["reference"] == b["reference"] and a["authority"] and b["authority"]:
-        if docs and a["docs"] and b["docs"] and a["docs"] != b["docs"]:
-            return False
-        return titles
-    return False
-
-
-def _records(pdf: pd.DataFrame) -> list[dict]:
-    """Rows as plain dicts with missing text as empty strings."""
-    clean = pdf.astype(object).where(pdf.notna(), None)
-    rows = clean.to_dict("records")
-    for r in rows:
-        for c in IDENTITY:
-            if r.get(c) is None:
-                r[c] = ""
-    return rows
-
-
-def _split_by_match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sub-groups of one component over verified matches, and whether all members match."""
-    rows = _records(pdf)
-    parent = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    misses: list[tuple[int, int]] = []
-    for i in range(len(rows)):
-        for j in range(i):
-            if same_notice(rows[i], rows[j], docs=False):
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-                if not same_notice(rows[i], rows[j]):
-                    misses.append((i, j))
-            else:
-                misses.append((i, j))
-    mixed = {root(i) for i, j in misses if root(i) == root(j)}
-    return pd.DataFrame(
-        {
-            "signature": pdf["signature"],
-            "grp": [rows[root(i)]["signature"] for i in range(len(rows))],
-            "uniform": [root(i) not in mixed for i in range(len(rows))],
-        }
+def _keys(tag: str, ok: Column, fixed: list[Column], options: list[list[Column]]) -> Column:
+    """An array with a hashed key for each choice of one option from each list."""
+    choices: list[list[Column]] = [[]]
+    for more in options:
+        choices = [[*c, o] for c in choices for o in more]
+    made = [F.md5(F.concat_ws("\x01", F.lit(tag), *fixed, *c)) for c in choices]
+    # An option that is null, or a part that is missing, gives no key.
+    valid = [F.when(ok & _all_present([*fixed, *c]), k) for c, k in zip(choices, made, strict=True)]
+    return F.array_compact(F.array(*valid)) if valid else F.array().cast("array<string>")
+
+
+def _all_present(parts: list[Column]) -> Column:
+    ok = F.lit(True)
+    for p in parts:
+        ok = ok & p.isNotNull()
+    return ok
+
+
+ANY, NONE = "*", "-"  # keys of any value, and of a missing one
+
+
+def _named(value: Column) -> Column:
+    return F.concat(F.lit("="), value)
+
+
+def offered_keys() -> dict[str, Column]:
+    """Keys under which a survivor can be found: ``fixed`` ones, and ``refs`` that its documents complete.
+
+    Where the rule lets a missing value match anything, a survivor stands under its own value (or the mark of a missing
+    one) and under a key for any; a record that has the value asks for it and for the missing one, a record without asks
+    for any.  Two present tender ids decide alone, so every other clause is offered to records without one and, by
+    survivors without one, to all.
+    """
+    c = F.col
+    anything, nothing = F.lit(ANY), F.lit(NONE)
+    other = [anything, F.when(c("tkey").isNull(), NONE)]
+    authority = [anything, F.coalesce(_named(c("authority")), nothing)]
+    day = [anything, F.coalesce(_named(c("day")), nothing)]
+    yes = F.lit(True)
+    return {
+        "fixed": F.concat(
+            _keys("t", yes, [c("tkey")], []),
+            _keys("i", yes, [c("id")], [other]),
+            _keys("p", yes, [c("role"), c("item"), c("title")], []),
+            _keys("u", yes, [c("url"), c("title")], [other, authority, day]),
+        ),
+        "refs": _keys("r", yes, [c("reference"), c("title"), c("authority")], [other, day]),
+    }
+
+
+def completed(refs: Column, docs: Column) -> Column:
+    """The keys by reference of a survivor with these documents: they veto a record that has others."""
+    own = F.coalesce(_named(docs), F.lit(NONE))
+    return F.concat(*[_with_documents(refs, d) for d in (F.lit(ANY), own)])
+
+
+def asked_keys() -> Column:
+    """Keys that a record looks its survivor up by."""
+    c = F.col
+    other = [F.when(c("tkey").isNull(), ANY).otherwise(NONE)]
+
+    def wanted(value: Column) -> list[Column]:
+        return [F.when(value.isNull(), ANY).otherwise(_named(value)), F.when(value.isNotNull(), NONE)]
+
+    yes = F.lit(True)
+    opposite = F.when(c("role") == "portal", "mirror").when(c("role") == "mirror", "portal")
+    refs = _keys("r", yes, [c("reference"), c("title"), c("authority")], [other, wanted(c("day"))])
+    by_reference = [_with_documents(refs, d) for d in wanted(c("docs"))]  # null where the option is
+    return F.concat(
+        _keys("t", yes, [c("tkey")], []),
+        _keys("i", yes, [c("id")], [other]),
+        _keys("p", yes, [opposite, c("item"), c("title")], []),
+        _keys("u", yes, [c("url"), c("title")], [other, wanted(c("authority")), wanted(c("day"))]),
+        F.array_compact(F.concat(*by_reference)),
     )
 
 
-def _incoming_wins(new: dict, old: dict) -> bool:
-    if new["terminal"] != old["terminal"]:
-        return new["terminal"]
-    if (new["is_index"] or old["is_index"]) and new["stale"] != old["stale"]:
-        return not new["stale"]
-    if {new["role"], old["role"]} == {"portal", "mirror"} and new["fresh_portal"] != old["fresh_portal"]:
-        return new["fresh_portal"]
-    if new["fresh_index"] != old["fresh_index"]:
-        return new["fresh_index"]
-    return (new["observed"], new["quality"]) > (old["observed"], old["quality"])
-
-
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The ordered rule on one mixed group: (notice_key, grp, survivor_key)."""
-    rows = sorted(_records(pdf), key=lambda r: r["ordinal"])
-    survivors: list[dict] = []
-    holders: dict[str, set[int]] = {}
-    placed: list[int] = []
-
-    def keys(r: dict) -> list[str]:
-        out = [f"i|{r['id']}"]
-        if r["tkey"]:
-            out.append(f"t|{r['tkey']}")
-        if r["url"]:
-            out.append(f"u|{r['title']}|{r['url']}")
-        if r["reference"] and r["authority"]:
-            out.append(f"r|{r['reference']}|{r['title']}|{r['authority']}")
-        if r["role"]:
-            out.append(f"p|{r['item']}|{r['title']}")
-        return out
-
-    for r in rows:
-        near = sorted(set().union(*(holders.get(k, ()) for k in keys(r))))
-        at = next((i for i in near if same_notice(survivors[i], r)), None)
-        if at is None:
-            survivors.append(dict(r))
-            at = len(survivors) - 1
-            for k in keys(r):
-                holders.setdefault(k, set()).add(at)
-        else:
-            old = survivors[at]
-            docs = "|".join(sorted(set(filter(None, old["docs"].split("|") + r["docs"].split("|")))))
-            if _incoming_wins(r, old):
-                for k in keys(old):
-                    holders[k].discard(at)
-                survivors[at] = dict(r)
-                for k in keys(r):
-                    holders.setdefault(k, set()).add(at)
-            survivors[at]["docs"] = docs
-        placed.append(at)
-    firsts: dict[int, object] = {}
-    for r, at in zip(rows, placed):
-        firsts.setdefault(at, r["notice_key"])
-    return pd.DataFrame(
-        {
-            "notice_key": [r["notice_key"] for r in rows],
-            "grp": [str(firsts[a]) for a in placed],
-            "survivor_key": [survivors[a]["notice_key"] for a in placed],
-        }
+def _single(value: str) -> Column:
+    """Whether at most one distinct value is present in the group."""
+    return F.coalesce(F.min(value) == F.max(value), F.lit(True))
+
+
+def uniform_components(placed: DataFrame) -> DataFrame:
+    """(component, by_id) of the components that need no order.
+
+    ``by_id``: all records carry tender ids, which then decide alone.  Otherwise one key is shared by all signatures and
+    nothing that its clause looks at differs, so every record matches every other, whichever of them is the best.
+    """
+    facts = placed.groupBy("component").agg(
+        F.count(F.lit(1)).alias("n"),
+        (~F.max(F.col("tkey").isNull())).alias("by_id"),
+        _single("tkey").alias("one_id"),
+        _single("authority").alias("one_authority"),
+        _single("day").alias("one_day"),
+        _single("docs").alias("one_set"),
+        F.max(F.col("repeats")).alias("repeats"),
+    )
+    keys = placed.select("component", F.explode(match_keys()).alias("key")).groupBy("component", "key").agg(F.count(F.lit(1)).alias("held"))
+    tag = F.substring("key", 1, 2)
+    holds = (
+        (tag == "t|")
+        | ((tag == "i|") & F.col("one_id"))
+        | ((tag == "u|") & F.col("one_id") & F.col("one_authority") & F.col("one_day"))
+        | ((tag == "r|") & F.col("one_id") & F.col("one_day") & F.col("one_set") & ~F.col("repeats"))
+    )
+    shared = keys.join(facts, "component").filter((F.col("held") == F.col("n")) & holds)
+    settled = shared.select("component", F.lit(False).alias("by_id")).distinct()
+    return settled.union(facts.filter("by_id").select("component", "by_id")).groupBy("component").agg(F.min("by_id").alias("by_id"))
+
+
+def settle_in_rounds(records: DataFrame, last_rank: int, leaf_rows: int) -> DataFrame:
+    """(notice_key, grp) of records in mixed components, exactly as the ordered rule places them.
+
+    A guess says which record opened the survivor that each record joined.  Folding the guessed groups in order tells
+    what every survivor looked like at any time, and looking each record up among the survivors of its time gives the
+    next guess.  What a record finds depends on earlier records only, so the first record is right after one round and
+    each round settles at least the next one of a component; a guess that does not change is the ordered result.
+    Components leave as soon as they are settled.  Few rounds are the rule; a chain in which each record's place
+    hangs on the one before it needs as many as it has links, as an ordered rule must.
+    """
+    leaf = F.floor(F.col("rank") / F.lit(leaf_rows))
+    done: DataFrame | None = None
+    open_ = records
+    rank = F.col("rank")
+    states = records.select(
+        "component", rank.alias("s"), rank.alias("since"), rank.alias("best"), "last", "docs", F.lit(2**62).alias("until")
     )
+    guess = records.select("component", "rank", "notice_key", F.col("rank").alias("s"))
+    while True:
+        identity = open_.select("component", F.col("rank").alias("best"), "fixed", "refs")
+        shown = states.join(identity, ["component", "best"]).withColumn("keys", F.concat("fixed", completed(F.col("refs"), F.col("docs"))))
+        found = first_matches(shown, open_.select("component", "rank", F.col("asked").alias("keys")), last_rank, leaf_rows)
+        told = cut(
+            guess.select("component", "rank", "notice_key", F.col("s").alias("before"))
+            .join(found, ["component", "rank"], "left")
+            .withColumn("s", F.coalesce("s", "rank"))
+        )
+        moving = told.filter("s <> before").select("component").distinct()
+        still = told.join(moving, "component", "left_anti").select("notice_key", F.concat_ws("/", "component", "s").alias("grp"))
+        done = still if done is None else done.union(still)
+        if moving.isEmpty():
+            return done
+        open_ = records.join(moving, "component", "left_semi")
+        guess = told.join(moving, "component", "left_semi").select("component", "rank", "notice_key", "s")
+        members = open_.join(guess.select("notice_key", "s"), "notice_key").withColumns(
+            {"grp": F.concat_ws("/", "component", "s"), "at": F.col("rank"), "leaf": leaf, "raw_docs": F.coalesce("docs", F.lit(""))}
+        )
+        folded = fold_members(
+            members.select("grp", "leaf", "at", "sig", "standing", "observed", "own", "raw_docs"),
+            members.select("grp", "at", F.explode("items").alias("i")).select("grp", "at", "i.*"),
+            last_rank >= leaf_rows,
+        )
+        lasts = open_.filter("rank = 0").select("component", "last")
+        states = (
+            folded.filter("until is not null")
+            .select("grp", F.col("at").alias("since"), "until", "best", present(F.col("docs")).alias("docs"))
+            .join(guess.select(F.concat_ws("/", "component", "s").alias("grp"), "component", "s").distinct(), "grp")
+            .join(lasts, "component")
+        )
 
 
 @dataclass
@@ -298,93 +380,108 @@ class Deduplicated:
         return out.join(gathered(self.amendments, fields, "corrigenda"), "notice_key", "left")
 
 
-def assign_groups(identities: DataFrame) -> DataFrame:
-    """(notice_key, grp, survivor_key) for every record."""
+def assign_groups(identities: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(notice_key, grp, survivor_key, won) for every record; ``won`` marks those that were the best when they came."""
     sig_cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in IDENTITY]
     ident = identities.withColumn("signature", F.sha2(F.concat_ws("\x01", *sig_cols), 256))
-    signatures = ident.select("signature", *IDENTITY).groupBy("signature").agg(
-        *[F.first(c).alias(c) for c in IDENTITY]
+    signatures = cut(
+        ident.groupBy("signature").agg(
+            *[F.first(c).alias(c) for c in [*IDENTITY, "repeats"]], F.count(F.lit(1)).alias("copies")
+        )
     )
-    signatures = cut(signatures)
     edges = signatures.select("signature", F.explode(match_keys()).alias("key"))
-    comp = connected_components(edges, "signature", "key")
-    placed = signatures.join(comp, "signature")
-    sizes = placed.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("tkey").isNull()).alias("has_open_id")
-    )
-    placed = placed.join(sizes, "component")
-    alone = placed.filter("n = 1").select("signature", F.col("signature").alias("grp"), F.lit(True).alias("uniform"))
-    # Two present tender ids decide alone, so a component without open ids splits by id.
-    by_id = placed.filter("n > 1 and not has_open_id").select(
-        "signature", F.concat(F.lit("t|"), "tkey").alias("grp"), F.lit(True).alias("uniform")
-    )
-    checked = (
-        placed.filter(f"n > 1 and has_open_id and n <= {PAIRWISE_LIMIT}")
-        .select("component", "signature", *IDENTITY)
-        .groupBy("component")
-        .applyInPandas(_split_by_match, "signature string, grp string, uniform boolean")
-    )
-    large = placed.filter(f"n > {PAIRWISE_LIMIT} and has_open_id").select(
-        "signature", F.col("component").alias("grp"), F.lit(False).alias("uniform")
+    placed = cut(signatures.join(connected_components(edges, "signature", "key"), "signature", "left").withColumn(
+        "component", F.coalesce("component", "signature")
+    ))
+    sizes = placed.groupBy("component").agg(F.sum("copies").alias("size"))
+    kinds = cut(
+        placed.select("signature", "component", "tkey")
+        .join(sizes, "component")
+        .join(uniform_components(placed), "component", "left")
+        .select(
+            "signature",
+            "component",
+            (F.col("size") == 1).alias("alone"),
+            F.when(F.col("by_id"), F.concat(F.lit("t|"), "tkey")).when(~F.col("by_id"), F.col("component")).alias("grp"),
+        )
     )
-    groups = cut(alone.unionByName(by_id).unionByName(checked).unionByName(large))
-    rows = ident.join(groups, "signature")
-
-    def some(c: Column, name: str) -> list[Column]:
-        """The fact among ended members, and among all of them."""
-        return [F.max(F.col("terminal") & c).alias(f"ended_{name}"), F.max(c).alias(f"all_{name}")]
-
-    plain = ~F.col("is_index")
-    names = ["plain_now", "plain_stale", "any_index", "any_fresh"]
-    conditions = [plain & ~F.col("stale"), plain & F.col("stale"), F.col("is_index"), F.col("fresh_index")]
-    facts = rows.groupBy("grp").agg(
-        F.max("terminal").alias("any_terminal"),
-        *[c for cond, name in zip(conditions, names) for c in some(cond, name)],
-        F.max(F.col("role") == "portal").alias("portal"),
-        F.max(F.col("role") == "mirror").alias("mirror"),
+    rows = ident.join(kinds, "signature")
+    alone = rows.filter("alone").select(
+        "notice_key", F.col("signature").alias("grp"), F.col("notice_key").alias("survivor_key"), F.lit(True).alias("won")
     )
-    # Once a member has ended, only ended members compete.
-    among = {
-        n: F.when(F.col("any_terminal"), F.col(f"ended_{n}")).otherwise(F.col(f"all_{n}")) for n in names
-    }
-    # Stale-against-index preferences can form a cycle, and a portal/mirror pair is
-    # compared only with each other: both depend on order and are replayed.
-    cyclic = among["any_index"] & ~among["any_fresh"] & among["plain_now"] & among["plain_stale"]
-    paired = F.coalesce(F.col("portal") & F.col("mirror"), F.lit(False))
-    facts = facts.select("grp", among["any_index"].alias("any_index"), (cyclic | paired).alias("ordered"))
-    rows = rows.join(facts, "grp").withColumn("simple", F.col("uniform") & ~F.col("ordered"))
-
-    tier = F.when(F.col("fresh_index"), 3).when(F.col("any_index") & F.col("stale"), 1).otherwise(2)
-    strength = F.struct(
-        F.col("terminal"), tier.alias("tier"), F.col("observed"), F.col("quality"), (-F.col("ordinal")).alias("first")
+    order = [F.col("ordinal"), F.col("notice_key")]
+    chunk = F.floor(F.col("ordinal") / F.lit(65_536))
+    ranked = cut(
+        chunked_row_number(rows.filter("not alone"), ["component"], order, chunk)
+        .withColumns({"rank": F.col("rank") - 1, "last": F.col("rank_of") - 1})
+        .drop("rank_of")
     )
-    best = rows.filter("simple").groupBy("grp").agg(F.max_by("notice_key", strength).alias("survivor_key"))
-    simple = rows.filter("simple").join(best, "grp").select("notice_key", "grp", "survivor_key")
-    key_type = identities.schema["notice_key"].dataType.simpleString()
-    replayed = (
-        rows.filter("not simple")
-        .select("grp", "notice_key", "ordinal", *IDENTITY, *CLASS)
-        .groupBy("grp")
-        .applyInPandas(_replay, f"notice_key {key_type}, grp string, survivor_key {key_type}")
+    mixed = ranked.filter("grp is null")
+    last_rank, last_mixed = ranked.agg(F.max("last"), F.max(F.when(F.col("grp").isNull(), F.col("last")))).first()
+    if last_mixed is not None:
+        offers = {**offered_keys(), "asked": asked_keys()}
+        records = mixed.withColumns(offers).withColumn("sig", F.md5(F.concat_ws("|", "fixed", "refs")))
+        kept = ["component", "rank", "last", "notice_key", "standing", "observed", "own", "docs", "items", "fixed", "refs", "sig", "asked"]
+        settled = settle_in_rounds(cut(records.select(*kept)), last_mixed, leaf_rows)
+        told = settled.select("notice_key", F.col("grp").alias("settled"))
+        ranked = ranked.join(told, "notice_key", "left").withColumn("grp", F.coalesce("grp", "settled")).drop("settled")
+    members = cut(
+        ranked.select(
+            "notice_key", "grp", F.col("rank").alias("at"), F.floor(F.col("rank") / F.lit(leaf_rows)).alias("leaf"),
+            "standing", "observed", "own", "items",
+        )
+    )
+    folded = fold_members(
+        members.select("grp", "leaf", "at", F.lit("").alias("sig"), "standing", "observed", "own", F.lit("").alias("raw_docs")),
+        members.select("grp", "at", F.explode("items").alias("i")).select("grp", "at", "i.*"),
+        (last_rank or 0) >= leaf_rows,
     )
-    return simple.unionByName(replayed)
+    folded = cut(folded.select("grp", "at", "won", "best"))
+    final = folded.groupBy("grp").agg(F.max_by("best", "at").alias("at"))
+    survivor = final.join(members, ["grp", "at"]).select("grp", F.col("notice_key").alias("survivor_key"))
+    told = members.join(folded, ["grp", "at"]).join(survivor, "grp").select("notice_key", "grp", "survivor_key", "won")
+    return alone.unionByName(told)
 
 
 # Values a survivor takes from another member when its own is missing.
 FILLED = ["description", "tender_category", "product_category", "procurement_category", "work_category"]
 
 
-def deduplicate(tenders: DataFrame, now: Column) -> Deduplicated:
+def _kept_specification() -> Column:
+    """Of a group's specifications the one that the ordered merge keeps.
+
+    A parsed one gives way only to a better record's parsed one.  An unparsed one gives way to any that a record brings
+    that does not become the best, and to a parsed one.
+    """
+    parsed = F.exists(F.col("specification.document_sources"), lambda d: d["status"] == "parsed")
+    parsed = F.col("specification").isNotNull() & _flag(parsed)
+    plain = F.col("specification").isNotNull() & ~parsed
+
+    def last(ok: Column) -> Column:
+        return F.max_by("specification", F.when(ok, F.col("ordinal")))
+
+    def first(ok: Column) -> Column:
+        return F.min_by("specification", F.when(ok, F.col("ordinal")))
+
+    won = F.col("__won")
+    return F.coalesce(last(won & parsed), first(parsed), last(~won & plain), first(won & plain))
+
+
+def deduplicate(tenders: DataFrame, now: Column, leaf_rows: int = LEAF_ROWS) -> Deduplicated:
     """Merge mirrors. ``tenders`` needs ``notice_key`` (unique), ``ordinal``, ``id``,
-    ``title``, ``source_id`` and ``status``; other notice columns are used when present."""
+    ``title``, ``source_id`` and ``status``; other notice columns are used when present.
+
+    A value that a survivor fills comes from the last record that was the best and has it, else from the first member
+    that has it.  Groups are folded in chunks of ``leaf_rows`` places.
+    """
     # The narrow identity table is read several times; write it once.
     ident = cut(identity_columns(tenders, now))
-    members = cut(assign_groups(ident).join(ident.select("notice_key", "ordinal"), "notice_key"))
+    members = cut(assign_groups(ident, leaf_rows).join(ident.select("notice_key", "ordinal"), "notice_key"))
     members = members.withColumn("is_survivor", F.col("notice_key") == F.col("survivor_key"))
     # Survivor first, then the other members in input order.
     place = F.struct((~F.col("is_survivor")).alias("other"), F.col("ordinal").alias("ordinal"))
     linked = tenders.drop("ordinal").join(
-        members.select("notice_key", "survivor_key", "is_survivor", "ordinal", place.alias("__place")), "notice_key"
+        members.select("notice_key", "survivor_key", "is_survivor", "ordinal", F.col("won").alias("__won"), place.alias("__place")), "notice_key"
     )
     fill = [c for c in FILLED if c in tenders.columns]
     lists = {
@@ -392,24 +489,30 @@ def deduplicate(tenders: DataFrame, now: Column) -> Deduplicated:
         "equipment_items": None,
     }
     aggs = [F.count(F.lit(1)).alias("member_count")]
-    for c in fill:
-        aggs.append(F.min_by(c, F.when(present(F.col(c)).isNotNull(), F.col("__place"))).alias(f"__{c}"))
+
+    def filled(name: str, has: Column) -> Column:
+        best = F.max_by(name, F.when(has & F.col("__won"), F.col("ordinal")))
+        return F.coalesce(best, F.min_by(name, F.when(has, F.col("ordinal")))).alias(f"__{name}")
+
+    aggs += [filled(c, present(F.col(c)).isNotNull()) for c in fill]
     if "equipment_items" in tenders.columns:
-        aggs.append(
-            F.min_by("equipment_items", F.when(F.size("equipment_items") > 0, F.col("__place"))).alias("__equipment_items")
-        )
+        aggs.append(filled("equipment_items", F.size("equipment_items") > 0))
+    if "specification" in tenders.columns:
+        aggs.append(_kept_specification().alias("__specification"))
     if "priority_categories" in tenders.columns:
         # At most the fixed number of priority groups, so the set stays small.
         flat = F.flatten(F.collect_set("priority_categories"))
         aggs.append(F.sort_array(F.array_distinct(flat)).alias("__priority_categories"))
     merged = linked.groupBy("survivor_key").agg(*aggs)
-    kept = linked.filter("is_survivor").drop("survivor_key", "is_survivor", "__place")
+    kept = linked.filter("is_survivor").drop("survivor_key", "is_survivor", "__won", "__place")
     survivors = kept.join(merged, kept["notice_key"] == merged["survivor_key"]).drop("survivor_key")
     for c in fill:
         survivors = survivors.withColumn(c, F.coalesce(present(F.col(c)), F.col(f"__{c}"))).drop(f"__{c}")
     if "equipment_items" in tenders.columns:
         own = F.when(F.size("equipment_items") > 0, F.col("equipment_items"))
         survivors = survivors.withColumn("equipment_items", F.coalesce(own, "__equipment_items")).drop("__equipment_items")
+    if "specification" in tenders.columns:
+        survivors = survivors.withColumn("specification", F.col("__specification")).drop("__specification")
     if "priority_categories" in tenders.columns:
         own = F.coalesce(F.col("priority_categories"), F.array().cast(lists["priority_categories"]))
         survivors = survivors.withColumn(

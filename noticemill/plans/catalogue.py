@@ -1,6 +1,7 @@
 """All registered queries and their equivalent SQL."""
 
-from . import audit_queries, record_queries, scan_queries, text_queries
+from . import audit_queries, merge_queries, record_queries, scan_queries, text_queries
 
-QUERIES = {**record_queries.QUERIES, **text_queries.QUERIES, **audit_queries.QUERIES, **scan_queries.QUERIES}
-ORACLE = {**record_queries.ORACLE, **text_queries.ORACLE, **audit_queries.ORACLE, **scan_queries.ORACLE}
+_MODULES = (record_queries, merge_queries, text_queries, audit_queries, scan_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

@@ -1,12 +1,16 @@
 import itertools
 import random
+import re
+from datetime import datetime
+from types import SimpleNamespace
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from noticemill.operators import dedupe as dd
 from noticemill.operators.components import connected_components
 from noticemill.operators.status import resolve_status
+from noticemill.plans.lineage import cut
 
 from .helpers import notices, now
 
@@ -108,52 +112,175 @@ def test_portal_and_mirror_items(spark):
     assert {r.source_id for r in out[:4]} == {"cppp-pgimer"} and all(len(r.source_references) == 2 for r in out[:4])
 
 
-def brute_force(rows):
-    """The ordered rule over plain dicts: first matching survivor wins the row."""
+FIELDS = ("fetched_at", "verification", "description", "documents", "corrigenda", "status", "source_id", "stale")
+
+
+def plain(text):
+    return re.sub("[^a-z0-9]", "", (text or "").lower())
+
+
+def item(row):
+    found = re.fullmatch(r"(?:(?:E-Tender|Global Tender Enquiry)\s+Notice\s+No\.?\s*)?(PI\(EP\)/\d{2}-\d{2}/(?:G/)?\d+/\d+)", (row.reference_number or "").strip(), re.I)
+    return found and found[1].upper()
+
+
+def pair(a, b):
+    portal = next((r for r in (a, b) if r.source_id == "cppp-pgimer"), None)
+    mirror = next((r for r in (a, b) if r.source_id == "pgimer-notices"), None)
+    return bool(
+        portal and mirror and portal.institution_id == mirror.institution_id == "pgimer" and not mirror.tender_id
+        and re.fullmatch(r"20\d{2}_PGIME_\d+_\d+", portal.tender_id or "", re.I)
+        and item(portal) and item(portal) == item(mirror) and plain(portal.title) == plain(mirror.title)
+    )
+
+
+def same(a, b):
+    if a.tender_id and b.tender_id:
+        return a.tender_id.strip().lower() == b.tender_id.strip().lower()
+    if a.id == b.id:
+        return True
+    x, y = (plain(r.institution_id or r.organisation or r.buyer) for r in (a, b))
+    if x and y and x != y:
+        return False
+    if pair(a, b):
+        return True
+    if a.publish_date and b.publish_date and a.publish_date[:10] != b.publish_date[:10]:
+        return False
+    titles = plain(a.title) == plain(b.title)
+    if titles and a.tender_url and a.tender_url == b.tender_url and a.tender_url.endswith(".pdf"):
+        return True
+    if a.reference_number and b.reference_number and plain(a.reference_number) == plain(b.reference_number) and x and y:
+        u, v = ("|".join(sorted(d.url for d in r.documents or [])) for r in (a, b))
+        return titles and not (u and v and u != v)
+    return False
+
+
+def seen(row):
+    text = row.checked_at or row.fetched_at
+    return datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp() if text and text[:2] == "20" else float("-inf")
+
+
+def ordered_merge(rows, clock):
+    """The ordered rule as a loop over whole records."""
+    soon = lambda r: -300 <= clock - seen(r) <= 86_400
+    index = lambda r: bool(re.match("gem-direct(-|$)|gem-priority-keywords$", r.source_id) and re.fullmatch(r"GEM/20\d{2}/[BR]/\d+", r.tender_id or "", re.I))
     kept = []
-    for r in rows:
-        i = next((i for i, s in enumerate(kept) if dd.same_notice(s["identity"], r)), None)
-        if i is None:
-            kept.append({"identity": dict(r), "members": {r["notice_key"]}})
+    for row in rows:
+        at = next((i for i, k in enumerate(kept) if same(k, row)), None)
+        if at is None:
+            kept.append(SimpleNamespace(**{**vars(row), "members": [row.notice_key]}))
             continue
-        old = kept[i]["identity"]
-        docs = "|".join(sorted(set(filter(None, (old["docs"] + "|" + r["docs"]).split("|")))))
-        if dd._incoming_wins(r, old):
-            kept[i]["identity"] = dict(r)
-        kept[i]["identity"]["docs"] = docs
-        kept[i]["members"].add(r["notice_key"])
-    return {(k["identity"]["notice_key"], frozenset(k["members"])) for k in kept}
+        old = kept[at]
+        score = lambda r: 10 * (r.verification == "detail") + len(r.documents or []) + len(r.corrigenda or []) + bool(r.description)
+        ended = lambda r: r.status in ("CANCELLED", "WITHDRAWN")
+        direct = [index(r) and not r.stale and bool(r.extended_closing_date) and soon(r) for r in (row, old)]
+        portal = [pair(row, old) and r.source_id == "cppp-pgimer" and r.verification == "detail" and not r.stale and bool(r.effective_closing_date) and soon(r) for r in (row, old)]
+        if ended(row) != ended(old):
+            wins = ended(row)
+        elif (index(row) or index(old)) and bool(row.stale) != bool(old.stale):
+            wins = not row.stale
+        elif portal[0] != portal[1]:
+            wins = portal[0]
+        elif direct[0] != direct[1]:
+            wins = direct[0]
+        else:
+            wins = (seen(row), score(row)) > (seen(old), score(old))
+        best, other = (row, old) if wins else (old, row)
+        unique = lambda values, key: list({key(v): v for v in reversed(values)}.values())[::-1]
+        spec = lambda r: r.specification and any(d.status == "parsed" for d in r.specification.document_sources)
+        kept[at] = SimpleNamespace(**{
+            **vars(best), "members": [*old.members, row.notice_key],
+            "description": best.description or other.description, "work_category": best.work_category or other.work_category,
+            "specification": best.specification if spec(best) else other.specification or best.specification,
+            "documents": unique([*(best.documents or []), *(other.documents or [])], lambda d: d.url),
+            "corrigenda": unique([*(best.corrigenda or []), *(other.corrigenda or [])], lambda c: tuple(c)),
+        })
+    return {
+        (k.notice_key, frozenset(k.members), k.description, k.work_category, k.specification and k.specification.name,
+         frozenset(d.url for d in k.documents or []), frozenset(map(tuple, k.corrigenda or [])))
+        for k in kept
+    }
+
+
+EXTRA = {"work_category": "string", "specification": "struct<name:string,document_sources:array<struct<status:string>>>"}
+
+
+def merged_rows(gold, leaf_rows):
+    out = dd.deduplicate(gold, now(), leaf_rows)
+    groups = {}
+    for m in out.members.collect():
+        groups.setdefault(m.survivor_key, set()).add(m.notice_key)
+    lists = {r.notice_key: r for r in out.with_provenance().collect()}
+    assert set(lists) == set(groups)
+    return {
+        (k, frozenset(v), lists[k].description, lists[k].work_category, lists[k].specification and lists[k].specification.name,
+         frozenset(d.url for d in lists[k].documents or []), frozenset(map(tuple, lists[k].corrigenda or [])))
+        for k, v in groups.items()
+    }
 
 
-def test_groups_equal_the_ordered_rule_on_random_mirrors(spark):
-    rng = random.Random(7)
+def mirrors(rng, n, ids, titles, times):
+    """Random mirrors: shared ids, references, addresses, vetoes by documents, day and authority, index and portal rows."""
     rows = []
-    for i in range(400):
-        index = rng.random() < 0.2
-        rows.append(
-            {
-                "id": f"i{rng.randrange(200)}",
-                "tender_id": rng.choice([None, None, f"T{rng.randrange(40)}"]) if not index else f"GEM/2026/B/{rng.randrange(10)}",
-                "title": f"t{rng.randrange(6)}",
-                "tender_url": rng.choice(["https://a.gov.in/list", f"https://a.gov.in/{rng.randrange(12)}.pdf"]),
-                "reference_number": rng.choice([None, f"R{rng.randrange(12)}"]),
-                "organisation": rng.choice(["o1", "o2", None]),
-                "publish_date": rng.choice(["2026-09-01", "2026-09-02", None]),
-                "source_id": "gem-direct" if index else "s1",
-                "extended_closing_date": rng.choice([None, "2026-10-09"]),
-                "stale": rng.random() < 0.3,
-                "cancelled": rng.random() < 0.1,
-                "fetched_at": f"2026-09-30T{rng.randrange(12):02d}:00:00Z",
-                "documents": rng.choice([None, [("d", f"u{rng.randrange(2)}")]]),
-            }
-        )
-    gold = resolve_status(notices(spark, *rows), now())
-    ident = dd.identity_columns(gold, now()).orderBy("ordinal").toPandas()
-    wanted = brute_force(dd._records(ident))
-    got = {}
-    for m in dd.deduplicate(gold, now()).members.collect():
-        got.setdefault(m.survivor_key, set()).add(m.notice_key)
-    assert {(k, frozenset(v)) for k, v in got.items()} == wanted
+    for _ in range(n):
+        kind = rng.random()
+        row = {
+            "id": f"i{rng.randrange(ids)}",
+            "tender_id": rng.choice([None, None, f"T{rng.randrange(ids // 4)}"]),
+            "title": f"t{rng.randrange(titles)}",
+            "tender_url": rng.choice(["https://a.gov.in/list", f"https://a.gov.in/{rng.randrange(titles)}.pdf"]),
+            "reference_number": rng.choice([None, f"R/{rng.randrange(titles)}", f"r-{rng.randrange(titles)}", "--"]),
+            "organisation": rng.choice(["o1", "O-1", "o2", None]),
+            "publish_date": rng.choice(["2026-09-01", "2026-09-02", None]),
+            "stale": rng.random() < 0.3,
+            "cancelled": rng.random() < 0.05,
+            "verification": rng.choice(["listing", "listing", "detail"]),
+            "fetched_at": rng.choice([f"2026-09-30T{rng.randrange(times):02d}:00:00Z", f"2026-09-{rng.randrange(10, 30)}T05:00:00Z", "never"]),
+            "documents": rng.choice([None, None, [("d", f"u{rng.randrange(3)}") for _ in range(rng.randrange(1, 4))]]),
+            "corrigenda": rng.choice([None, None, [("Extension", None, "2026-09-02", None, f"c{rng.randrange(3)}")]]),
+            "description": rng.choice([None, None, f"desc {rng.random()}"]),
+            "work_category": rng.choice([None, None, None, f"work {rng.random()}"]),
+            "specification": rng.choice([None, None, (f"spec {rng.random()}", [(rng.choice(["parsed", "failed"]),)])]),
+            "source_id": "s1",
+        }
+        if kind < 0.2:
+            row |= {"source_id": "gem-direct", "tender_id": f"GEM/2026/B/{rng.randrange(ids // 8 + 1)}", "extended_closing_date": rng.choice([None, "2026-10-09"])}
+        elif kind < 0.4:
+            row |= {"institution_id": "pgimer", "reference_number": f"PI(EP)/25-26/G/14/{rng.randrange(titles)}", "title": f"t{rng.randrange(2)}"}
+            portal = rng.random() < 0.5
+            row |= {"source_id": "cppp-pgimer" if portal else "pgimer-notices", "tender_id": f"2026_PGIME_{rng.randrange(ids)}_1" if portal else None}
+        rows.append(row)
+    return rows
+
+
+def whole(gold):
+    return [SimpleNamespace(**{"checked_at": None, **r.asDict()}) for r in gold.orderBy("ordinal").collect()]
+
+
+CLOCK = datetime.fromisoformat("2026-09-30T12:00:00+05:30").timestamp()
+
+
+@pytest.mark.parametrize("seed, n, ids, titles, times, leaf_rows", [(8, 150, 40, 3, 2, 10_000), (9, 40, 16, 2, 3, 8)])
+def test_merge_equals_the_ordered_rule_on_random_mirrors(spark, seed, n, ids, titles, times, leaf_rows):
+    """Few ids and titles make large mixed groups; few times make ties; small chunks make groups of several of them."""
+    gold = cut(resolve_status(notices(spark, *mirrors(random.Random(seed), n, ids, titles, times), **EXTRA), now()))
+    assert merged_rows(gold, leaf_rows) == ordered_merge(whole(gold), CLOCK)
+
+
+def test_survivor_keeps_what_it_has_gathered_on_equal_times(spark):
+    base = {"id": "x", "tender_id": "T"}
+    rows = [{**base, "documents": [("a", "u1")]}, {**base, "documents": [("a", "u2")]}, {**base, "documents": [("a", "u3"), ("b", "u4")]}]
+    assert [r.notice_key for r in survivors(spark, *rows)] == [0]
+    assert [r.notice_key for r in survivors(spark, *rows[:1], rows[2])] == [1]
+
+
+def test_a_later_best_record_replaces_a_filled_value(spark):
+    base = {"id": "x", "tender_id": "T"}
+    times = [{"fetched_at": f"2026-09-30T0{h}:00:00Z"} for h in range(4)]
+    rows = [{**base, **times[0], "description": "a"}, {**base, **times[1], "description": "b"}, {**base, **times[2]}]
+    assert [(r.notice_key, r.description) for r in survivors(spark, *rows)] == [(2, "b")]
+    rows = [{**base, **times[2]}, {**base, **times[0], "description": "a"}, {**base, **times[1], "description": "b"}]
+    assert [(r.notice_key, r.description) for r in survivors(spark, *rows)] == [(0, "a")]
 
 
 def test_hot_group_of_copies_is_settled_by_aggregates(spark):
@@ -189,8 +316,17 @@ def test_retender_links(spark):
     assert got == {0: None, 1: "T1", 2: None, 3: "R9", 4: None, 5: None}
 
 
-def test_match_rule_is_symmetric():
-    kinds = itertools.product(["", "t1", "t2"], ["a", "b"], ["", "o"], ["", "d1", "d2"], ["x", "y"])
-    rows = [dict(tkey=t, id=i, authority=o, day=d, title=n, url="u", reference="r", item="", role="", docs="") for t, i, o, d, n in kinds]
-    assert all(dd.same_notice(a, b) == dd.same_notice(b, a) for a in rows for b in rows)
-    assert isinstance(pd.DataFrame(rows), pd.DataFrame)
+def test_offered_and_asked_keys_agree_with_the_match_rule(spark):
+    """A record asks for a key that a survivor offers just where the rule says that they are the same notice."""
+    kinds = itertools.product([None, "t1", "t2"], ["a", "b"], [None, "o", "p"], [None, "2026-09-01", "2026-09-02"], ["x", "y"], [None, "R", "--"])
+    docs = itertools.cycle([None, [("d", "u1")], [("d", "u2"), ("d", "u1")], None])
+    rows = [dict(tender_id=t, id=i, organisation=o, publish_date=d, title=n, reference_number=r, documents=next(docs),
+                 tender_url=f"https://a.gov.in/{n}.pdf" if r is None else "https://a.gov.in/list") for t, i, o, d, n, r in kinds]
+    gold = resolve_status(notices(spark, *rows), now())
+    ident = dd.identity_columns(gold, now()).withColumns({**dd.offered_keys(), "asked": dd.asked_keys()})
+    keyed = ident.withColumn("offered", F.concat("fixed", dd.completed(F.col("refs"), F.col("docs"))))
+    found = {r.notice_key: (set(r.offered), set(r.asked)) for r in keyed.select("notice_key", "offered", "asked").collect()}
+    plain_rows = whole(gold)
+    for a, b in random.Random(1).sample(list(itertools.product(range(len(rows)), repeat=2)), 20_000):
+        wanted = same(plain_rows[a], plain_rows[b])
+        assert bool(found[plain_rows[a].notice_key][0] & found[plain_rows[b].notice_key][1]) == wanted
