@@ -1,5 +1,8 @@
 import hashlib
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -45,6 +48,16 @@ def test_contract_shape(spark):
     assert contract.entry(spark).count() == 5
 
 
+@pytest.mark.parametrize("gone", [["llm"], ["llm", "corpus_pipeline.py"]])
+def test_entry_without_the_optional_parts(tmp_path, gone):
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(*gone, "tests", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True).stdout
+    for line, every in zip(out.splitlines(), (contract.queries(), contract.oracle_sql()), strict=True):
+        assert line.split() == sorted(n for n in every if n != "pipeline" and not n.startswith("op"))
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_sample_queries_match_sql(spark, name):
     con = duckdb.connect()
