@@ -24,30 +24,40 @@ def _as_documents(df: DataFrame, text: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored as texts without words; rows that repeat an id are judged each by its own text; null
+    ids teach nothing.  An empty table gives none.
+    """
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return good_documents(docs, labels, threshold=0.3)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document holds."""
+    """Texts without the lines that an earlier document holds; every row stays, with its lang and source.
+
+    A null text becomes empty.  Rows with one id, or with a null one, count as one document and keep their lines.
+    """
     return _as_documents(line_dedup(docs, carry=KEPT), "kept_text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows that share a doc_id stay or go together."""
+    """One document of each group of near-duplicates; rows that share a doc_id stay or go together.
+
+    Null, empty and wordless texts are like no other and stay.  Null ids stand after all others.
+    """
     kept = near_duplicates(docs, percent=80).filter("kept").select(id_key().alias("key_")).distinct()
     return docs.withColumn("key_", id_key()).join(kept, "key_", "left_semi").select(*docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 100 bytes that start earlier; only whole characters go."""
+    """Texts without passages of 100 bytes that start earlier; only whole characters go; every row stays."""
     found = repeated_passages(docs, 100, characters=True, carry=KEPT)
     return _as_documents(found.withColumn("kept", F.decode("kept", "UTF-8")), "kept")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids placed in sequences of 1024."""
+    """Pieces of the documents' token ids placed in sequences of 1024; an empty text is its end mark alone."""
     import public_tokenizers
 
     pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), 1024, keep_ids=False)
