@@ -260,31 +260,6 @@ def event_last_of_kind(spark: SparkSession, folder: str) -> DataFrame:
     return last_rows(ranked, ["user_id", "event_type"], ["i"])
 
 
-@query_of(
-    "document_section_evidence",
-    """
-    WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS head FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, CASE doc_id % 4
-        WHEN 0 THEN head || chr(10) || 'Technical Specifications' || chr(10) || 'kept'
-        WHEN 1 THEN head
-        WHEN 2 THEN head || chr(10) || 'searched' || chr(10) || 'results here' || chr(10) || 'more'
-        ELSE head || chr(10) || 'technical' || chr(10) || 'specifications for x' END AS evidence
-    FROM d
-    """,
-)
-def document_section_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """First lines with sections mixed in: headings are read line by line, never across a line end."""
-    d = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.split("text", "\n")[0].alias("head"))
-    k = F.col("doc_id") % 4
-    tail = (
-        F.when(k == 0, "\nWarranty:\ndropped\nTechnical Specifications\nkept")
-        .when(k == 1, "\n3. Terms & Conditions\ndropped\ndropped too")
-        .when(k == 2, "\nsearched\nresults here\nmore")
-        .otherwise("\ntechnical\nspecifications for x")
-    )
-    return d.select("doc_id", product_evidence(F.concat("head", tail)).alias("evidence"))
-
-
 @query_of(
     "document_section_texts",
     r"""

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; the folder is the session's ``spark.checkpoint.dir``.
+    """Reliable checkpoint; the folder is the session's ``spark.checkpoint.dir``, which a cluster's machines must share.
 
-    Where the session names none, a folder in the warehouse is set, which driver and executors share as well.
+    Where the session names none, as in tests on one machine, a folder in the warehouse is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext

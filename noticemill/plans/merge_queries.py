@@ -81,11 +81,11 @@ rec AS (SELECT b, row_number() OVER (PARTITION BY b ORDER BY k) AS i, {{
 fold AS (
   SELECT b, i, [r] AS kept FROM rec WHERE i = 1
   UNION ALL
-  SELECT b, i, CASE WHEN at IS NULL OR at = 0 THEN list_append(kept, r)
-      ELSE list_concat(list_concat(kept[1:at - 1], [{{{_MERGED}}}]), kept[at + 1:]) END
-  FROM (SELECT b, i, kept, r, at, kept[at] AS s, (WITH x AS (SELECT kept[at] AS s) SELECT {_WINS} FROM x) AS won
-        FROM (SELECT fold.b, rec.i, kept, r, list_position(list_transform(kept, lambda s: {_SAME}), TRUE) AS at
-              FROM fold JOIN rec ON rec.b = fold.b AND rec.i = fold.i + 1))
+  SELECT b, i, CASE WHEN coalesce(place, 0) = 0 THEN list_append(kept, r)
+      ELSE list_concat(list_concat(kept[1:place - 1], [{{{_MERGED}}}]), kept[place + 1:]) END
+  FROM (SELECT *, {_WINS} AS won FROM (SELECT *, kept[place] AS s
+        FROM (SELECT fold.b, rec.i, kept, r, list_position(list_transform(kept, lambda s: {_SAME}), TRUE) AS place
+              FROM fold JOIN rec ON rec.b = fold.b AND rec.i = fold.i + 1)))
 ),
 done AS (SELECT unnest(kept) AS s FROM (SELECT kept FROM fold QUALIFY row_number() OVER (PARTITION BY b ORDER BY i DESC) = 1))
 SELECT s.k AS survivor, array_to_string(list_sort(s.members), ',') AS members, s.descr AS description,

@@ -10,6 +10,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt evenly over ``tasks`` (the session's shuffle partitions if not given), at every size alike.
+
+    For columns on which each row costs much more than its way through a shuffle: a file of one row group is one task.
+    """
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def clock(text: str) -> Column:
     """A fixed UTC instant, independent of the session zone."""
     return F.to_timestamp(F.lit(text + "+00:00"))

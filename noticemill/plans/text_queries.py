@@ -21,7 +21,7 @@ from ..operators.requirements import (
     rule_hits,
 )
 from ..sources.html import scan_links
-from .tables import table
+from .tables import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -50,7 +50,7 @@ def query_of(name: str, sql: str | None = None):
     """,
 )
 def page_link_counts(spark: SparkSession, folder: str) -> DataFrame:
-    links = scan_links(table(spark, folder, "pages"))
+    links = scan_links(spread(table(spark, folder, "pages").select("page_id", "html")))
     return links.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_links"),
         F.count_distinct("href").alias("n_targets"),
@@ -122,7 +122,7 @@ def _rendered(orders: DataFrame):
     """,
 )
 def order_dates_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"))
     return orders.select("o_orderkey", parse_listing_date(_rendered(orders), True).alias("parsed"))
 
 
@@ -146,7 +146,7 @@ def order_dates_parsed(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def order_labelled_deadlines(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"))
     a = F.date_format("o_orderdate", "dd-MM-yyyy")
     b = F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS"), "dd-MM-yyyy")
     k = F.col("o_orderkey") % 4
@@ -244,7 +244,7 @@ _TOPIC_N = " + ".join(f"(h{i} > 0)::INT" for i in range(len(TOPICS.taxonomy)))
     """,
 )
 def document_topics(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("source", "text")
+    docs = spread(table(spark, folder, "documents").select("source", "text"))
     c = classify(docs, F.col("text"), book=TOPICS, out="c")
     rows = c.select("source", F.size("c.categories").alias("n"), "c.confidence", F.explode("c.categories").alias("category"))
     return rows.groupBy("source", "category").agg(
@@ -270,7 +270,7 @@ def document_source_funnel(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents count as attributed, English ones as statewide."""
     from ..operators.quality import source_funnel
 
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", F.col("source").alias("source_id"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang", F.col("source").alias("source_id")))
     labelled = table(spark, folder, "labels").select("doc_id", F.lit(1).alias("labelled"))
     c = classify(docs, F.col("text"), book=TOPICS, out="c").drop("text").join(labelled, "doc_id", "left")
     return source_funnel(
@@ -353,7 +353,7 @@ def part_brand_matches(spark: SparkSession, folder: str) -> DataFrame:
 @query_of("medical_taxonomy_scan")
 def medical_taxonomy_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The full medical rule book over whole document texts; its rules use look-ahead, which the oracle lacks."""
-    docs = table(spark, folder, "documents").select("source", "text")
+    docs = spread(table(spark, folder, "documents").select("source", "text"))
     c = classify(docs, F.col("text"), out="c", brands=True)
     return c.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"),
@@ -379,7 +379,7 @@ def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that contain a benchmark passage on word boundaries."""
     passages = table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
     phrases = phrase_table(passages, phrases=["text"], alias_col=None)
-    texts = table(spark, folder, "documents").select("doc_id", "text")
+    texts = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return match_phrases(texts, phrases, "doc_id").select("doc_id", F.col("entity_id").alias("item_id"))
 
 
@@ -474,7 +474,7 @@ PROSE_CLAUSES = ClauseBook(
 
 
 def _document_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
         F.col("doc_id").alias("notice_key"),
         F.lit(0).alias("doc_ordinal"),
         F.lit(0).alias("page_ordinal"),
