@@ -200,12 +200,8 @@ def _in_block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
     )
 
 
-def _bridges(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """(a, b): labels of different components that meet in a bucket with sketches agreeing in ``least`` places.
-
-    A task gives no more rows than it has labels: enough pairs to connect all that are joined by such members.
-    Buckets of one component drop out beforehand; a large bucket is dealt out as pairs of blocks.
-    """
+def _mixed(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, label, n) of the (node, bucket) rows whose bucket holds several labels; n: the bucket's rows."""
     rows = settled(held.join(labels.hint("merge"), "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
     mixed = (
         rows.groupBy("bucket")
@@ -213,7 +209,56 @@ def _bridges(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int
         .filter("lo <> hi")
         .select("bucket", "n")
     )
-    dealt = _in_block_pairs(rows.join(mixed.hint("merge"), "bucket").join(sketches.hint("merge"), "node"), _blocks(F.col("n"))).select(
+    return rows.join(mixed.hint("merge"), "bucket").select("bucket", "node", "label", "n")
+
+
+def _lone(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, lone): shingles of each of the ``nodes`` that no other of them has, where there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for at in range(0, len(node), 256):
+                sets_ = [np.frombuffer(s, np.int64) for s in batch.column(1).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(node[at : at + 256], [len(s) for s in sets_])), pa.array(np.concatenate(sets_))],
+                    names=["node", "shingle"],
+                )
+
+    held = sets.join(nodes.hint("merge"), "node").select("node", "shingles").mapInArrow(run, "node long, shingle long")
+    once = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).filter("node = other")
+    return once.groupBy("node").agg(F.count("*").alias("lone"))
+
+
+def _linkable(met: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, bucket, hub): the rows of ``met`` that may be linked with a member of their bucket.
+
+    Of a set of n shingles, c stand in other sets of mixed buckets as well, so at most c are shared with a member.  That
+    member has at least s, the bucket's smallest size: the union is not below n + s - c, nor below n.  A row for which c
+    is too little drops out; no link is lost.  ``hub`` is the bucket's member with the smallest share of lone shingles.
+    """
+    nodes = cut(met.select("node").distinct())
+    common = (
+        sizes.join(nodes.hint("merge"), "node")
+        .join(_lone(nodes, sets).hint("merge"), "node", "left")
+        .select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common"))
+    )
+    rows = settled(met.select("node", "bucket").join(common.hint("merge"), "node"))
+    buckets = rows.groupBy("bucket").agg(
+        F.min("size").alias("least"),
+        F.min(F.struct((F.lit(1) - F.col("common") / F.col("size")).alias("share"), "node"))["node"].alias("hub"),
+    )
+    enough = F.expr(f"100 * common >= {percent} * (size + greatest(least - common, 0))")
+    return rows.join(buckets.hint("merge"), "bucket").filter(enough).select("node", "bucket", "hub")
+
+
+def _bridges(held: DataFrame, labels: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """(a, b): labels of different components that meet in a bucket with sketches agreeing in ``least`` places.
+
+    A task gives no more rows than it has labels: enough pairs to connect all that are joined by such members.
+    Buckets of one component drop out beforehand; a large bucket is dealt out as pairs of blocks.
+    """
+    dealt = _in_block_pairs(_mixed(held, labels).join(sketches.hint("merge"), "node"), _blocks(F.col("n"))).select(
         "bucket", "i", "j", "label", "sketch"
     )
 
@@ -295,9 +340,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Equal sets are settled by one grouping, so copies take no further part.  Banded min-max signatures propose pairs;
     at the threshold a pair shares no band with a chance below 1e-6.  First each set meets the more alike of its
-    buckets' ends, confirmed on full sets.  Components that still meet in a bucket with sketches that may reach the
-    threshold are then gathered into clusters, and all members of a cluster are compared on full sets, so every pair
-    that shares a band is settled.  No bucket is capped; large buckets and clusters are dealt out as pairs of blocks;
+    buckets' ends, confirmed on full sets.  In buckets that still hold several components, sets with too many shingles
+    of their own to be linked with any member drop out, and the others meet the member with the fewest such shingles.
+    Components that meet even then in a bucket with sketches that may reach the threshold are gathered into clusters,
+    and all members of a cluster are compared on full sets, so every pair that shares a band is settled.  No bucket is capped; large buckets and clusters are dealt out as pairs of blocks;
     no task gives more rows than its members need to be connected.
     """
     method = MinMax(percent / 100)
@@ -331,7 +377,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = cut(_shingles(docs, classes.join(held.select("node").distinct(), "node").select("node", "key_", "mark", "content")))
     links = settled(_confirmed(best, sets, percent))
     labels = components(links)
-    bridges = components(_bridges(held, labels, sketches, method.agreeing))
+    near = settled(_linkable(settled(_mixed(held, labels)), classes.select("node", "size"), sets, percent))
+    hubs = (
+        near.filter("node <> hub")
+        .select("node", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        .distinct()
+    )
+    likely = _agreement(hubs.select("a", "b").distinct(), sketches, method.agreeing)
+    best = _best(settled(likely.join(hubs.hint("merge"), ["a", "b"])), "node")
+    links = settled(links.union(_confirmed(best, sets, percent)))
+    labels = components(links)
+    bridges = components(_bridges(near.select("node", "bucket"), labels, sketches, method.agreeing))
     open_ = settled(
         classes.select("node", "size")
         .join(labels.hint("merge"), "node", "left")

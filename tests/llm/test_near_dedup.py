@@ -105,3 +105,32 @@ def test_components_of_long_chains_and_stars(spark):
 def test_empty_table(spark):
     assert near_duplicates(empty(spark)).collect() == []
     assert near_duplicates(documents(spark).filter(F.col("text").isNull())).count() == 2
+
+
+def around(template, copies, seed):
+    """Copies of one text with up to five words of their own, so many lie just beyond the threshold of all others."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(copies):
+        words = template.split()
+        for k in range(i % 6):
+            words[rng.randrange(len(words))] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_copies_around_a_text(spark, percent, monkeypatch):
+    rows = around(sentence(random.Random(5), 120), 90, 6)
+    kept = []
+    linkable = near_dedup._linkable
+
+    def counted(met, *others):
+        found = linkable(met, *others).persist()
+        kept.append((met.select("node").distinct().count(), found.select("node").distinct().count()))
+        return found
+
+    monkeypatch.setattr(near_dedup, "_linkable", counted)
+    assert result(table(spark, rows), percent) == brute(rows, percent)
+    [(met, found)] = kept
+    assert found < met  # copies with too many words of their own meet nobody
