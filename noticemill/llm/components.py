@@ -84,7 +84,8 @@ def components(links: DataFrame, part_links: int = PART_LINKS) -> DataFrame:
             node, root = forest(*(table.column(c).to_numpy() for c in ("a", "b")), turn)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
 
-        rooted = cut(edges.repartition(parts, "a", "b").mapInArrow(join, "node long, root long"))
+        dealt = edges.coalesce(1) if parts == 1 else edges.repartition(parts, "a", "b")  # one part: surely one task
+        rooted = cut(dealt.mapInArrow(join, "node long, root long"))
         if parts == 1:
             moves.append(rooted.withColumnRenamed("root", "label"))
             break
