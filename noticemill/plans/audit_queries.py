@@ -11,7 +11,7 @@ from ..operators import quality, selection, snapshots
 from ..operators.ranking import last_rows
 from ..sources.html import linked_documents
 from .record_queries import EVENT_INDEX
-from .tables import clock, iso_day, table
+from .tables import clock, iso_day, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -240,7 +240,7 @@ def order_page_links(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(" of "), F.col("l_partkey").cast("string"), F.lit("</a>\n"),
     )
     # an order has few lines by construction
-    pages = li.groupBy(F.col("l_orderkey").alias("page_id")).agg(
+    pages = spread(li, by="l_orderkey").groupBy(F.col("l_orderkey").alias("page_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", anchor.alias("a")))), lambda x: x["a"]), "").alias("html")
     ).withColumn("url", F.lit("https://a.gov.in/list"))
     return linked_documents(pages).select("page_id", "doc_url", "label")

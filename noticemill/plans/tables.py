@@ -10,12 +10,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+def spread(df: DataFrame, tasks: int | None = None, by: str | None = None) -> DataFrame:
     """Rows dealt evenly over ``tasks`` (the session's shuffle partitions if not given), at every size alike.
 
-    For columns on which each row costs much more than its way through a shuffle: a file of one row group is one task.
+    For columns on which each row costs much more than its way through a shuffle: a file of one row group is one task,
+    and Spark joins a shuffle's small parts into few tasks.  With ``by``, rows of one value stay together, ready to be
+    grouped by it where they are.
     """
-    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, by) if by else df.repartition(tasks)
 
 
 def clock(text: str) -> Column:

@@ -154,3 +154,31 @@ def test_links_keys_and_union(spark):
     rows = listings.notice_key(listings.union_notices(a, b)).collect()
     want = spark.range(1).select(surrogate_key(F.lit("T1")), surrogate_key(F.lit("s||t||"))).collect()[0]
     assert {r.id for r in rows} == set(want)
+
+
+def test_plain_pages_scan_like_any_other():
+    plain = '<table id="t"><tr><td>a &amp; b</td><td><a href="/x?p=1&amp;q=2">L<li>i</a></li></td></tr><TR><th>h</TH><td>2'
+    assert html._plain_parts(plain) is not None
+    for other in ("<br/>", "<!-- -->", "<a href=x>", "a < b", "<script>", "</td x>", '<a href="&copy">'):
+        assert html._plain_parts(other) is None
+    parsed = html._scan(plain + "<!-- -->")
+    read = html._scan(plain)
+    assert repr((read.rows, read.links)) == repr((parsed.rows, parsed.links)) and read.links[0]["href"] == "/x?p=1&q=2"
+
+
+def test_many_pages_share_a_batch_and_keep_their_columns(spark):
+    link = '<a href="/{}.pdf">l</a>'
+    p = pages(spark, *[(f"https://a.gov.in/{i}", link.format(i) * (i % 3)) for i in range(300)], ("https://a.gov.in/n", None))
+    links = html.scan_links(p, carry=["url"])
+    assert sorted((r.page_id, r.url[17:], r.ordinal, r.href) for r in links.collect()) == sorted(
+        (i, str(i), n, f"/{i}.pdf") for i in range(300) for n in range(i % 3)
+    )
+    batches = links.mapInArrow(lambda it: (b.slice(0, 1).select(["page_id"]) for b in it if b.num_rows), "page_id int")
+    assert batches.count() == 1
+    rows = html.scan_rows(pages(spark, (PORTAL, "<table>" + tr("a") + "</table>")), carry=["url"]).collect()
+    assert [(r.url, r.row, r.n_cells, r.cells[0].text) for r in rows] == [(PORTAL, 0, 1, "a")]
+
+
+def test_link_addresses_are_worked_out_once(spark):
+    plan = html.linked_documents(pages(spark, (PORTAL, "")))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("^(?i)[a-z][a-z0-9+.\\-]*:" in line for line in plan.splitlines()) == 1
