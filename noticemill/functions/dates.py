@@ -57,14 +57,19 @@ def _date_parts(value: Column) -> Column:
 
 
 def _listing_date(value: Column, parts: Column, eod: Column) -> Column:
+    # A cast that fails raises and catches an error inside Spark, at many times the cost of the rest: months by name and
+    # missing times are not offered to it.
+    def whole(text: Column) -> Column:
+        return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("int"))
+
     def number(i: int) -> Column:
-        return F.get(parts, F.lit(i)).try_cast("int")
+        return whole(F.get(parts, F.lit(i)))
 
     month_text = F.get(parts, F.lit(1))
     half = F.upper(F.get(parts, F.lit(6)))
     raw_hour = number(3)
     month = F.coalesce(
-        month_text.try_cast("int"),
+        whole(month_text),
         F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.left(month_text, F.lit(3)))).cast("int"),
     )
     hour = (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import listings
 from ..sources.html import scan_rows
-from .tables import iso_day, table
+from .tables import iso_day, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -36,7 +36,7 @@ def _pages(rows: DataFrame, by: str, html: Column, *order: str) -> DataFrame:
     """One page for each value of ``by``, its rows in order; a customer has few orders by construction."""
     parts = F.array_sort(F.collect_list(F.struct(*order, html.alias("h"))))
     body = F.array_join(F.transform(parts, lambda x: x["h"]), "")
-    return rows.groupBy(F.col(by).alias("page_id")).agg(F.concat(F.lit("<table>"), body, F.lit("</table>")).alias("html"))
+    return spread(rows, by=by).groupBy(F.col(by).alias("page_id")).agg(F.concat(F.lit("<table>"), body, F.lit("</table>")).alias("html"))
 
 
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,8 +71,8 @@ def order_portal_listing(spark: SparkSession, folder: str) -> DataFrame:
     row = _row(F.lit("1"), F.concat(day, F.lit(" 09:30 AM")), closing, F.lit(""), links, chain)
     again = F.when(F.col("o_orderkey") % 5 == 0, F.replace(row, F.lit("[Order "), F.lit("[Repeat of "))).otherwise("")
     pages = _pages(o, "o_custkey", F.concat(row, again, _row(F.lit("short"))), "o_orderkey").withColumn("url", F.lit(PORTAL))
-    rows = scan_rows(pages).join(pages.select("page_id", "url"), "page_id")
-    out = listings.portal_listing(rows)
+    # orders without a customer stand on no page
+    out = listings.portal_listing(scan_rows(pages.filter("page_id is not null"), carry=["url"]))
     return out.select(
         "page_id", "tender_id", "title", "reference_number", "organisation", F.size("organisation_chain").cast("bigint").alias("levels"),
         "publish_date", "original_closing_date", "date_precision", "tender_url",
