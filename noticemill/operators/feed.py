@@ -10,7 +10,7 @@ from ..functions.identifiers import first_present, present, printed_bid_id
 from ..functions.patterns import matches
 from ..functions.text import plain_text, whole_quantity
 from ..functions.urls import web_reference
-from ..plans.lineage import cut
+from ..plans.lineage import computed_once, cut
 from .ranking import chunked_row_number, one_distinct, top_per_group
 
 # A clause that states one direct quantity, and the list limits.
@@ -48,7 +48,7 @@ def _ladder(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFrame
     base = F.lit(origin)
     none = F.lit(None).cast("string")
     url = F.coalesce(web_reference(F.col("tender_url"), base), web_reference(F.col("source_url"), base))
-    own = notices.withColumn("__url", url).filter(F.col("__url").isNotNull())
+    own = computed_once(notices, {"__url": url}).filter(F.col("__url").isNotNull())
     declared = F.filter(
         F.transform(
             F.coalesce("equipment_items", F.array()),
@@ -71,7 +71,7 @@ def _ladder(notices: DataFrame, quantities: DataFrame, origin: str) -> DataFrame
     is_direct = matches(F.col("requirement"), DIRECT_QUANTITY)
     # one pass over the clauses: the schedule rows are counted and the direct quantities settled, both map-side
     facts = (
-        quantities.withColumns({"__in": in_schedule(), "__direct": F.coalesce(is_direct, F.lit(False))})
+        computed_once(quantities, {"__in": in_schedule(), "__direct": F.coalesce(is_direct, F.lit(False))})
         .filter("__in or __direct")
         .groupBy("notice_key")
         .agg(

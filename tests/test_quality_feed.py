@@ -128,3 +128,10 @@ def test_metrics_inventory_and_totals(spark, tmp_path):
     assert quality.omitted_without_region(located).collect()[0].omitted == 1
     quality.write_audit({"totals": quality.run_totals(snaps, t)}, str(tmp_path))
     assert json.loads(spark.read.text(str(tmp_path / "totals")).collect()[0].value)["sources_attempted"] == 3
+
+
+def test_the_address_of_a_notice_is_worked_out_once(spark):
+    n, _ = feed_rows(spark, [{"id": "a"}], [])
+    n = n.withColumn("tender_url", F.concat(F.lit("https://once.gov.in/"), F.col("notice_key").cast("string")))
+    plan = feed._ladder(n, spark.createDataFrame([], Q), ORIGIN)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https://once.gov.in/") == 1
