@@ -153,3 +153,11 @@ def test_pattern_dialect(spark):
 def test_rule_tables_are_complete():
     assert len(rules.TAXONOMY) == 35 and len(rules.PORTFOLIOS) == 7
     assert len(rules.PRIORITY_GROUPS) == 13 and len(rules.CLAUSE_RULES) == 34 and len(rules.SECTIONS) == 11
+
+
+def test_dates_offer_only_digits_to_casts(spark):
+    texts = spark.createDataFrame([("05-Sep-2026 03:00 PM",), ("05-September-2026",), ("5/9/2026 15:00",)], "t string")
+    df = texts.select(dates.parse_listing_date(F.col("t")).alias("d"))
+    assert [r.d for r in df.collect()] == ["2026-09-05T15:00:00+05:30", "2026-09-05T00:00:00+05:30", "2026-09-05T15:00:00+05:30"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.upper() and "^[0-9]+$" in plan
