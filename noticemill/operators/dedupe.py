@@ -7,11 +7,13 @@ match at all, so the job
 
 1. reduces records to distinct identity signatures (map-side; copies vanish here),
 2. connects signatures over shared keys (a safe superset of the match rule),
-3. takes components whose members all match each other as they are, by aggregates,
-4. settles the other components in rounds: from a guess of who joins whom follows
+3. places the records of components of bounded size one by one, each component in
+   one task; of the larger ones, 4 to 6,
+4. takes components whose members all match each other as they are, by aggregates,
+5. settles the other components in rounds: from a guess of who joins whom follows
    what each survivor looks like at any time, and from that each record's first
    match; a round in which no record changes its mind is the ordered result,
-5. folds every group in order, in chunks of bounded size, to find its best record
+6. folds every group in order, in chunks of bounded size, to find its best record
    and the ones that were best for a while.
 
 The match rule is written as equal keys, offered by a survivor and asked for by a
@@ -40,7 +42,7 @@ from ..functions.patterns import matches
 from ..functions.urls import specific_document
 from ..plans.lineage import cut
 from .components import connected_components
-from .ordered_fold import LEAF_ROWS, first_matches, fold_members, standing_column
+from .ordered_fold import LEAF_ROWS, RECORD, first_matches, fold_members, place_components, standing_column
 from .ranking import chunked_row_number, first_rows
 
 # Which sources are live indexes, and the portal/mirror pair.
@@ -381,38 +383,55 @@ class Deduplicated:
 
 
 def assign_groups(identities: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(notice_key, grp, survivor_key, won) for every record; ``won`` marks those that were the best when they came."""
+    """(notice_key, grp, survivor_key, won) for every record; ``won`` marks those that were the best when they came.
+
+    Components of up to ``leaf_rows`` records are placed one by one in a task; larger ones in rounds.
+    """
     sig_cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in IDENTITY]
-    ident = identities.withColumn("signature", F.sha2(F.concat_ws("\x01", *sig_cols), 256))
-    signatures = cut(
-        ident.groupBy("signature").agg(
-            *[F.first(c).alias(c) for c in [*IDENTITY, "repeats"]], F.count(F.lit(1)).alias("copies")
-        )
-    )
-    edges = signatures.select("signature", F.explode(match_keys()).alias("key"))
-    placed = cut(signatures.join(connected_components(edges, "signature", "key"), "signature", "left").withColumn(
-        "component", F.coalesce("component", "signature")
-    ))
+    ident = identities.withColumn("signature", _short(F.concat_ws("\x01", *sig_cols)))
+    keys = F.transform(match_keys(), _short)
+    signatures = cut(ident.groupBy("signature").agg(F.first(keys).alias("keys"), F.count(F.lit(1)).alias("copies")))
+    edges = signatures.select("signature", F.explode("keys").alias("key"))
+    placed = signatures.select("signature", "copies").join(connected_components(edges, "signature", "key"), "signature", "left")
+    placed = cut(placed.withColumn("component", F.coalesce("component", "signature")))
     sizes = placed.groupBy("component").agg(F.sum("copies").alias("size"))
-    kinds = cut(
-        placed.select("signature", "component", "tkey")
-        .join(sizes, "component")
-        .join(uniform_components(placed), "component", "left")
-        .select(
-            "signature",
-            "component",
-            (F.col("size") == 1).alias("alone"),
-            F.when(F.col("by_id"), F.concat(F.lit("t|"), "tkey")).when(~F.col("by_id"), F.col("component")).alias("grp"),
-        )
-    )
-    rows = ident.join(kinds, "signature")
-    alone = rows.filter("alone").select(
-        "notice_key", F.col("signature").alias("grp"), F.col("notice_key").alias("survivor_key"), F.lit(True).alias("won")
+    kind = F.when(F.col("size") == 1, "alone").when(F.col("size") <= leaf_rows, "small").otherwise("large")
+    kinds = placed.join(sizes, "component").select("signature", "component", kind.alias("kind"))
+    unclear = ident.groupBy("notice_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("ordinal").isNull()).alias("unplaced"))
+    unclear = cut(unclear.filter("n > 1 OR unplaced OR notice_key IS NULL").select("notice_key"))
+    if not unclear.isEmpty():  # records that no key tells apart, or without a place
+        same = F.col("notice_key").eqNullSafe(F.col("__key"))
+        held = ident.join(unclear.withColumnRenamed("notice_key", "__key"), same, "left_semi").select("signature")
+        held = placed.join(held, "signature", "left_semi").select("component", F.lit(True).alias("held")).distinct()
+        large = (F.col("kind") == "small") & F.col("held").isNotNull()
+        kinds = kinds.join(held, "component", "left").withColumn("kind", F.when(large, "large").otherwise(F.col("kind"))).drop("held")
+    kinds = cut(kinds)
+    alone = ident.join(kinds.filter("kind = 'alone'"), "signature").select(
+        "notice_key", F.hex("signature").alias("grp"), F.col("notice_key").alias("survivor_key"), F.lit(True).alias("won")
     )
+    small = ident.join(kinds.filter("kind = 'small'"), "signature").drop("signature", "kind", "repeats")
+    # keys are made where the records are placed: they are many times as long as what they are made of
+    ordered = small.repartition("component").sortWithinPartitions("component", "ordinal", "notice_key")
+    records = ordered.withColumns({**offered_keys(), "asked": asked_keys(), "component": F.hex("component")}).select(*RECORD)
+    found = alone.unionByName(place_components(records))
+    large = kinds.filter("kind = 'large'").drop("kind")
+    return found if large.isEmpty() else found.unionByName(assign_in_rounds(ident, large, leaf_rows))
+
+
+def _short(value: Column) -> Column:
+    return F.unhex(F.md5(value))
+
+
+def assign_in_rounds(ident: DataFrame, large: DataFrame, leaf_rows: int) -> DataFrame:
+    """(notice_key, grp, survivor_key, won) for the records of components of any size: ``large`` has signature and component."""
+    rows = ident.join(large, "signature").withColumn("component", F.hex("component"))
+    placed = cut(rows.groupBy("component", "signature").agg(*[F.first(c).alias(c) for c in [*IDENTITY, "repeats"]]))
+    grp = F.when(F.col("by_id"), F.concat(F.lit("t|"), "tkey")).when(~F.col("by_id"), F.col("component"))
     order = [F.col("ordinal"), F.col("notice_key")]
     chunk = F.floor(F.col("ordinal") / F.lit(65_536))
+    rows = rows.join(uniform_components(placed), "component", "left").withColumn("grp", grp).drop("by_id")
     ranked = cut(
-        chunked_row_number(rows.filter("not alone"), ["component"], order, chunk)
+        chunked_row_number(rows, ["component"], order, chunk)
         .withColumns({"rank": F.col("rank") - 1, "last": F.col("rank_of") - 1})
         .drop("rank_of")
     )
@@ -439,8 +458,7 @@ def assign_groups(identities: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFram
     folded = cut(folded.select("grp", "at", "won", "best"))
     final = folded.groupBy("grp").agg(F.max_by("best", "at").alias("at"))
     survivor = final.join(members, ["grp", "at"]).select("grp", F.col("notice_key").alias("survivor_key"))
-    told = members.join(folded, ["grp", "at"]).join(survivor, "grp").select("notice_key", "grp", "survivor_key", "won")
-    return alone.unionByName(told)
+    return members.join(folded, ["grp", "at"]).join(survivor, "grp").select("notice_key", "grp", "survivor_key", "won")
 
 
 # Values a survivor takes from another member when its own is missing.

@@ -7,10 +7,12 @@ chunks' descriptions gives everyone who enters, and a second pass over the membe
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -344,3 +346,99 @@ def first_matches(states: DataFrame, asked: DataFrame, last_rank: int, leaf_rows
         above = questions.withColumn("level", level).withColumn("node", F.floor(F.col("leaf") / size))
         found = found.union(above.join(blocks, ["key", "level", "node"]).select("component", "rank", "s"))
     return found.groupBy("component", "rank").agg(F.min("s").alias("s"))
+
+
+# Records of a component as rows, in order of their places.
+RECORD = ["component", "notice_key", "standing", "observed", "own", "docs", "items", "fixed", "refs", "asked"]
+Record = NamedTuple("Record", [(name, object) for name in RECORD])
+
+
+class Survivor:
+    """A group as it stands: its best record, and the evidence that its members have brought."""
+
+    def __init__(self):
+        self.best: Record | None = None
+        self.size = self.first_own = 0
+        self.seen: set[tuple] = set()
+        self.sums = (0, 0, 0)
+        self.docs: str | None = None
+        self.shown: tuple | None = None  # best record and documents that its keys were made of
+        self.keys: frozenset[str] = frozenset()
+
+    def join(self, new: Record) -> bool:
+        """Whether the new member became the best."""
+        gathered = self.first_own if self.size == 1 else len(self.seen)
+        won = outranks(new.standing, self.best.standing if self.best else "")
+        if won is None:
+            won = new.observed > self.best.observed or (
+                new.observed == self.best.observed and wins_tie(new.standing, new.own, self.best.standing, gathered)
+            )
+        if won:
+            self.best = new
+        n, a, b = self.sums
+        for i in new.items:
+            what = i["kind"], i["item"]
+            if what not in self.seen:
+                self.seen.add(what)
+                if i["kind"] == "doc":
+                    n, a, b = n + 1, a + i["a"], b + i["b"]
+        self.sums = n, a, b
+        if self.size == 0:
+            self.first_own, self.docs = new.own, new.docs
+        else:
+            self.docs = f"{n}:{a}:{b}" if n else None
+        self.size += 1
+        return won
+
+    def offered(self) -> frozenset[str]:
+        own = "-" if self.docs is None else f"={self.docs}"
+        refs = [hashlib.md5(f"{r}{d}".encode()).hexdigest() for r in self.best.refs for d in ("*", own)]
+        return frozenset([*self.best.fixed, *refs])
+
+
+def place_in_order(records: list[Record]) -> list[tuple]:
+    """(notice_key, grp, survivor_key, won) of a component's records, each placed with the first survivor that it meets."""
+    survivors: list[Survivor] = []
+    under: dict[str, list[int]] = {}  # survivors by key, the first on top; some have left the key since
+    placed = []
+    for record in records:
+        found = len(survivors)
+        for key in record.asked:
+            there = under.get(key, ())
+            while there and key not in survivors[there[0]].keys:
+                heapq.heappop(there)
+            if there:
+                found = min(found, there[0])
+        if found == len(survivors):
+            survivors.append(Survivor())
+        joined = survivors[found]
+        placed.append((record.notice_key, found, joined.join(record)))
+        if (now := (joined.best, joined.docs)) != joined.shown:
+            before, joined.keys, joined.shown = joined.keys, joined.offered(), now
+            for key in joined.keys - before:
+                heapq.heappush(under.setdefault(key, []), found)
+    return [(k, f"{records[0].component}/{s}", survivors[s].best.notice_key, won) for k, s, won in placed]
+
+
+def place_components(records: DataFrame) -> DataFrame:
+    """(notice_key, grp, survivor_key, won) of records (``RECORD``) whose components each fit one task's memory.
+
+    A partition must hold its components whole, sorted by component and place.
+    """
+    kind = records.schema["notice_key"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        first = next(batches, None)
+        if first is None:
+            return
+        key = first.schema.field("notice_key").type
+        schema = pa.schema([("notice_key", key), ("grp", pa.string()), ("survivor_key", key), ("won", pa.bool_())])
+        for run in runs_of(chain([first], batches), 1):
+            out += place_in_order([Record(*r) for r in run])
+            if len(out) >= LEAF_ROWS:
+                yield _batch(out, schema)
+                out = []
+        yield _batch(out, schema)
+
+    return records.select(*RECORD).mapInArrow(place, f"notice_key {kind}, grp string, survivor_key {kind}, won boolean")

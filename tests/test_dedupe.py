@@ -267,6 +267,25 @@ def test_merge_equals_the_ordered_rule_on_random_mirrors(spark, seed, n, ids, ti
     assert merged_rows(gold, leaf_rows) == ordered_merge(whole(gold), CLOCK)
 
 
+def test_small_components_are_placed_in_one_pass(spark, monkeypatch):
+    """Components that fit a task need no rounds; keys that stand for two records go to the rounds."""
+    gold = cut(resolve_status(notices(spark, *mirrors(random.Random(5), 60, 20, 2, 2), **EXTRA), now()))
+    in_rounds = []
+
+    def settle(*args):
+        in_rounds.append(args)
+        return settle_in_rounds(*args)
+
+    settle_in_rounds = dd.settle_in_rounds
+    monkeypatch.setattr(dd, "settle_in_rounds", settle)
+    assert merged_rows(gold, 10_000) == ordered_merge(whole(gold), CLOCK)
+    assert not in_rounds
+    a, b = {"id": "x", "publish_date": "2026-09-01"}, {"id": "x", "tender_id": "T1"}
+    twice = notices(spark, a, b, {"id": "x", "tender_id": "T2"}).withColumn("notice_key", F.least("notice_key", F.lit(1)))
+    dd.deduplicate(resolve_status(twice, now()), now()).members.collect()
+    assert in_rounds
+
+
 def test_survivor_keeps_what_it_has_gathered_on_equal_times(spark):
     base = {"id": "x", "tender_id": "T"}
     rows = [{**base, "documents": [("a", "u1")]}, {**base, "documents": [("a", "u2")]}, {**base, "documents": [("a", "u3"), ("b", "u4")]}]
