@@ -5,14 +5,18 @@ from __future__ import annotations
 import numpy as np
 
 WORD = 8
+RUN = 1 << 16  # positions looked at together
 
 
 def words_at(text: np.ndarray, at: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
     """The eight bytes from each position as big-endian numbers; bytes from ``left`` on count as zero."""
-    out = text[at[:, None] + np.arange(WORD)]
-    if left is not None:
-        out = np.where(np.arange(WORD) < left[:, None], out, 0)
-    return np.ascontiguousarray(out).view(">u8").ravel().astype(np.uint64)
+    out = np.empty(len(at), np.uint64)
+    for a in range(0, len(at), RUN):  # the places of all bytes of a run at once take 64 bytes a position
+        some = text[at[a : a + RUN, None] + np.arange(WORD)]
+        if left is not None:
+            some[np.arange(WORD) >= left[a : a + RUN, None]] = 0
+        out[a : a + RUN] = some.view(">u8").ravel()
+    return out
 
 
 class BlindTrie:

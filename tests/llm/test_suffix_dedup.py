@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -110,3 +111,17 @@ def test_repeated_rows_keep_the_same_bytes(spark):
     rows = [(1, "p" * 50 + "q" * 90)] * 3 + [(2, "q" * 90 + "p" * 50 + "q" * 90)]
     assert rows_of(suffix_dedup.repeated_passages(table(spark, rows), 100).select("doc_id", "n_bytes"))
     assert result(table(spark, rows), 100) == brute(rows, 100)
+
+
+def test_memory_a_window():
+    """All windows of a run of pieces are ordered in few numbers a window."""
+    rng = random.Random(3)
+    text = np.frombuffer(rng.randbytes(300_000) + bytes(256), np.uint8)
+    starts = np.arange(300_000)
+    tracemalloc.start()
+    order, rank = deep_shallow_order(text, starts, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * len(starts)
+    strings = [text[i : i + 100].tobytes() for i in order[:2000]]
+    assert strings == sorted(strings) and len(set(rank.tolist())) == len(set(starts.tolist()))
