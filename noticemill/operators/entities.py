@@ -72,16 +72,15 @@ def match_phrases(
     )
     longest = phrases.agg(F.coalesce(F.max("words"), F.lit(1)).alias("__longest"))  # one row
     words = texts.select(key, *carry, F.split(alias_key(F.col(text)), " ").alias("__words")).crossJoin(longest)
-    at = words.select(
-        key, *carry, "__words", "__longest", F.explode(F.sequence(F.lit(1), F.size("__words"))).alias("__i")
-    ).select(key, *carry, F.slice("__words", F.col("__i"), F.col("__longest")).alias("__next"))
+    at = words.select(key, *carry, "__words", "__longest", F.explode(F.sequence(F.lit(1), F.size("__words"))).alias("__i"))
 
     def opening(n: int) -> Column:
-        return F.when(F.size("__next") >= n, F.array_join(F.slice("__next", 1, n), " "))
+        return F.when(F.col("__i") + n - 1 <= F.size("__words"), F.array_join(F.slice("__words", F.col("__i"), n), " "))
 
-    starts = at.withColumn(
-        "__opening", F.explode(F.array_compact(F.array(*[opening(n) for n in range(1, OPENING_WORDS + 1)])))
-    )
+    # Only generated code runs up to the join, so that the words that follow are put together for the few rows that meet.
+    opened = at.select("*", F.explode(F.array(*[opening(n) for n in range(1, OPENING_WORDS + 1)])).alias("__opening"))
+    following = F.slice("__words", F.col("__i"), F.col("__longest")).alias("__next")
+    starts = opened.filter("__opening IS NOT NULL").select(key, *carry, "__opening", following)
     met = starts.join(openings, "__opening").filter(
         F.slice("__next", F.lit(1), F.size("__phrase")) == F.col("__phrase")
     )

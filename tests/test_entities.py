@@ -127,3 +127,12 @@ def test_directory_sources(spark):
     df = spark.createDataFrame([("a", "Punjab", ["s", "gem-direct-punjab"]), ("b", "Elsewhere", None)], "id string, region string, source_ids array<string>")
     got = {r.id: r.source_ids for r in en.with_region_sources(df).collect()}
     assert got == {"a": ["s", "gem-direct-punjab", "gem-priority-keywords"], "b": ["gem-priority-keywords"]}
+
+
+def test_phrases_meet_texts_in_generated_code(spark):
+    """A position's following words are put together after the join, which a lambda before it would prevent."""
+    p = spark.createDataFrame([("one two three four", "e", 4), ("five", "f", 1)], "phrase string, entity_id string, words int")
+    t = spark.createDataFrame([(1, "zero one two, three-four"), (2, "one two three"), (3, "Five"), (4, None), (5, "")], "notice_key long, text string")
+    met = en.match_phrases(t, p)
+    assert {(r.notice_key, r.entity_id) for r in met.collect()} == {(1, "e"), (3, "f")}
+    assert "lambda" not in met._jdf.queryExecution().executedPlan().toString()
