@@ -9,6 +9,7 @@ Spark's own regex expressions.
 from __future__ import annotations
 
 import re
+import re._parser as sre
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -94,6 +95,64 @@ def without_lookaheads(pattern: str) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=None)
+def needed_words(pattern: str) -> frozenset[tuple[str, bool]] | None:
+    """Runs of ASCII letters and digits, of which every match holds one, and whether they open a word; None: no such runs."""
+
+    def marks_only(op: object, value: object) -> bool:
+        """Whether an item always stands for characters outside of words."""
+        if op is sre.MAX_REPEAT:
+            return value[0] > 0 and len(value[2]) == 1 and marks_only(*value[2][0])
+        if op is sre.IN:
+            return all(marks_only(*v) for v in value)
+        if op is sre.CATEGORY:
+            return value is sre.CATEGORY_SPACE
+        return op is sre.LITERAL and not (chr(value).isalnum() or chr(value) == "_")
+
+    def best(items: list, edge: bool) -> frozenset[tuple[str, bool]] | None:
+        """``edge``: whether a letter that comes next opens a word."""
+        found, run, opens = [], [], edge
+        for i, (op, value) in enumerate([*items, (None, None)]):
+            if op is sre.LITERAL and chr(value).isascii() and chr(value).isalnum():
+                run.append((op, value))
+                continue
+            if op is sre.MAX_REPEAT and value[0] == 0 and value[1] == 1 and all(marks_only(*v) for v in value[2]):
+                each = [best([*run, *gap, *items[i + 1 :]], opens) for gap in (list(value[2]), [])]  # x-ray, xray
+                found.append(each[0] | each[1] if all(each) else None)
+            if op is sre.SUBPATTERN:
+                found.append(best([*run, *value[-1]], opens))
+            elif op is sre.BRANCH:
+                each = [best([*run, *b], opens) for b in value[1]]
+                found.append(frozenset().union(*each) if all(each) else None)
+            elif op is sre.MAX_REPEAT and value[0] > 0:
+                found.append(best(list(value[2]), False))
+            if run:
+                found.append(frozenset([("".join(chr(v).lower() for _, v in run), opens)]))
+            inside = op in (sre.ASSERT, sre.ASSERT_NOT) and not run and opens
+            run, opens = [], inside or (op is sre.AT and value is sre.AT_BOUNDARY) or marks_only(op, value)
+        return max(filter(None, found), key=lambda words: (min(len(w) + o for w, o in words), -len(words)), default=None)
+
+    return best(list(sre.parse(pattern)), False)
+
+
+def word_gate(patterns: list[str]) -> str | None:
+    """A pattern found in every text that holds a match of one of these; None if some may match without any word."""
+    each = [needed_words(p) for p in patterns]
+    if not each or not all(each):
+        return None
+    words = frozenset().union(*each)
+
+    def any_word(opening: bool) -> str:
+        ends: dict[str, set[str]] = {}
+        for word in (w for w, opens in words if opens == opening):
+            ends.setdefault(word[0], set()).add(word[1:])
+        # By first letter: a regex tries the words of an alternation one after the other.
+        return "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(ends.items()))
+
+    opening, other = any_word(True), any_word(False)
+    return "|".join([*([rf"\b(?:{opening})"] if opening else []), *([other] if other else [])])
+
+
 def matches(text: Column, pattern: str, flags: str = "i") -> Column:
     """True when the pattern occurs in the text; NULL text counts as no match."""
     return F.coalesce(text.rlike(java(pattern, flags)), F.lit(False))

@@ -131,12 +131,16 @@ def _bid_document_evidence(lines: Column) -> Column:
     return _sections(F.transform(lines, tag), kept)
 
 
+def without_marks(text: Column) -> Column:
+    return F.translate(text, _MARK, "")
+
+
 def product_evidence(text: Column) -> Column:
     """Text without administrative sections; bid documents keep item and technical sections only.
 
     Headings are looked for line by line.
     """
-    clean = F.translate(F.regexp_replace(text, "\r\n?", "\n"), _MARK, "")
+    clean = without_marks(F.regexp_replace(text, "\r\n?", "\n"))
 
     def evidence(t: Column) -> Column:
         return let(

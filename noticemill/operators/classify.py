@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import first_present, present
-from ..functions.patterns import any_of, java, let, matches, occurrences, once, position, without_lookaheads
-from ..functions.text import product_evidence, without_clinical_context
+from ..functions.patterns import any_of, java, let, matches, occurrences, once, position, without_lookaheads, word_gate
+from ..functions.text import product_evidence, without_clinical_context, without_marks
 from ..sources import medical_rules as rules
 
 # Scope wording used by the product/infrastructure decision.
@@ -64,6 +64,15 @@ class RuleBook:
         """Superset of all rules, cheap enough to run on every row."""
         return any_of([without_lookaheads(p) for _, p in self.taxonomy])
 
+    @property
+    def words(self) -> str | None:
+        """Found in every text whose evidence can match a rule: what evidence leaves out are whole words.
+
+        Text that a category strips first may be less, so its own words count too.
+        """
+        context = [self.context_rule["pattern"]] if self.context_rule else []
+        return word_gate([p for _, p in self.taxonomy] + context + list(self.strip_before.values()))
+
 
 MEDICAL = RuleBook(
     taxonomy=rules.TAXONOMY,
@@ -189,7 +198,26 @@ def classification(
     both = F.struct(
         F.coalesce(text, empty).alias("t"), F.coalesce(text if scope is None else scope, empty).alias("s")
     )
-    return let(let(both, lambda b: prepare(b["t"], b["s"])), scan)
+
+    def judged(b: Column) -> Column:
+        full = let(prepare(b["t"], b["s"]), scan)
+        if book.words is None:
+            return full
+        worded = matches(without_marks(b["t"]), book.words)
+        if scope is not None:
+            worded = worded | matches(without_marks(b["s"]), book.words)
+        # Texts without any of the rules' words have no hit, and their evidence need not be found.
+        return F.when(worded, full).otherwise(no_match(brands))
+
+    return let(both, judged)
+
+
+def no_match(brands: bool) -> Column:
+    fields = [
+        _no_strings().alias("categories"), _no_strings().alias("matched_keywords"), F.lit(0.0).alias("confidence"),
+        F.lit(False).alias("is_relevant"),
+    ]
+    return F.struct(*fields, *([F.array().cast(BRAND_MATCHES).alias("brand_matches")] if brands else []))
 
 
 def _in_context(scope: Column, product_category: Column, rule: dict | None) -> Column:

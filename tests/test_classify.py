@@ -1,6 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
-from noticemill.operators.classify import classify, generic_candidate, opaque_candidate, priority_groups
+from noticemill.functions.patterns import needed_words, word_gate
+from noticemill.operators.classify import MEDICAL, classify, generic_candidate, opaque_candidate, priority_groups
 from noticemill.operators.quality import category_candidates
 
 from .helpers import notices
@@ -107,3 +110,31 @@ def test_category_candidates_union(spark):
     )
     got = {(r.notice_key, r.grp, r.is_confirmed) for r in category_candidates(rows).collect()}
     assert got == {(1, "ULTRASOUND", False), (2, "VENTILATORS", True)}
+
+
+def test_words_that_every_match_holds():
+    """Texts without them skip the evidence steps and all rules."""
+    assert needed_words(r"\b(?:c[ -]?arms?|ct scan\w*|pa?ediatric bed)\b") == {
+        ("arm", True), ("carm", True), ("scan", True), ("ediatric", False)}
+    assert needed_words(r"\b(?:e[ck]g|holter)\b") is not None and needed_words(r"\b(?:\d+|holter)\b") is None
+    assert word_gate([r"\bx\b", r"\d"]) is None and word_gate([]) is None
+    for text, groups in GROUPS.items():
+        assert not groups or re.search(MEDICAL.words, text, re.I), text
+    hits = 0
+    for pattern in [p for _, p in MEDICAL.taxonomy]:
+        for text in ["X-Ray", "xrays", "c arm", "CARMS", "ultra sound", "2 slice ct", "ECG", "pulse oximeters", "paediatric beds", "AED defibrillator", "Central monitors"]:
+            if re.search(pattern, text, re.I):
+                hits += 1
+                assert re.search(word_gate([pattern]), text, re.I), (pattern, text)
+    assert hits >= 8
+    assert not re.search(MEDICAL.words, "charm, hexrays and other flooring", re.I)
+
+
+def test_words_split_by_removed_text_still_count(spark):
+    """Rooms, marks and sections that evidence leaves out may bring the parts of a phrase together."""
+    rows = ["patient\x01 monitor", "ven\x01tilator", "ICU ward beds", "central\nICU room\nmonitor for patients", "pet ct", "plain"]
+    t = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    c = classify(t, F.col("text"), brands=True).orderBy("i").collect()
+    assert [r.classification.is_relevant for r in c][:2] == [True, True]
+    assert c[5].classification.asDict() == {
+        "categories": [], "matched_keywords": [], "confidence": 0.0, "is_relevant": False, "brand_matches": []}
