@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import Scratch, cut
 
 
 def connected_components(edges: DataFrame, node: str = "node", key: str = "key") -> DataFrame:
@@ -39,3 +39,29 @@ def connected_components(edges: DataFrame, node: str = "node", key: str = "key")
     return everyone.join(labels, "node", "left").select(
         F.col("node").alias(node), F.coalesce("component", "node").alias("component")
     )
+
+
+def contracted_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the nodes that share a key with another: one root for all that are reachable over shared keys.
+
+    ``edges`` is a (node, key) table of hashes.  Each turn moves every node to the smallest one that shares a key with
+    it and goes on with the keys that then still tie different nodes together.  As hashes stand in a random order, even
+    a chain shrinks by a constant factor with each turn.
+    """
+    left, met, moves = edges.distinct(), None, []
+    while True:
+        shared = left.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+        before, met = met, scratch.keep(left.join(shared.select("key", "lo"), "key").select("node", "key", "lo"))
+        if before is not None:
+            scratch.drop(before)
+        if met.isEmpty():
+            break
+        moves.append(scratch.keep(met.groupBy("node").agg(F.min("lo").alias("root"))))
+        left = met.join(moves[-1], "node").select(F.col("root").alias("node"), "key").distinct()
+    roots = moves.pop() if moves else met.select("node", F.col("lo").alias("root"))
+    while moves:
+        further = roots.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        followed = moves[-1].join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+        before, roots = roots, scratch.keep(followed)
+        scratch.drop(before, moves.pop())
+    return roots

@@ -5,8 +5,8 @@ first one it matches; the better of the two gives the survivor its identity, and
 documents of both stay.  That order only matters inside a set of records that can
 match at all, so the job
 
-1. reduces records to distinct identity signatures (map-side; copies vanish here),
-2. connects signatures over shared keys (a safe superset of the match rule),
+1. writes what it needs of each record once, short, and names each record by its first key,
+2. connects names over the other keys (a safe superset of the match rule; copies vanish here),
 3. places the records of components of bounded size one by one, each component in
    one task; of the larger ones, 4 to 6,
 4. takes components whose members all match each other as they are, by aggregates,
@@ -23,7 +23,6 @@ record, so all steps are joins and aggregates.  Provenance stays in child tables
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,9 +39,21 @@ from ..functions.identifiers import (
 )
 from ..functions.patterns import matches
 from ..functions.urls import specific_document
-from ..plans.lineage import cut
-from .components import connected_components
-from .ordered_fold import LEAF_ROWS, RECORD, first_matches, fold_members, place_components, standing_column
+from ..plans.lineage import Scratch, cut
+from .components import contracted_components
+from .ordered_fold import (
+    ANY,
+    LEAF_ROWS,
+    NONE,
+    RECORD,
+    document_set,
+    first_matches,
+    fold_members,
+    item_column,
+    item_parts,
+    place_components,
+    standing_column,
+)
 from .ranking import chunked_row_number, first_rows
 
 # Which sources are live indexes, and the portal/mirror pair.
@@ -53,7 +64,7 @@ PORTAL_ID = r"^20\d{2}_PGIME_\d+_\d+$"
 FRESH_SECONDS, AHEAD_SECONDS = 86_400, 300
 
 IDENTITY = ["id", "tkey", "authority", "day", "title", "url", "reference", "item", "role", "docs"]
-HASH_BITS = 2**40 - 1  # sums of so short hashes stay within 64 bits
+FLAGS = ["terminal", "index", "stale", "fresh_index", "fresh_portal", "detail"]
 
 
 def _col(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -70,8 +81,24 @@ def index_source(source_id: Column) -> Column:
 
 def identity_columns(tenders: DataFrame, now: Column) -> DataFrame:
     """Narrow table: identity, decision class and order of each record."""
+    return told_columns(narrow_columns(tenders, now))
+
+
+def told_columns(narrow: DataFrame) -> DataFrame:
+    """The identity table from what is written of it."""
+    own = {"docs": document_set(F.col("items")), "own": F.size("items").cast("long"), "standing": _standing()}
+    return narrow.withColumns(own).drop("flags")
+
+
+def _standing() -> Column:
+    flags = {name: F.col("flags").bitwiseAND(F.lit(1 << i)) != 0 for i, name in enumerate(FLAGS)}
+    pair = F.when(F.col("role").isNotNull(), F.md5(F.concat_ws("\x01", F.col("item"), F.col("title"))))
+    return standing_column(flags, F.col("role"), pair)
+
+
+def narrow_columns(tenders: DataFrame, now: Column) -> DataFrame:
+    """What the merge has to know of each record, without what follows from it."""
     docs = _col(tenders, "documents", "array<struct<label:string,url:string>>")
-    urls = F.array_sort(F.transform(docs, lambda d: d["url"]))
     item = item_reference(_col(tenders, "reference_number"))
     tender_id = present(_col(tenders, "tender_id"))
     portal = (
@@ -91,17 +118,10 @@ def identity_columns(tenders: DataFrame, now: Column) -> DataFrame:
     is_index = index_source(F.col("source_id")) & matches(tender_id, INDEX_ID)
     recent = within(observed, now, FRESH_SECONDS, AHEAD_SECONDS)
     detail = _flag(_col(tenders, "verification") == "detail")
-    corrigenda = _col(tenders, "corrigenda", "array<struct<url:string>>")
     amendments = _col(tenders, "corrigenda", f"array<struct<{AMENDMENT}>>")
     described = present(_col(tenders, "description")).isNotNull()
-    own = (
-        F.greatest(F.coalesce(F.size(docs), F.lit(0)), F.lit(0))
-        + F.greatest(F.coalesce(F.size(amendments), F.lit(0)), F.lit(0))
-        + F.when(described, 1).otherwise(0)
-    )
     url = _col(tenders, "tender_url")
     reference = _col(tenders, "reference_number")
-    title = identity_key(F.col("title"))
     role = F.when(portal, "portal").when(mirror, "mirror")
     flags = {
         "terminal": _flag(F.col("status").isin("CANCELLED", "WITHDRAWN")),
@@ -116,9 +136,9 @@ def identity_columns(tenders: DataFrame, now: Column) -> DataFrame:
         "detail": detail,
     }
     items = F.concat(
-        F.transform(F.coalesce(docs, F.array()), lambda d: _item("doc", F.coalesce(d["url"], F.lit("")))),
-        F.transform(F.coalesce(amendments, F.array()), lambda c: _item("amendment", F.to_json(c))),
-        F.when(described, F.array(_item("described", F.lit("")))).otherwise(F.array()),
+        F.transform(F.coalesce(docs, F.array()), lambda d: item_column("doc", F.coalesce(d["url"], F.lit("")))),
+        F.transform(F.coalesce(amendments, F.array()), lambda c: item_column("amendment", F.to_json(c))),
+        F.when(described, F.array(item_column("described", F.lit("")))).otherwise(F.array()),
     )
     return tenders.select(
         "notice_key",
@@ -132,17 +152,15 @@ def identity_columns(tenders: DataFrame, now: Column) -> DataFrame:
             F.lit(""),
         ).alias("authority"),
         present(calendar_prefix(_col(tenders, "publish_date"))).alias("day"),
-        title.alias("title"),
+        identity_key(F.col("title")).alias("title"),
         F.when(specific_document(url), url).alias("url"),
         # A reference of marks only is still a reference, with an empty key.
         F.when(present(reference).isNotNull(), identity_key(reference)).alias("reference"),
         item.alias("item"),
         role.alias("role"),
-        _document_set(docs).alias("docs"),
         _flag(F.size(docs) > F.size(F.array_distinct(F.transform(docs, lambda d: d["url"])))).alias("repeats"),
-        standing_column(flags, role, F.when(role.isNotNull(), F.md5(F.concat_ws("\x01", item, title)))).alias("standing"),
+        sum((F.when(flags[name], 1 << i).otherwise(0) for i, name in enumerate(FLAGS)), F.lit(0)).alias("flags"),
         F.coalesce(F.unix_micros(observed), F.lit(-(2**62))).alias("observed"),
-        own.cast("long").alias("own"),
         items.alias("items"),
     )
 
@@ -150,48 +168,39 @@ def identity_columns(tenders: DataFrame, now: Column) -> DataFrame:
 AMENDMENT = "title:string,type:string,published_date:string,revised_closing_date:string,url:string"
 
 
-def _item(kind: str, value: Column) -> Column:
-    """Evidence that counts once in a group, with two short hashes of it."""
-    hashes = [F.xxhash64(value, F.lit(salt)).bitwiseAND(F.lit(HASH_BITS)) for salt in (1, 2)]
-    return F.struct(F.lit(kind).alias("kind"), F.md5(value).alias("item"), hashes[0].alias("a"), hashes[1].alias("b"))
-
+def _with_documents(refs: Column, docs: Column) -> Column:
+    return F.transform(refs, lambda r: F.md5(F.concat(r, docs)))
 
-def _field(name: str) -> Callable[[Column], Column]:
-    return lambda x: x[name]
 
+def _key_parts() -> dict[str, tuple[Column, list[str]]]:
+    """By tag, where a record has the key of one of the positive match clauses, and what the key is made of."""
+    c = F.col
+    return {
+        "i": (c("id").isNotNull(), ["id"]),
+        "t": (c("tkey").isNotNull(), ["tkey"]),
+        "u": (c("url").isNotNull(), ["title", "url"]),
+        "r": (c("reference").isNotNull() & c("authority").isNotNull(), ["reference", "title", "authority"]),
+        "p": (c("role").isNotNull(), ["item", "title"]),
+    }
 
-def _with_documents(refs: Column, docs: Column) -> Column:
-    return F.transform(refs, lambda r: F.md5(F.concat(r, docs)))
 
+def names_and_links() -> dict[str, Column]:
+    """``name``, a hash of a record's first key, and ``links``, hashes of the others.
 
-def _document_set(docs: Column) -> Column:
-    """A set of documents as its size and sums of hashes, which can be added up; null without documents."""
-    hashes = F.transform(docs, lambda d: _item("doc", F.coalesce(d["url"], F.lit(""))))
-    total = [F.aggregate(F.transform(hashes, _field(f)), F.lit(0).cast("long"), lambda t, x: t + x) for f in ("a", "b")]
-    return F.when(F.size(docs) > 0, F.concat_ws(":", F.size(docs).cast("string"), *[t.cast("string") for t in total]))
+    Records of one name are connected.  An id comes first and is a link of nobody; a record that is named by another
+    key has it among its links as well, as others may.  Hashes that clash connect more than they must, which is safe.
+    """
+    hashed = {tag: F.when(ok, F.xxhash64(F.lit(tag), *parts)) for tag, (ok, parts) in _key_parts().items()}
+    first, *others = hashed.values()
+    lone = F.xxhash64(F.lit("-"), "notice_key", "ordinal")
+    return {"name": F.coalesce(first, *others, lone), "links": F.array_compact(F.array(*others))}
 
 
 def match_keys() -> Column:
     """Every key one of the positive match clauses needs; sharing none means no match."""
 
-    def key(tag: str, ok: Column, *parts: Column) -> Column:
-        return F.when(ok, F.concat_ws("|", F.lit(tag), *parts))
-
-    return F.array_compact(
-        F.array(
-            key("t", F.col("tkey").isNotNull(), F.col("tkey")),
-            key("i", F.col("id").isNotNull(), F.col("id")),
-            key("u", F.col("url").isNotNull(), F.col("title"), F.col("url")),
-            key(
-                "r",
-                F.col("reference").isNotNull() & F.col("authority").isNotNull(),
-                F.col("reference"),
-                F.col("title"),
-                F.col("authority"),
-            ),
-            key("p", F.col("role").isNotNull(), F.col("item"), F.col("title")),
-        )
-    )
+    made = [F.when(ok, F.concat_ws("|", F.lit(tag), *parts)) for tag, (ok, parts) in _key_parts().items()]
+    return F.array_compact(F.array(*made))
 
 
 def _keys(tag: str, ok: Column, fixed: list[Column], options: list[list[Column]]) -> Column:
@@ -212,9 +221,6 @@ def _all_present(parts: list[Column]) -> Column:
     return ok
 
 
-ANY, NONE = "*", "-"  # keys of any value, and of a missing one
-
-
 def _named(value: Column) -> Column:
     return F.concat(F.lit("="), value)
 
@@ -343,7 +349,7 @@ def settle_in_rounds(records: DataFrame, last_rank: int, leaf_rows: int) -> Data
         )
         folded = fold_members(
             members.select("grp", "leaf", "at", "sig", "standing", "observed", "own", "raw_docs"),
-            members.select("grp", "at", F.explode("items").alias("i")).select("grp", "at", "i.*"),
+            _evidence(members),
             last_rank >= leaf_rows,
         )
         lasts = open_.filter("rank = 0").select("component", "last")
@@ -355,6 +361,11 @@ def settle_in_rounds(records: DataFrame, last_rank: int, leaf_rows: int) -> Data
         )
 
 
+def _evidence(members: DataFrame) -> DataFrame:
+    items = members.select("grp", "at", F.explode("items").alias("i"))
+    return items.select("grp", "at", *[c.alias(name) for name, c in item_parts(F.col("i")).items()])
+
+
 @dataclass
 class Deduplicated:
     """``members`` maps every record to its survivor; the rest is keyed by survivor."""
@@ -382,49 +393,57 @@ class Deduplicated:
         return out.join(gathered(self.amendments, fields, "corrigenda"), "notice_key", "left")
 
 
-def assign_groups(identities: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(notice_key, grp, survivor_key, won) for every record; ``won`` marks those that were the best when they came.
+def assign_groups(narrow: DataFrame, scratch: Scratch, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(notice_key, ordinal, grp, survivor_key, won) for every record; ``won`` marks those that were the best when they came.
 
-    Components of up to ``leaf_rows`` records are placed one by one in a task; larger ones in rounds.
+    ``narrow`` (``narrow_columns``) is a table of ``scratch`` and is dropped.  Components of up to ``leaf_rows`` records
+    are placed one by one in a task; larger ones in rounds.
     """
-    sig_cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in IDENTITY]
-    ident = identities.withColumn("signature", _short(F.concat_ws("\x01", *sig_cols)))
-    keys = F.transform(match_keys(), _short)
-    signatures = cut(ident.groupBy("signature").agg(F.first(keys).alias("keys"), F.count(F.lit(1)).alias("copies")))
-    edges = signatures.select("signature", F.explode("keys").alias("key"))
-    placed = signatures.select("signature", "copies").join(connected_components(edges, "signature", "key"), "signature", "left")
-    placed = cut(placed.withColumn("component", F.coalesce("component", "signature")))
-    sizes = placed.groupBy("component").agg(F.sum("copies").alias("size"))
-    kind = F.when(F.col("size") == 1, "alone").when(F.col("size") <= leaf_rows, "small").otherwise("large")
-    kinds = placed.join(sizes, "component").select("signature", "component", kind.alias("kind"))
-    unclear = ident.groupBy("notice_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("ordinal").isNull()).alias("unplaced"))
-    unclear = cut(unclear.filter("n > 1 OR unplaced OR notice_key IS NULL").select("notice_key"))
-    if not unclear.isEmpty():  # records that no key tells apart, or without a place
+    named = narrow.withColumns(names_and_links())
+    roots = contracted_components(named.select(F.col("name").alias("node"), F.explode("links").alias("key")), scratch)
+    sizes = named.groupBy("name").agg(F.count(F.lit(1)).alias("size")).join(roots.withColumnRenamed("node", "name"), "name", "left")
+    # names of one record that share no key have no component
+    met = sizes.filter("size > 1 OR root IS NOT NULL").select("name", F.coalesce("root", "name").alias("component"), "size")
+    met = scratch.keep(met)
+    scratch.drop(roots)
+    large = met.groupBy("component").agg(F.sum("size").alias("size")).filter(F.col("size") > leaf_rows).select("component")
+    unclear = narrow.groupBy("notice_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("ordinal").isNull()).alias("unplaced"))
+    unclear = scratch.keep(unclear.filter("n > 1 OR unplaced OR notice_key IS NULL").select("notice_key"))
+    clear = unclear.isEmpty()
+    if not clear:  # records that no key tells apart, or without a place
         same = F.col("notice_key").eqNullSafe(F.col("__key"))
-        held = ident.join(unclear.withColumnRenamed("notice_key", "__key"), same, "left_semi").select("signature")
-        held = placed.join(held, "signature", "left_semi").select("component", F.lit(True).alias("held")).distinct()
-        large = (F.col("kind") == "small") & F.col("held").isNotNull()
-        kinds = kinds.join(held, "component", "left").withColumn("kind", F.when(large, "large").otherwise(F.col("kind"))).drop("held")
-    kinds = cut(kinds)
-    alone = ident.join(kinds.filter("kind = 'alone'"), "signature").select(
-        "notice_key", F.hex("signature").alias("grp"), F.col("notice_key").alias("survivor_key"), F.lit(True).alias("won")
+        held = named.join(unclear.withColumnRenamed("notice_key", "__key"), same, "left_semi").select("name")
+        large = large.union(met.join(held, "name", "left_semi").select("component")).distinct()
+    large = scratch.keep(large)
+    rows = scratch.keep(named.drop("links").join(met.select("name", "component"), "name", "left").drop("name"))
+    scratch.drop(met, *[narrow] if clear else [])
+    alone = rows.filter("component IS NULL").select(
+        "notice_key", "ordinal", F.hex(names_and_links()["name"]).alias("grp"), F.col("notice_key").alias("survivor_key"), F.lit(True).alias("won")
     )
-    small = ident.join(kinds.filter("kind = 'small'"), "signature").drop("signature", "kind", "repeats")
-    # keys are made where the records are placed: they are many times as long as what they are made of
-    ordered = small.repartition("component").sortWithinPartitions("component", "ordinal", "notice_key")
-    records = ordered.withColumns({**offered_keys(), "asked": asked_keys(), "component": F.hex("component")}).select(*RECORD)
-    found = alone.unionByName(place_components(records))
-    large = kinds.filter("kind = 'large'").drop("kind")
-    return found if large.isEmpty() else found.unionByName(assign_in_rounds(ident, large, leaf_rows))
+    rows = rows.filter("component IS NOT NULL")
+    in_rounds = not large.isEmpty()
+    small = rows.join(large, "component", "left_anti") if in_rounds else rows
+    # what follows from a record is made where it is placed: it is many times as long
+    ordered = small.drop("repeats").repartition("component").sortWithinPartitions("component", "ordinal", "notice_key")
+    found = alone.unionByName(place_components(ordered.withColumn("standing", _standing())))
+    if in_rounds:
+        found = found.unionByName(assign_in_rounds(rows.join(large, "component", "left_semi"), leaf_rows))
+    if clear:
+        return found
+    # a key that several records have stands for each of their places
+    known = found.filter("notice_key IS NOT NULL")
+    several = known.join(unclear, "notice_key", "left_semi").drop("ordinal").join(narrow.select("notice_key", "ordinal"), "notice_key")
+    return known.join(unclear, "notice_key", "left_anti").unionByName(several)
 
 
 def _short(value: Column) -> Column:
     return F.unhex(F.md5(value))
 
 
-def assign_in_rounds(ident: DataFrame, large: DataFrame, leaf_rows: int) -> DataFrame:
-    """(notice_key, grp, survivor_key, won) for the records of components of any size: ``large`` has signature and component."""
-    rows = ident.join(large, "signature").withColumn("component", F.hex("component"))
+def assign_in_rounds(rows: DataFrame, leaf_rows: int) -> DataFrame:
+    """(notice_key, ordinal, grp, survivor_key, won) for records of components of any size."""
+    sig_cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in IDENTITY]
+    rows = told_columns(rows).withColumns({"component": F.hex("component"), "signature": _short(F.concat_ws("\x01", *sig_cols))})
     placed = cut(rows.groupBy("component", "signature").agg(*[F.first(c).alias(c) for c in [*IDENTITY, "repeats"]]))
     grp = F.when(F.col("by_id"), F.concat(F.lit("t|"), "tkey")).when(~F.col("by_id"), F.col("component"))
     order = [F.col("ordinal"), F.col("notice_key")]
@@ -446,19 +465,19 @@ def assign_in_rounds(ident: DataFrame, large: DataFrame, leaf_rows: int) -> Data
         ranked = ranked.join(told, "notice_key", "left").withColumn("grp", F.coalesce("grp", "settled")).drop("settled")
     members = cut(
         ranked.select(
-            "notice_key", "grp", F.col("rank").alias("at"), F.floor(F.col("rank") / F.lit(leaf_rows)).alias("leaf"),
+            "notice_key", "ordinal", "grp", F.col("rank").alias("at"), F.floor(F.col("rank") / F.lit(leaf_rows)).alias("leaf"),
             "standing", "observed", "own", "items",
         )
     )
     folded = fold_members(
         members.select("grp", "leaf", "at", F.lit("").alias("sig"), "standing", "observed", "own", F.lit("").alias("raw_docs")),
-        members.select("grp", "at", F.explode("items").alias("i")).select("grp", "at", "i.*"),
+        _evidence(members),
         (last_rank or 0) >= leaf_rows,
     )
     folded = cut(folded.select("grp", "at", "won", "best"))
     final = folded.groupBy("grp").agg(F.max_by("best", "at").alias("at"))
     survivor = final.join(members, ["grp", "at"]).select("grp", F.col("notice_key").alias("survivor_key"))
-    return members.join(folded, ["grp", "at"]).join(survivor, "grp").select("notice_key", "grp", "survivor_key", "won")
+    return members.join(folded, ["grp", "at"]).join(survivor, "grp").select("notice_key", "ordinal", "grp", "survivor_key", "won")
 
 
 # Values a survivor takes from another member when its own is missing.
@@ -492,9 +511,10 @@ def deduplicate(tenders: DataFrame, now: Column, leaf_rows: int = LEAF_ROWS) ->
     A value that a survivor fills comes from the last record that was the best and has it, else from the first member
     that has it.  Groups are folded in chunks of ``leaf_rows`` places.
     """
-    # The narrow identity table is read several times; write it once.
-    ident = cut(identity_columns(tenders, now))
-    members = cut(assign_groups(ident, leaf_rows).join(ident.select("notice_key", "ordinal"), "notice_key"))
+    with Scratch(tenders.sparkSession) as scratch:
+        # The narrow table is read several times; write it once.
+        narrow = scratch.keep(narrow_columns(tenders, now))
+        members = cut(scratch.keep(assign_groups(narrow, scratch, leaf_rows)))
     members = members.withColumn("is_survivor", F.col("notice_key") == F.col("survivor_key"))
     # Survivor first, then the other members in input order.
     place = F.struct((~F.col("is_survivor")).alias("other"), F.col("ordinal").alias("ordinal"))

@@ -7,10 +7,9 @@ chunks' descriptions gives everyone who enters, and a second pass over the membe
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
@@ -348,9 +347,87 @@ def first_matches(states: DataFrame, asked: DataFrame, last_rank: int, leaf_rows
     return found.groupBy("component", "rank").agg(F.min("s").alias("s"))
 
 
+# Evidence that counts once in a group: a letter for its kind, and a digest whose first bytes are two short hashes.
+KINDS = {"doc": b"d", "amendment": b"a", "described": b"t"}
+HALVES = (2, 7)  # where the two begin, counted from 1, and their length
+HALF = 5  # bytes; sums of so short hashes stay within 64 bits
+
+
+def item_column(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(KINDS[kind]), F.unhex(F.md5(value)))
+
+
+def item_parts(item: Column) -> dict[str, Column]:
+    """Kind, item and hashes as ``fold_members`` wants them."""
+    kind = F.when(F.substring(item, 1, 1) == F.lit(KINDS["doc"]), "doc").otherwise("other")
+    a, b = (F.conv(F.hex(F.substring(item, h, HALF)), 16, 10).cast("long") for h in HALVES)
+    return {"kind": kind, "item": item, "a": a, "b": b}
+
+
+def document_set(items: Column) -> Column:
+    """A set of documents as its size and sums of hashes, which can be added up; null without documents."""
+    docs = F.filter(items, lambda i: item_parts(i)["kind"] == "doc")
+    hashes = F.transform(docs, lambda i: F.struct(*[c.alias(name) for name, c in item_parts(i).items()]))
+    total = [F.aggregate(hashes.getField(f), F.lit(0).cast("long"), lambda t, x: t + x) for f in ("a", "b")]
+    return F.when(F.size(docs) > 0, F.concat_ws(":", F.size(docs).cast("string"), *[t.cast("string") for t in total]))
+
+
+def _hashes(item: bytes) -> tuple[int, int] | None:
+    """The two short hashes of a document."""
+    if item[:1] != KINDS["doc"]:
+        return None
+    a, b = (int.from_bytes(item[h - 1 : h - 1 + HALF], "big") for h in HALVES)
+    return a, b
+
+
 # Records of a component as rows, in order of their places.
-RECORD = ["component", "notice_key", "standing", "observed", "own", "docs", "items", "fixed", "refs", "asked"]
+RECORD = ["component", "notice_key", "ordinal", "id", "tkey", "authority", "day", "title", "url", "reference", "item", "role",
+          "standing", "observed", "items"]
 Record = NamedTuple("Record", [(name, object) for name in RECORD])
+ANY, NONE = "*", "-"  # stand in keys for any value, and for a missing one
+OPPOSITE = {"portal": "mirror", "mirror": "portal"}
+
+
+def _under(value: str | None) -> tuple[str, str]:
+    """What a survivor is found by."""
+    return (ANY, NONE) if value is None else (ANY, "=" + value)
+
+
+def _wanted(value: str | None) -> tuple[str, ...]:
+    """What a record asks for: a missing value matches any."""
+    return (ANY,) if value is None else ("=" + value, NONE)
+
+
+def _keys_of(r: Record, role: str | None, others: tuple[str, ...], of: Callable, docs: tuple[str, ...]) -> list[tuple]:
+    """Keys by each clause of the match rule, with each choice of what may be missing; as in ``dedupe.offered_keys``."""
+    keys: list[tuple] = []
+    if r.tkey is not None:
+        keys.append(("t", r.tkey))
+    if r.id is not None:
+        keys += [("i", r.id, o) for o in others]
+    if r.title is None:
+        return keys
+    if role is not None and r.item is not None:
+        keys.append(("p", role, r.item, r.title))
+    if r.url is not None:
+        keys += [("u", r.url, r.title, o, a, d) for o in others for a in of(r.authority) for d in of(r.day)]
+    if r.reference is not None and r.authority is not None:
+        keys += [("r", r.reference, r.title, r.authority, o, d, x) for o in others for d in of(r.day) for x in docs]
+    return keys
+
+
+def offered(r: Record, docs: str | None) -> list[tuple]:
+    """Keys under which a survivor with these documents can be found while ``r`` is its best record."""
+    return _keys_of(r, r.role, _under(r.tkey)[: 1 + (r.tkey is None)], _under, _under(docs))
+
+
+def asked(r: Record, docs: str | None) -> list[tuple]:
+    """Keys that a record with these documents looks its survivor up by."""
+    return _keys_of(r, OPPOSITE.get(r.role), (ANY,) if r.tkey is None else (NONE,), _wanted, _wanted(docs))
+
+
+def _told(n: int, a: int, b: int) -> str | None:
+    return f"{n}:{a}:{b}" if n else None
 
 
 class Survivor:
@@ -359,69 +436,66 @@ class Survivor:
     def __init__(self):
         self.best: Record | None = None
         self.size = self.first_own = 0
-        self.seen: set[tuple] = set()
+        self.seen: set[bytes] = set()
         self.sums = (0, 0, 0)
         self.docs: str | None = None
         self.shown: tuple | None = None  # best record and documents that its keys were made of
-        self.keys: frozenset[str] = frozenset()
+        self.keys: frozenset[tuple] = frozenset()
 
-    def join(self, new: Record) -> bool:
-        """Whether the new member became the best."""
-        gathered = self.first_own if self.size == 1 else len(self.seen)
+    def join(self, new: Record, docs: str | None) -> bool:
+        """Whether the new member, which has these documents, became the best."""
+        gathered, own = self.first_own if self.size == 1 else len(self.seen), len(new.items)
         won = outranks(new.standing, self.best.standing if self.best else "")
         if won is None:
             won = new.observed > self.best.observed or (
-                new.observed == self.best.observed and wins_tie(new.standing, new.own, self.best.standing, gathered)
+                new.observed == self.best.observed and wins_tie(new.standing, own, self.best.standing, gathered)
             )
         if won:
             self.best = new
         n, a, b = self.sums
         for i in new.items:
-            what = i["kind"], i["item"]
-            if what not in self.seen:
-                self.seen.add(what)
-                if i["kind"] == "doc":
-                    n, a, b = n + 1, a + i["a"], b + i["b"]
+            if i not in self.seen:
+                self.seen.add(i)
+                if (hashes := _hashes(i)) is not None:
+                    n, a, b = n + 1, a + hashes[0], b + hashes[1]
         self.sums = n, a, b
         if self.size == 0:
-            self.first_own, self.docs = new.own, new.docs
+            self.first_own, self.docs = own, docs
         else:
-            self.docs = f"{n}:{a}:{b}" if n else None
+            self.docs = _told(n, a, b)
         self.size += 1
         return won
 
-    def offered(self) -> frozenset[str]:
-        own = "-" if self.docs is None else f"={self.docs}"
-        refs = [hashlib.md5(f"{r}{d}".encode()).hexdigest() for r in self.best.refs for d in ("*", own)]
-        return frozenset([*self.best.fixed, *refs])
-
 
 def place_in_order(records: list[Record]) -> list[tuple]:
-    """(notice_key, grp, survivor_key, won) of a component's records, each placed with the first survivor that it meets."""
+    """(notice_key, ordinal, grp, survivor_key, won) of a component's records, each placed with the first survivor it meets."""
     survivors: list[Survivor] = []
-    under: dict[str, list[int]] = {}  # survivors by key, the first on top; some have left the key since
+    under: dict[tuple, list[int]] = {}  # survivors by key, the first on top; some have left the key since
     placed = []
     for record in records:
+        hashes = [h for i in record.items if (h := _hashes(i)) is not None]
+        docs = _told(len(hashes), sum(a for a, _ in hashes), sum(b for _, b in hashes))
         found = len(survivors)
-        for key in record.asked:
-            there = under.get(key, ())
+        for key in asked(record, docs):
+            there = under.get(key)
             while there and key not in survivors[there[0]].keys:
                 heapq.heappop(there)
-            if there:
-                found = min(found, there[0])
+            if there and there[0] < found:
+                found = there[0]
         if found == len(survivors):
             survivors.append(Survivor())
         joined = survivors[found]
-        placed.append((record.notice_key, found, joined.join(record)))
-        if (now := (joined.best, joined.docs)) != joined.shown:
-            before, joined.keys, joined.shown = joined.keys, joined.offered(), now
+        placed.append((record.notice_key, record.ordinal, found, joined.join(record, docs)))
+        if joined.shown is None or joined.best is not joined.shown[0] or joined.docs != joined.shown[1]:
+            before, joined.shown = joined.keys, (joined.best, joined.docs)
+            joined.keys = frozenset(offered(joined.best, joined.docs))
             for key in joined.keys - before:
                 heapq.heappush(under.setdefault(key, []), found)
-    return [(k, f"{records[0].component}/{s}", survivors[s].best.notice_key, won) for k, s, won in placed]
+    return [(k, o, f"{records[0].component:X}/{s}", survivors[s].best.notice_key, won) for k, o, s, won in placed]
 
 
 def place_components(records: DataFrame) -> DataFrame:
-    """(notice_key, grp, survivor_key, won) of records (``RECORD``) whose components each fit one task's memory.
+    """(notice_key, ordinal, grp, survivor_key, won) of records (``RECORD``) whose components each fit one task's memory.
 
     A partition must hold its components whole, sorted by component and place.
     """
@@ -433,7 +507,7 @@ def place_components(records: DataFrame) -> DataFrame:
         if first is None:
             return
         key = first.schema.field("notice_key").type
-        schema = pa.schema([("notice_key", key), ("grp", pa.string()), ("survivor_key", key), ("won", pa.bool_())])
+        schema = pa.schema([("notice_key", key), ("ordinal", pa.int64()), ("grp", pa.string()), ("survivor_key", key), ("won", pa.bool_())])
         for run in runs_of(chain([first], batches), 1):
             out += place_in_order([Record(*r) for r in run])
             if len(out) >= LEAF_ROWS:
@@ -441,4 +515,4 @@ def place_components(records: DataFrame) -> DataFrame:
                 out = []
         yield _batch(out, schema)
 
-    return records.select(*RECORD).mapInArrow(place, f"notice_key {kind}, grp string, survivor_key {kind}, won boolean")
+    return records.select(*RECORD).mapInArrow(place, f"notice_key {kind}, ordinal long, grp string, survivor_key {kind}, won boolean")

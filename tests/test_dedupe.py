@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 from datetime import datetime
@@ -8,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticemill.operators import dedupe as dd
-from noticemill.operators.components import connected_components
+from noticemill.operators.components import connected_components, contracted_components
 from noticemill.operators.status import resolve_status
-from noticemill.plans.lineage import cut
+from noticemill.plans.lineage import Scratch, cut, shared_folder
 
 from .helpers import notices, now
 
@@ -323,6 +324,59 @@ def test_components_over_long_chains(spark):
     assert set(got.values()) == {0} and len(got) == 40
 
 
+def files_under(tops):
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for top in tops for d, _, names in os.walk(top) for f in names}
+
+
+def test_merge_leaves_only_its_members_on_disk(spark):
+    """Neither the tables between its steps nor the shuffle files that made them stay, and a member takes few bytes."""
+    n = 20_000
+    key = lambda by: F.floor(F.col("id") / by).cast("string")
+    df = spark.range(n).select(
+        F.col("id").alias("notice_key"), F.col("id").alias("ordinal"), F.concat(F.lit("i"), key(2)).alias("id"),
+        F.concat(F.lit("t"), key(12)).alias("title"), F.concat(F.lit("https://a.gov.in/"), key(4), F.lit(".pdf")).alias("tender_url"),
+        F.concat(F.lit("R/"), key(3)).alias("reference_number"), F.lit("o").alias("organisation"), F.lit("s").alias("source_id"),
+        F.lit("ACTIVE_LIKELY").alias("status"), F.lit("2026-09-30T01:00:00Z").alias("fetched_at"),
+    )
+    local = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for f in files_under(local) if os.path.basename(f).startswith("shuffle_")}
+    folder = shared_folder(spark).removeprefix("file:")
+    shuffles, kept = shuffled(), files_under([folder])
+    out = dd.deduplicate(df, now())
+    assert not shuffled() - shuffles
+    new = {f: b for f, b in files_under([folder]).items() if f not in kept}
+    assert not [f for f in new if f.endswith(".parquet")] and sum(new.values()) < 120 * n
+    sizes = out.members.groupBy("survivor_key").count().select("count").distinct()
+    assert [r[0] for r in sizes.collect()] == [4]  # by address; a survivor shows its own id and reference only
+
+
+def test_records_without_an_id_are_connected_by_their_other_keys(spark):
+    base = {"id": None, "reference_number": "R/1", "organisation": "o"}
+    rows = [
+        {"id": "a", "tender_id": "T1"}, {"id": None, "tender_id": "t1"}, {"id": None, "tender_id": "T2"}, {"id": "b", "tender_id": "T2"},
+        base, {**base, "tender_id": "T3"}, {**base, "reference_number": None}, {**base, "reference_number": None}, {**base, "id": "c"},
+    ]
+    groups = {}
+    for m in merged(spark, *rows).members.collect():
+        groups.setdefault(m.survivor_key, set()).add(m.notice_key)
+    assert sorted(map(sorted, groups.values())) == [[0, 1], [2, 3], [4, 5, 8], [6], [7]]
+
+
+def test_contracted_components_of_hashes(spark):
+    """Chains, stars, nodes that share nothing, and no edges at all."""
+    chain = [(i, f"c{k}") for i in range(60) for k in (i // 2, 100 + (i + 1) // 2)]
+    star = [(1000 + i, "hub") for i in range(200)] + [(1000 + i, f"own{i}") for i in range(200)]
+    edges = [*chain, *star, *chain[:5], (5000, "lone"), (5001, "other")]
+    df = spark.createDataFrame(edges, "node long, key string").select(F.xxhash64("node").alias("node"), F.xxhash64("key").alias("key"))
+    hashed = {r.h: r.id for r in spark.range(6000).select("id", F.xxhash64("id").alias("h")).collect()}
+    with Scratch(spark) as scratch:
+        got = {}
+        for r in contracted_components(df, scratch).collect():
+            got.setdefault(r.root, set()).add(hashed[r.node])
+        assert sorted(map(sorted, got.values())) == [list(range(60)), list(range(1000, 1200))]
+        assert contracted_components(df.limit(0), scratch).isEmpty()
+
+
 def test_retender_links(spark):
     rows = [
         {"title": "Supply of bed", "cancelled": True, "tender_id": "T1", "organisation": "o"},
