@@ -98,9 +98,16 @@ def _standing() -> Column:
 
 def narrow_columns(tenders: DataFrame, now: Column) -> DataFrame:
     """What the merge has to know of each record, without what follows from it."""
+    # Read in several places and worked out once: Spark does not copy a costly column that is read twice.
+    tenders = tenders.withColumns(
+        {
+            "__item": item_reference(_col(tenders, "reference_number")),
+            "__tender_id": present(_col(tenders, "tender_id")),
+            "__observed": instant(first_present(_col(tenders, "checked_at"), _col(tenders, "fetched_at"))),
+        }
+    )
+    item, tender_id, observed = F.col("__item"), F.col("__tender_id"), F.col("__observed")
     docs = _col(tenders, "documents", "array<struct<label:string,url:string>>")
-    item = item_reference(_col(tenders, "reference_number"))
-    tender_id = present(_col(tenders, "tender_id"))
     portal = (
         (F.col("source_id") == PORTAL_SOURCE)
         & (_col(tenders, "institution_id") == PAIR_ENTITY)
@@ -113,7 +120,6 @@ def narrow_columns(tenders: DataFrame, now: Column) -> DataFrame:
         & tender_id.isNull()
         & item.isNotNull()
     )
-    observed = instant(first_present(_col(tenders, "checked_at"), _col(tenders, "fetched_at")))
     stale = _flag(_col(tenders, "stale", "boolean"))
     is_index = index_source(F.col("source_id")) & matches(tender_id, INDEX_ID)
     recent = within(observed, now, FRESH_SECONDS, AHEAD_SECONDS)
@@ -127,12 +133,12 @@ def narrow_columns(tenders: DataFrame, now: Column) -> DataFrame:
         "terminal": _flag(F.col("status").isin("CANCELLED", "WITHDRAWN")),
         "index": is_index,
         "stale": stale,
-        "fresh_index": is_index & ~stale & instant(_col(tenders, "extended_closing_date")).isNotNull() & recent,
+        "fresh_index": is_index & ~stale & recent & instant(_col(tenders, "extended_closing_date")).isNotNull(),
         "fresh_portal": _flag(F.col("source_id") == PORTAL_SOURCE)
         & detail
         & ~stale
-        & instant(_col(tenders, "effective_closing_date")).isNotNull()
-        & recent,
+        & recent
+        & instant(_col(tenders, "effective_closing_date")).isNotNull(),
         "detail": detail,
     }
     items = F.concat(

@@ -372,6 +372,7 @@ def document_set(items: Column) -> Column:
     return F.when(F.size(docs) > 0, F.concat_ws(":", F.size(docs).cast("string"), *[t.cast("string") for t in total]))
 
 
+@lru_cache(100_000)
 def _hashes(item: bytes) -> tuple[int, int] | None:
     """The two short hashes of a document."""
     if item[:1] != KINDS["doc"]:
@@ -474,7 +475,7 @@ def place_in_order(records: list[Record]) -> list[tuple]:
     placed = []
     for record in records:
         hashes = [h for i in record.items if (h := _hashes(i)) is not None]
-        docs = _told(len(hashes), sum(a for a, _ in hashes), sum(b for _, b in hashes))
+        docs = _told(len(hashes), sum([a for a, _ in hashes]), sum([b for _, b in hashes])) if hashes else None
         found = len(survivors)
         for key in asked(record, docs):
             there = under.get(key)
@@ -486,11 +487,15 @@ def place_in_order(records: list[Record]) -> list[tuple]:
             survivors.append(Survivor())
         joined = survivors[found]
         placed.append((record.notice_key, record.ordinal, found, joined.join(record, docs)))
-        if joined.shown is None or joined.best is not joined.shown[0] or joined.docs != joined.shown[1]:
-            before, joined.shown = joined.keys, (joined.best, joined.docs)
-            joined.keys = frozenset(offered(joined.best, joined.docs))
+        best, shown = joined.best, joined.shown
+        if shown is None or best is not shown[0] or (joined.docs != shown[1] and best.reference is not None):
+            before, joined.shown = joined.keys, (best, joined.docs)
+            joined.keys = frozenset(offered(best, joined.docs))
             for key in joined.keys - before:
-                heapq.heappush(under.setdefault(key, []), found)
+                if (there := under.get(key)) is None:
+                    under[key] = [found]
+                else:
+                    heapq.heappush(there, found)
     return [(k, o, f"{records[0].component:X}/{s}", survivors[s].best.notice_key, won) for k, o, s, won in placed]
 
 
